@@ -58,3 +58,155 @@ def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select("query_id", "query_p", decide("query_p", OPT_THRESHOLD).alias("query_call"), "rank",
                        "ref_id", class_name("ref_y").alias("neighbour_label"),
                        F.round("cosine", 6).alias("cosine")))
+
+
+# --------------------------------------------------------------------------- P1-P12, P17, P21
+from ..functions import serialize as ser  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+from ..operators import clean as cl  # noqa: E402
+from ..operators import encode as en  # noqa: E402
+
+REC_COLS = ("lang", "source", "n_chars", "text", "region")   # 'region' is absent -> 'Unknown'
+
+
+def _nm(c: str) -> str:
+    return sv.normalize_missing(c)
+
+
+@register("clean_missing", _with(sv.records()) + f"""
+SELECT record_id, target, {_nm('lang')} AS lang, {_nm('source')} AS source, {_nm('n_chars')} AS n_chars,
+       {_nm('text')} AS text, 'Unknown' AS region
+FROM records""")
+def clean_missing(spark, sf_dir):
+    return cl.clean(ad.records(spark, sf_dir), REC_COLS, mode="train")
+
+
+@register("clean_names", _with(sv.records()) + f"""
+SELECT record_id, {sv.clean_name('text')} AS name FROM records""")
+def clean_names(spark, sf_dir):
+    return ad.records(spark, sf_dir).select("record_id", tx.clean_name("text").alias("name"))
+
+
+@register("clean_tags", _with(sv.records()) + f"""
+SELECT record_id, {sv.clean_tag('text')} AS tag FROM records""")
+def clean_tags(spark, sf_dir):
+    return ad.records(spark, sf_dir).select("record_id", tx.clean_tag("text").alias("tag"))
+
+
+@register("clean_all", _with(sv.records()) + f"""
+SELECT record_id, target, {_nm('lang')} AS lang, {sv.clean_name(_nm('source'))} AS source,
+       {_nm('n_chars')} AS n_chars, {sv.clean_tag(_nm('text'))} AS text, 'Unknown' AS region
+FROM records""")
+def clean_all(spark, sf_dir):
+    return cl.clean(ad.records(spark, sf_dir), REC_COLS, name_col="source", tag_col="text", mode="score")
+
+
+@register("drop_unlabelled", _with(sv.records()) + """
+SELECT record_id, lang, source, CAST(target AS INTEGER) AS target FROM records WHERE target IS NOT NULL""")
+def drop_unlabelled(spark, sf_dir):
+    return cl.labelled(ad.records(spark, sf_dir).select("record_id", "lang", "source", "target"))
+
+
+@register("valid_records", _with(sv.parts()) + f"""
+SELECT record_id, name FROM (SELECT record_id, {sv.clean_name(_nm('p_name'))} AS name FROM parts)
+WHERE length(name) > 2 AND name <> 'Unknown'""")
+def valid_records(spark, sf_dir):
+    p = ad.parts(spark, sf_dir).select("record_id", tx.clean_name(tx.normalize_missing("p_name")).alias("name"))
+    return cl.valid(p, "name")
+
+
+@register("label_presence", _with(sv.records()) + """
+SELECT source, CAST(max(CAST(target IS NOT NULL AS INTEGER)) AS INTEGER) AS has_label,
+       count(target) AS n_labelled
+FROM records GROUP BY source""")
+def label_presence(spark, sf_dir):
+    return cl.has_any_label(ad.records(spark, sf_dir), "target", ["source"])
+
+
+REC_FIELDS = (("lang", "Language"), ("source", "Source"), ("region", "Region"),
+              ("n_chars", "Length"), ("text", "Text"))
+
+
+@register("serialize_optional", _with(sv.records()) + f"""
+SELECT record_id, 'Language: ' || {_nm('lang')} || '. Source: ' || {_nm('source')} || '. Length: ' ||
+       {_nm('n_chars')} || '. Text: ' || {_nm('text')} || '.' AS sentence
+FROM records""")
+def serialize_optional(spark, sf_dir):
+    r = cl.clean(ad.records(spark, sf_dir), ("lang", "source", "n_chars", "text"), mode="train")
+    # 'region' is not a column of this table, so its field is skipped
+    return r.select("record_id", ser.serialize_optional(r, REC_FIELDS).alias("sentence"))
+
+
+PART_FIELDS = (("p_name", "Name"), ("p_brand", "Brand"), ("p_type", "Type"), ("p_size", "Size"))
+
+
+@register("serialize_required", _with(sv.parts()) + """
+SELECT record_id, 'Name: ' || p_name || '. Brand: ' || p_brand || '. Type: ' || p_type || '. Size: ' ||
+       CAST(p_size AS VARCHAR) || '.' AS sentence
+FROM parts""")
+def serialize_required(spark, sf_dir):
+    return ad.parts(spark, sf_dir).select("record_id", ser.serialize_required(PART_FIELDS).alias("sentence"))
+
+
+def _disp(e: str, width: int | None = None) -> str:
+    s = sv.strip_ws(f"coalesce(CAST({e} AS VARCHAR), 'ND')")
+    return f"substring({s}, 1, {width})" if width else s
+
+
+@register("truncate_display", _with(sv.records()) + f"""
+SELECT record_id, {_disp('text', tx.METABOLITE_WIDTH)} AS text_60, {_disp('source', tx.MICROORGANISM_WIDTH)} AS source_45,
+       {_disp('target')} AS target_text
+FROM records""")
+def truncate_display(spark, sf_dir):
+    r = ad.records(spark, sf_dir)
+    return r.select("record_id", tx.display_text("text", tx.METABOLITE_WIDTH).alias("text_60"),
+                    tx.display_text("source", tx.MICROORGANISM_WIDTH).alias("source_45"),
+                    tx.display_text("target").alias("target_text"))
+
+
+@register("label_suffix", _with(sv.vectors()) + """
+SELECT record_id, CAST(record_id AS VARCHAR) || CASE WHEN split = 'test' THEN ' (val.)' ELSE '' END AS label
+FROM vectors""")
+def label_suffix(spark, sf_dir):
+    v = ad.vectors(spark, sf_dir)
+    return v.select("record_id", ser.label_suffix(F.col("record_id").cast("string"), "split", "test", " (val.)")
+                    .alias("label"))
+
+
+# --------------------------------------------------------------------------- V2 V3 V4
+def _tok(e: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({e}), {sv.lit(en.NON_WORD)}), lambda t: t <> '')"
+
+
+@register("token_profile", _with(sv.records()) + f"""
+, tp AS (SELECT record_id, lang, len({_tok('text')}) AS n_tokens FROM records)
+SELECT lang, count(*) AS n_records, CAST(min(n_tokens) AS INTEGER) AS min_tokens, CAST(max(n_tokens) AS INTEGER) AS max_tokens,
+       avg(n_tokens) AS avg_tokens, CAST(sum(CAST(n_tokens > {en.MAX_TOKENS} AS INTEGER)) AS BIGINT) AS n_over_cap
+FROM tp GROUP BY lang""")
+def token_profile(spark, sf_dir):
+    r = ad.records(spark, sf_dir)
+    tp = en.token_profile(r.select("record_id", "text")).join(r.select("record_id", "lang"), "record_id")
+    return tp.groupBy("lang").agg(F.count(F.lit(1)).alias("n_records"), F.min("n_tokens").alias("min_tokens"),
+                                  F.max("n_tokens").alias("max_tokens"), F.avg("n_tokens").alias("avg_tokens"),
+                                  F.sum("over_cap").cast("long").alias("n_over_cap"))
+
+
+@register("mean_pool_hash", _with(sv.records()) + f"""
+, toks AS (SELECT record_id, unnest({_tok('text')}) AS tok FROM records),
+ntok AS (SELECT record_id, len({_tok('text')}) AS n_tokens FROM records),
+per AS (SELECT record_id, CAST({sv.md5_long('tok')} % {en.HASH_DIM} AS INTEGER) AS dim, count(*) AS cnt
+        FROM toks GROUP BY ALL)
+SELECT per.record_id, dim, cnt / n_tokens AS weight FROM per JOIN ntok USING (record_id)""")
+def mean_pool_hash(spark, sf_dir):
+    return en.hashed_mean_pool(ad.records(spark, sf_dir).select("record_id", "text"))
+
+
+@register("standardize_stats", _with(sv.vectors()) + """
+, el AS (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x FROM vectors WHERE split = 'train')
+SELECT CAST(dim AS INTEGER) AS dim, avg(x) AS mean, stddev_pop(x) AS sd_pop,
+       CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS scale
+FROM el GROUP BY dim""")
+def standardize_stats(spark, sf_dir):
+    from ..operators.features import column_moments
+    v = ad.vectors(spark, sf_dir).filter(F.col("split") == "train")
+    return column_moments(v, "embedding")

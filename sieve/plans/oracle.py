@@ -29,7 +29,7 @@ def _norm(v, digits):
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None
         return round(v, digits)
     if hasattr(v, "tolist"):
         v = v.tolist()
