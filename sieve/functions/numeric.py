@@ -63,3 +63,16 @@ def hash_long(*parts) -> Column:
 def hash_key(*parts) -> Column:
     """md5 hex of ``a:b:...`` (used as a shuffle order inside strata)."""
     return F.md5(F.concat_ws(":", *[_c(p).cast("string") for p in parts]))
+
+
+def count_le(edges, v, strict: bool = False) -> Column:
+    """How many values of an array are <= v (< v when ``strict``).
+
+    ``v`` is also referenced outside the lambda (the null guard).  A value that
+    comes from an expensive expression (md5, logs) is then kept in its own
+    projection and computed once per row, instead of being inlined into the
+    lambda and recomputed for every array element.
+    """
+    vc = _c(v)
+    f = (lambda e: e < vc) if strict else (lambda e: e <= vc)
+    return F.when(vc.isNull(), F.lit(None)).otherwise(F.size(F.filter(_c(edges), f)))

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import count_le
 from ..session import n_partitions
 
 
@@ -32,12 +33,12 @@ def _with_bucket_by_sketch(df: DataFrame, group_cols: Sequence[str], key: str,
         if g == [_ONE]:
             edges = F.broadcast(edges)      # one row: a proven size bound
         out = df.join(edges, g, "left")
-        return out.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")
+        return out.withColumn("_bucket", count_le(F.col("_edges"), F.col(key), strict=True)).drop("_edges")
     # no groups: n_buckets - 1 edge values come back to the driver as a literal
     row = df.agg(F.percentile_approx(key, probs, 10000).alias("_edges")).first()
     vals = [float(v) for v in (row[0] or [])]
     arr = F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<double>")
-    return df.withColumn("_bucket", F.size(F.filter(arr, lambda e: e < F.col(key))))
+    return df.withColumn("_bucket", count_le(arr, F.col(key), strict=True))
 
 
 _ONE = "_one_group"
@@ -126,14 +127,15 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                                           F.struct(F.lit(1).alias("_side"), F.col("_r1").alias("_r")))).alias("_s"))
                 .select(*g, "q_idx", "q", "_frac", "_s._side", "_s._r"))
     # which bucket holds rank r: bucket table is |groups| x n_buckets rows
-    bsel = btab.select(*g, "_bucket", "_bstart", (F.col("_bstart") + F.col("_bn")).alias("_bend"))
-    cond = [tgt[c] == bsel[c] for c in g] + [tgt["_r"] >= bsel["_bstart"], tgt["_r"] < bsel["_bend"]]
-    tb = tgt.join(bsel, cond, "inner").select(*[tgt[c] for c in g], "q_idx", "q", "_frac", "_side", "_r",
-                                                bsel["_bucket"])
-    cond2 = [tb[c] == dist[c] for c in g] + [tb["_bucket"] == dist["_bucket"],
-                                             tb["_r"] >= dist["_lo"], tb["_r"] < dist["_hi"]]
-    hit = tb.join(dist, cond2, "inner").select(*[tb[c] for c in g], "q_idx", "q", "_frac", "_side",
-                                                dist[value_col].cast("double").alias("_v"))
+    bsel = btab.select(*[F.col(c).alias(f"_b_{c}") for c in g], F.col("_bucket").alias("_b_bucket"),
+                       "_bstart", (F.col("_bstart") + F.col("_bn")).alias("_bend"))
+    cond = [F.col(c) == F.col(f"_b_{c}") for c in g] + [F.col("_r") >= F.col("_bstart"), F.col("_r") < F.col("_bend")]
+    tb = tgt.join(bsel, cond, "inner").select(*g, "q_idx", "q", "_frac", "_side", "_r", "_b_bucket")
+    dsel = dist.select(*[F.col(c).alias(f"_d_{c}") for c in g], F.col("_bucket").alias("_d_bucket"),
+                       "_lo", "_hi", F.col(value_col).cast("double").alias("_v"))
+    cond2 = [F.col(c) == F.col(f"_d_{c}") for c in g] + [F.col("_b_bucket") == F.col("_d_bucket"),
+                                                         F.col("_r") >= F.col("_lo"), F.col("_r") < F.col("_hi")]
+    hit = tb.join(dsel, cond2, "inner").select(*g, "q_idx", "q", "_frac", "_side", "_v")
     res = (hit.groupBy(*g, "q_idx", "q")
               .agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_v0"),
                    F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_v1"),

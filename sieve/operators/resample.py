@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hash_key, hash_long, hash_unit
+from ..functions.numeric import count_le, hash_key, hash_long, hash_unit
 from .prefix import hash_rank
 
 # --- fixed values -----------------------------------------------------------
@@ -62,7 +62,8 @@ def bootstrap_poisson(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record
     cdf = F.array(*[F.lit(v) for v in poisson1_cdf()])
     u = hash_unit(F.lit(seed), F.col("replicate"), F.col(id_col))
     return (df.select(id_col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1))).alias("replicate"))
-              .withColumn("draws", F.size(F.filter(cdf, lambda c: c <= u)).cast("long"))
+              .withColumn("_u", u)
+              .withColumn("draws", count_le(cdf, F.col("_u")).cast("long"))
               .filter(F.col("draws") > 0)
               .select("replicate", id_col, "draws"))
 

@@ -210,3 +210,268 @@ def standardize_stats(spark, sf_dir):
     from ..operators.features import column_moments
     v = ad.vectors(spark, sf_dir).filter(F.col("split") == "train")
     return column_moments(v, "embedding")
+
+
+# --------------------------------------------------------------------------- R1-R5
+from ..operators import metrics as mt  # noqa: E402
+from ..operators import resample as rs  # noqa: E402
+from ..operators import selection as sel  # noqa: E402
+from ..operators import split as sp  # noqa: E402
+from ..operators import thresholds as th  # noqa: E402
+
+
+@register("holdout_split", _with(sv.vectors()) + """
+SELECT record_id, y, split FROM vectors""")
+def holdout_split(spark, sf_dir):
+    return ad.vectors(spark, sf_dir).select("record_id", "y", "split")
+
+
+@register("kfold_assign", _with(sv.vectors()) + ", kf_src AS (SELECT record_id, y FROM vectors WHERE split = 'train'),\n"
+          + sv.kfold("kf_src", "kf", sp.CV_SEEDS, sp.CV_FOLDS) + """
+SELECT seed, record_id, y, fold FROM kf""")
+def kfold_assign(spark, sf_dir):
+    v = ad.vectors(spark, sf_dir).filter(F.col("split") == "train").select("record_id", "y")
+    return sp.stratified_kfold(v).select("seed", "record_id", "y", "fold")
+
+
+_RSEEDS = [sp.SPLIT_SEED * 1000 + r for r in range(sp.OOF_REPEATS)]
+
+
+@register("repeated_kfold", _with(sv.vectors()) + ", rk_src AS (SELECT record_id, y FROM vectors),\n"
+          + sv.kfold("rk_src", "rk", _RSEEDS, sp.OOF_FOLDS, seed_col="rseed") + f"""
+SELECT CAST(rseed - {sp.SPLIT_SEED * 1000} AS INTEGER) AS repeat, fold, record_id, y FROM rk""")
+def repeated_kfold(spark, sf_dir):
+    v = ad.vectors(spark, sf_dir).select("record_id", "y")
+    return sp.repeated_kfold(v).select("repeat", "fold", "record_id", "y")
+
+
+_NCAND = rs.N_BOOT + max(10, rs.N_BOOT // 10)
+
+
+@register("bootstrap_counts", _with(sv.vectors()) + f"""
+, bsrc AS (SELECT record_id, y FROM vectors WHERE split = 'train'),
+bidx AS (SELECT record_id, y, row_number() OVER (ORDER BY {sv.md5_key(rs.BOOT_SEED, 'record_id')}, record_id) - 1 AS row_idx FROM bsrc),
+bn AS (SELECT count(*) AS n FROM bsrc),
+bdraws AS (SELECT replicate, unnest(range(n)) AS draw, n FROM range({_NCAND}) r(replicate), bn),
+bcnt AS (SELECT replicate, {sv.md5_long(rs.BOOT_SEED, 'replicate', 'draw')} % n AS row_idx, count(*) AS draws
+         FROM bdraws GROUP BY ALL),
+bj AS (SELECT c.replicate, i.record_id, i.y, c.draws FROM bcnt c JOIN bidx i ON c.row_idx = i.row_idx),
+bok AS (SELECT replicate FROM bj GROUP BY replicate HAVING count(DISTINCT y) >= 2 ORDER BY replicate LIMIT {rs.N_BOOT})
+SELECT replicate, record_id, draws FROM bj WHERE replicate IN (SELECT replicate FROM bok)""")
+def bootstrap_counts(spark, sf_dir):
+    v = ad.vectors(spark, sf_dir).filter(F.col("split") == "train").select("record_id", "y")
+    return rs.bootstrap(v, rs.N_BOOT, mode="exact")
+
+
+# --------------------------------------------------------------------------- A1 A3-A7 A9 A10 A17
+_T = f"{OPT_THRESHOLD}::DOUBLE"
+
+
+def _sql_confusion(src: str, g: str, t: str = _T) -> str:
+    return f"""SELECT {g}, tp, fp, fn, tn,
+       CASE WHEN tp+fp+fn+tn = 0 THEN 0.0 ELSE CAST(tp+tn AS DOUBLE) / CAST(tp+fp+fn+tn AS DOUBLE) END AS accuracy,
+       CASE WHEN tp+fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp+fp AS DOUBLE) END AS precision,
+       CASE WHEN tp+fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp+fn AS DOUBLE) END AS recall,
+       CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE CAST(2*tp AS DOUBLE) / CAST(2*tp+fp+fn AS DOUBLE) END AS f1
+FROM (SELECT {g}, CAST(sum(CAST(p >= {t} AND y = 1 AS BIGINT)) AS BIGINT) AS tp,
+             CAST(sum(CAST(p >= {t} AND y <> 1 AS BIGINT)) AS BIGINT) AS fp,
+             CAST(sum(CAST(p < {t} AND y = 1 AS BIGINT)) AS BIGINT) AS fn,
+             CAST(sum(CAST(p < {t} AND y <> 1 AS BIGINT)) AS BIGINT) AS tn
+      FROM {src} GROUP BY {g})"""
+
+
+def _sql_counts(src: str, g: str) -> str:
+    return (f"SELECT {g}, p, CAST(sum(CAST(y = 1 AS BIGINT)) AS BIGINT) AS npos, "
+            f"CAST(sum(CAST(y <> 1 AS BIGINT)) AS BIGINT) AS nneg FROM {src} GROUP BY {g}, p")
+
+
+def _sql_auc(src: str, g: str) -> str:
+    return f"""SELECT {g}, CASE WHEN sum(npos) = 0 OR sum(nneg) = 0 THEN NULL
+       ELSE sum(CAST(npos AS DOUBLE) * (CAST(below AS DOUBLE) + 0.5::DOUBLE * CAST(nneg AS DOUBLE)))
+            / CAST(sum(npos) * sum(nneg) AS DOUBLE) END AS auc
+FROM (SELECT *, coalesce(sum(nneg) OVER (PARTITION BY {g} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM ({_sql_counts(src, g)})) GROUP BY {g}"""
+
+
+def _sql_ap(src: str, g: str) -> str:
+    return f"""SELECT {g}, sum(CAST(npos AS DOUBLE) / CAST(tot_pos AS DOUBLE) * (CAST(ge_pos AS DOUBLE) / CAST(ge_pos + ge_neg AS DOUBLE))) AS ap
+FROM (SELECT *, sum(npos) OVER (PARTITION BY {g} ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ge_pos,
+             sum(nneg) OVER (PARTITION BY {g} ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ge_neg,
+             sum(npos) OVER (PARTITION BY {g}) AS tot_pos
+      FROM ({_sql_counts(src, g)})) GROUP BY {g}"""
+
+
+def _sql_prob(src: str, g: str) -> str:
+    q = f"least(greatest(p, {mt.LOG_EPS}::DOUBLE), 1.0::DOUBLE - {mt.LOG_EPS}::DOUBLE)"
+    return f"""SELECT {g}, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, avg(pow(p - y, 2)) AS brier,
+       avg(CAST(y AS DOUBLE)) * (1 - avg(CAST(y AS DOUBLE))) AS brier_prior,
+       -avg(y * ln({q}) + (1 - y) * ln(1 - {q})) AS log_loss, min(p) AS p_min, max(p) AS p_max, avg(p) AS p_mean
+FROM {src} GROUP BY {g}"""
+
+
+BIN_PROBS = [i * (1.0 / 5) for i in range(5)] + [1.0]
+_INNER = "[" + ", ".join(repr(q) for q in BIN_PROBS[1:-1]) + "]"
+
+
+def _sql_bins(src: str, g: str) -> str:
+    return f"""SELECT s.*, least(greatest(len(list_filter(qb.edges, lambda e: e <= s.p)), 0), 4) AS bin
+FROM {src} s JOIN (SELECT {g}, quantile_cont(p, {_INNER}) AS edges FROM {src} GROUP BY {g}) qb USING ({g})"""
+
+
+def _sql_ece(src: str, g: str) -> str:
+    return f"""SELECT {g}, sum(abs(mp - my) * nb) / sum(nb) AS ece
+FROM (SELECT {g}, bin, avg(p) AS mp, avg(CAST(y AS DOUBLE)) AS my, count(*) AS nb FROM ({_sql_bins(src, g)}) GROUP BY {g}, bin)
+GROUP BY {g}"""
+
+
+@register("confusion_metrics", _with(sv.scored()) + _sql_confusion("scored", "split"))
+def confusion_metrics(spark, sf_dir):
+    return mt.confusion(ad.scored(spark, sf_dir), ["split"], OPT_THRESHOLD)
+
+
+@register("roc_auc", _with(sv.scored()) + _sql_auc("scored", "split"))
+def roc_auc(spark, sf_dir):
+    return mt.roc_auc(ad.scored(spark, sf_dir), ["split"])
+
+
+@register("avg_precision", _with(sv.scored()) + _sql_ap("scored", "split"))
+def avg_precision(spark, sf_dir):
+    return mt.average_precision(ad.scored(spark, sf_dir), ["split"])
+
+
+@register("brier_logloss", _with(sv.scored()) + _sql_prob("scored", "split"))
+def brier_logloss(spark, sf_dir):
+    return mt.prob_metrics(ad.scored(spark, sf_dir), ["split"])
+
+
+@register("class_balance", _with(sv.vectors()) + """
+SELECT split, count(*) AS n, CAST(sum(CAST(y = 1 AS BIGINT)) AS BIGINT) AS n_pos,
+       CAST(sum(CAST(y <> 1 AS BIGINT)) AS BIGINT) AS n_neg, avg(CAST(y AS DOUBLE)) AS pos_rate
+FROM vectors GROUP BY split""")
+def class_balance(spark, sf_dir):
+    return mt.class_balance(ad.vectors(spark, sf_dir), ["split"])
+
+
+@register("ece", _with(sv.oof_scores()) + _sql_ece("oof", "repeat"))
+def ece_query(spark, sf_dir):
+    return mt.ece(ad.oof_scores(spark, sf_dir), ["repeat"])
+
+
+@register("reliability", _with(sv.oof_scores()) + f"""
+, pooled AS (SELECT record_id, 0 AS one, any_value(y) AS y, avg(p) AS p FROM oof GROUP BY record_id),
+pb AS ({_sql_bins('pooled', 'one')})
+SELECT CAST(bin + 1 AS INTEGER) AS bin, printf('%.3f-%.3f', round_even(min(p), 3), round_even(max(p), 3)) AS p_range,
+       count(*) AS n, avg(p) AS mean_predicted, avg(CAST(y AS DOUBLE)) AS observed_rate
+FROM pb GROUP BY bin""")
+def reliability(spark, sf_dir):
+    o = ad.oof_scores(spark, sf_dir)
+    pooled = o.groupBy("record_id").agg(F.first("y").alias("y"), F.avg("p").alias("p"))
+    return mt.reliability(pooled, [])
+
+
+# --------------------------------------------------------------------------- A2 M8 A11-A14 J11 P19 P20 P22
+_GRID91 = "[" + ", ".join(repr(t) for t in th.threshold_grid()) + "]::DOUBLE[]"
+_FK = "encoder, family, seed, grid_pos, fold"
+
+
+def _sql_selection() -> str:
+    return _with(sv.sweep_scores()) + f"""
+, thr AS (SELECT unnest({_GRID91}) AS threshold, generate_subscripts({_GRID91}, 1) - 1 AS k),
+sb AS (SELECT {_FK}, y, len(list_filter({_GRID91}, lambda t: t <= p)) AS j FROM sweep),
+scnt AS (SELECT {_FK}, j, sum(CAST(y = 1 AS BIGINT)) AS pos, sum(CAST(y <> 1 AS BIGINT)) AS neg FROM sb GROUP BY ALL),
+stot AS (SELECT {_FK}, sum(pos) AS tot_pos FROM scnt GROUP BY ALL),
+sfull AS (SELECT t.encoder, t.family, t.seed, t.grid_pos, t.fold, t.tot_pos, thr.k, thr.threshold,
+                 coalesce(c.pos, 0) AS pos, coalesce(c.neg, 0) AS neg
+          FROM stot t CROSS JOIN thr
+          LEFT JOIN scnt c ON c.encoder = t.encoder AND c.family = t.family AND c.seed = t.seed
+                          AND c.grid_pos = t.grid_pos AND c.fold = t.fold AND c.j = thr.k + 1),
+ssum AS (SELECT *, sum(pos) OVER (PARTITION BY {_FK} ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS tp,
+                   sum(neg) OVER (PARTITION BY {_FK} ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS fp FROM sfull),
+sf1 AS (SELECT *, CASE WHEN 2*tp + fp + (tot_pos - tp) = 0 THEN 0.0
+                  ELSE CAST(2*tp AS DOUBLE) / CAST(2*tp + fp + (tot_pos - tp) AS DOUBLE) END AS f1 FROM ssum),
+fold_best AS (
+  SELECT {_FK}, CASE WHEN f1 > 0 THEN threshold ELSE {th.DEFAULT_THRESHOLD}::DOUBLE END AS threshold, f1
+  FROM (SELECT *, row_number() OVER (PARTITION BY {_FK} ORDER BY f1 DESC, k) AS r FROM sf1) WHERE r = 1),
+smeans AS (SELECT encoder, family, seed, grid_pos, avg(f1) AS cv_f1, avg(threshold) AS mean_t
+           FROM fold_best GROUP BY ALL HAVING count(*) = {sel.CV_FOLDS}),
+best AS (
+  SELECT b.encoder, b.family, b.seed, b.grid_pos, b.cv_f1, round_even(b.mean_t, 2) AS opt_threshold, g.params
+  FROM (SELECT *, row_number() OVER (PARTITION BY encoder, family, seed
+                                     ORDER BY round(cv_f1, {sel.COMPARE_DIGITS}) DESC, grid_pos) AS r FROM smeans) b
+  JOIN grid g ON g.family = b.family AND g.grid_pos = b.grid_pos WHERE b.r = 1),
+summ AS (SELECT encoder, family, avg(cv_f1) AS cv_f1_mean, stddev_samp(cv_f1) AS cv_f1_std,
+                avg(opt_threshold) AS opt_threshold_mean, count(*) AS n_seeds FROM best GROUP BY ALL)
+"""
+
+
+def _selection(spark, sf_dir):
+    s = ad.sweep_scores(spark, sf_dir)
+    fb = sel.fold_thresholds(s)
+    best = sel.best_settings(sel.setting_means(fb), sel.grid_frame(spark))
+    return fb, best, sel.summary(best)
+
+
+@register("grid_expand", _with(sv.grid()) + "SELECT family, grid_pos, params FROM grid")
+def grid_expand(spark, sf_dir):
+    # the sweep table this grid drives is built from the driver tables (sweep_scores)
+    return sel.grid_frame(spark)
+
+
+@register("params_roundtrip", _with(sv.grid()) + """
+SELECT family, grid_pos, CAST(json_extract_string(params, '$.C') AS DOUBLE) AS c,
+       CAST(json_extract_string(params, '$.n_estimators') AS INTEGER) AS n_estimators,
+       CAST(json_extract_string(params, '$.max_depth') AS INTEGER) AS max_depth,
+       json_extract_string(params, '$.gamma') AS gamma
+FROM grid""")
+def params_roundtrip(spark, sf_dir):
+    g = sel.grid_frame(spark)
+    return g.select("family", "grid_pos", ser.setting_field("params", "C", "double").alias("c"),
+                    ser.setting_field("params", "n_estimators", "int").alias("n_estimators"),
+                    ser.setting_field("params", "max_depth", "int").alias("max_depth"),
+                    ser.setting_field("params", "gamma", "string").alias("gamma"))
+
+
+@register("best_threshold", _sql_selection() + f"SELECT {_FK}, threshold, f1 FROM fold_best")
+def best_threshold_q(spark, sf_dir):
+    return sel.fold_thresholds(ad.sweep_scores(spark, sf_dir))
+
+
+@register("best_setting", _sql_selection() + "SELECT * FROM best")
+def best_setting(spark, sf_dir):
+    return _selection(spark, sf_dir)[1]
+
+
+@register("selection_summary", _sql_selection() + "SELECT * FROM summ")
+def selection_summary(spark, sf_dir):
+    return _selection(spark, sf_dir)[2]
+
+
+@register("winner", _sql_selection() + f"""
+, top AS (SELECT * FROM summ ORDER BY round(cv_f1_mean, {sel.COMPARE_DIGITS}) DESC, encoder, family LIMIT 1),
+modal AS (SELECT encoder, family, params AS modal_params FROM (
+  SELECT encoder, family, params, row_number() OVER (PARTITION BY encoder, family ORDER BY count(*) DESC, params) AS r
+  FROM best GROUP BY encoder, family, params) WHERE r = 1)
+SELECT top.*, modal.modal_params FROM top LEFT JOIN modal USING (encoder, family)""")
+def winner_q(spark, sf_dir):
+    _, best, summ = _selection(spark, sf_dir)
+    return sel.winner(summ, best)
+
+
+@register("winner_seeds", _sql_selection() + f"""
+, top AS (SELECT encoder, family FROM summ ORDER BY round(cv_f1_mean, {sel.COMPARE_DIGITS}) DESC, encoder, family LIMIT 1)
+SELECT b.* FROM best b JOIN top t ON b.encoder = t.encoder AND b.family = t.family""")
+def winner_seeds(spark, sf_dir):
+    _, best, summ = _selection(spark, sf_dir)
+    top = sel.winner(summ, best).select("encoder", "family")
+    return best.join(top, ["encoder", "family"], "left_semi")     # equality filter on the pair
+
+
+@register("chart_series", _sql_selection() + f"""
+SELECT encoder, family, CAST(list_position([{', '.join(sv.lit(f) for f in sel.FAMILY_ORDER)}], family) AS INTEGER) AS order_pos,
+       cv_f1_mean AS m, coalesce(cv_f1_std, 0.0) AS s, cv_f1_mean - coalesce(cv_f1_std, 0.0) AS m_minus_s,
+       cv_f1_mean + coalesce(cv_f1_std, 0.0) AS m_plus_s
+FROM summ WHERE starts_with(encoder, 'dom') OR starts_with(encoder, 'gen')""")
+def chart_series(spark, sf_dir):
+    summ = _selection(spark, sf_dir)[2]
+    summ = summ.filter(F.col("encoder").startswith("dom") | F.col("encoder").startswith("gen"))
+    return sel.chart_series(summ)

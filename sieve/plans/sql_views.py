@@ -111,3 +111,95 @@ scored AS (
   SELECT record_id, embedding, y, split, cos1, cos0,
          round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({SCORE_SCALE}::DOUBLE * (cos1 - cos0)))), {SCORE_DIGITS}) AS p
   FROM sc0)"""
+
+
+def kfold(src: str, name: str, seeds, k: int, label: str = "y", id_col: str = "record_id",
+          seed_col: str = "seed") -> str:
+    seeds_list = ", ".join(str(int(s)) for s in seeds)
+    return f"""{name}_x AS (SELECT s.*, sd.{seed_col} FROM {src} s, (SELECT unnest([{seeds_list}]) AS {seed_col}) sd),
+{name}_cc AS (SELECT {seed_col}, {label}, count(*) AS n_class FROM {name}_x GROUP BY ALL),
+{name}_off AS (
+  SELECT {seed_col}, {label},
+         coalesce(sum(n_class) OVER (PARTITION BY {seed_col} ORDER BY {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM {name}_cc),
+{name} AS (
+  SELECT x.*, CAST((o.off + row_number() OVER (PARTITION BY x.{seed_col}, x.{label}
+                    ORDER BY {md5_key('x.' + seed_col, 'x.' + id_col)}, x.{id_col}) - 1) % {k} AS INTEGER) AS fold
+  FROM {name}_x x JOIN {name}_off o ON x.{seed_col} = o.{seed_col} AND x.{label} = o.{label})"""
+
+
+def grid() -> str:
+    """(family, grid_pos, params) by crossing the value lists of each sub-grid."""
+    import json
+
+    from ..operators.selection import GRIDS
+    parts_sql = []
+    for family, subgrids in GRIDS.items():
+        offset = 0
+        for sub in subgrids:
+            keys = list(sub)
+            froms, pos, body = [], "0", []
+            for i, k in enumerate(keys):
+                vals = ", ".join(lit(json.dumps(v)) for v in sub[k])
+                froms.append(f"(SELECT unnest([{vals}]) AS v{i}, generate_subscripts([{vals}], 1) - 1 AS i{i}) t{i}")
+                pos = f"({pos}) * {len(sub[k])} + i{i}"
+                body.append(f"{lit(json.dumps(k) + ':')} || v{i}")
+            parts_sql.append(f"SELECT {lit(family)} AS family, CAST({offset} + {pos} AS INTEGER) AS grid_pos, "
+                             f"'{{' || {' || \',\' || '.join(body)} || '}}' AS params FROM {', '.join(froms)}")
+            n = 1
+            for k in keys:
+                n *= len(sub[k])
+            offset += n
+    return "grid AS (\n  " + "\n  UNION ALL ".join(parts_sql) + ")"
+
+
+def perturb(p: str, noise: float, *keys: str) -> str:
+    from ..sources.adapters import SCORE_DIGITS
+    return (f"round(least(greatest({p} + {noise}::DOUBLE * ({md5_unit(*keys)} - 0.5::DOUBLE), 0.0::DOUBLE), "
+            f"1.0::DOUBLE), {SCORE_DIGITS})")
+
+
+def sweep_scores() -> str:
+    from ..operators.selection import ENCODERS
+    from ..operators.split import CV_FOLDS, CV_SEEDS
+    from ..sources.adapters import SWEEP_NOISE
+    enc = ", ".join(lit(e) for e in ENCODERS)
+    return f"""{scored()},
+sw_src AS (SELECT record_id, y, p FROM scored WHERE split = 'train'),
+{kfold('sw_src', 'sw_folds', CV_SEEDS, CV_FOLDS)},
+{grid()},
+sweep AS (
+  SELECT e.encoder, g.family, f.seed, g.grid_pos, f.fold, f.record_id, f.y,
+         {perturb('f.p', SWEEP_NOISE, 'e.encoder', 'g.family', 'g.grid_pos', 'f.seed', 'f.record_id')} AS p
+  FROM sw_folds f, grid g, (SELECT unnest([{enc}]) AS encoder) e)"""
+
+
+def screen_set() -> str:
+    from ..sources.adapters import GROUP_SHARE
+    return f"""{scored()},
+screen AS (
+  SELECT record_id, CASE WHEN {md5_unit("'group'", 'record_id')} < {GROUP_SHARE} THEN 'validation' ELSE 'screen' END AS grp,
+         'rec' || CAST(record_id AS VARCHAR) AS name, y, p, embedding, cos1, cos0
+  FROM scored WHERE split = 'test')"""
+
+
+def boot_scores() -> str:
+    from ..sources.adapters import BOOT_NOISE, N_BOOT_SCORES
+    return f"""{screen_set()},
+boot AS (
+  SELECT b.replicate, s.record_id, s.grp, s.name,
+         {perturb('s.p', BOOT_NOISE, "'boot'", 'b.replicate', 's.record_id')} AS p
+  FROM screen s, (SELECT unnest(range({N_BOOT_SCORES})) AS replicate) b)"""
+
+
+def oof_scores() -> str:
+    from ..operators.split import OOF_FOLDS, OOF_REPEATS, SPLIT_SEED
+    from ..sources.adapters import OOF_NOISE
+    seeds = [SPLIT_SEED * 1000 + r for r in range(OOF_REPEATS)]
+    return f"""{scored()},
+oof_src AS (SELECT record_id, y, p FROM scored),
+{kfold('oof_src', 'oof_f', seeds, OOF_FOLDS, seed_col='rseed')},
+oof AS (
+  SELECT CAST(rseed - {SPLIT_SEED * 1000} AS INTEGER) AS repeat, fold, record_id, y,
+         {perturb('p', OOF_NOISE, "'oof'", f'CAST(rseed - {SPLIT_SEED * 1000} AS INTEGER)', 'record_id')} AS p
+  FROM oof_f)"""

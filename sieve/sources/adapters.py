@@ -60,3 +60,62 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.lit(SCORE_SCALE) * (F.col("cos1") - F.col("cos0"))
     return s.select("record_id", "embedding", "y", "split", "cos1", "cos0",
                     F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), SCORE_DIGITS).alias("p"))
+
+
+# --- long score tables -------------------------------------------------------
+# Stand-ins for what the model fits produce, derived from ``scored`` by a hash
+# perturbation so that every downstream aggregation has an exact SQL oracle.
+SWEEP_NOISE = 0.3
+BOOT_NOISE = 0.2
+OOF_NOISE = 0.2
+N_BOOT_SCORES = 1000
+GROUP_SHARE = 0.25            # share of hold-out records tagged 'validation'
+
+
+def perturb(p, noise: float, *keys):
+    from ..functions.numeric import clip, hash_unit
+    return F.round(clip(F.col(p) + F.lit(noise) * (hash_unit(*keys) - F.lit(0.5)), 0.0, 1.0), SCORE_DIGITS)
+
+
+def screen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold-out records as the set to screen, with a group tag and a name."""
+    from ..functions.numeric import hash_unit
+    s = scored(spark, sf_dir).filter(F.col("split") == "test")
+    grp = F.when(hash_unit(F.lit("group"), F.col("record_id")) < GROUP_SHARE, F.lit("validation")) \
+           .otherwise(F.lit("screen"))
+    return s.select("record_id", grp.alias("grp"), F.concat(F.lit("rec"), F.col("record_id").cast("string")).alias("name"),
+                    "y", "p", "embedding", "cos1", "cos0")
+
+
+def sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(encoder, family, seed, grid_pos, fold, record_id, p, y): validation scores
+    of every setting, seed and fold over the train split."""
+    from ..operators.selection import ENCODERS, grid_rows
+    from ..operators.split import stratified_kfold
+    s = scored(spark, sf_dir).filter(F.col("split") == "train").select("record_id", "y", "p")
+    folds = stratified_kfold(s, "y", "record_id")
+    rows = [(i, e, f, g) for i, (e, (f, g, _)) in enumerate((e, r) for e in ENCODERS for r in grid_rows())]
+    settings = spark.createDataFrame(rows, "setting int, encoder string, family string, grid_pos int")
+    x = folds.select("seed", "fold", "record_id", "y", "p",
+                     F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("setting"))
+    # the settings table is the fixed parameter grid (|encoders| x 264 rows): broadcast
+    x = x.join(F.broadcast(settings), "setting").select("encoder", "family", "seed", "grid_pos", "fold",
+                                                         "record_id", "y", "p")
+    return x.withColumn("p", perturb("p", SWEEP_NOISE, F.col("encoder"), F.col("family"), F.col("grid_pos"),
+                                     F.col("seed"), F.col("record_id")))
+
+
+def boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES) -> DataFrame:
+    """(replicate, record_id, grp, name, p): replicate scores of the screened records."""
+    s = screen_set(spark, sf_dir).select("record_id", "grp", "name", "p")
+    x = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    return x.withColumn("p", perturb("p", BOOT_NOISE, F.lit("boot"), F.col("replicate"), F.col("record_id")))
+
+
+def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repeat, fold, record_id, y, p): out-of-fold scores of all labelled vectors."""
+    from ..operators.split import repeated_kfold
+    s = scored(spark, sf_dir).select("record_id", "y", "p")
+    r = repeated_kfold(s, "y", "record_id")
+    return r.withColumn("p", perturb("p", OOF_NOISE, F.lit("oof"), F.col("repeat"), F.col("record_id"))) \
+            .select("repeat", "fold", "record_id", "y", "p")
