@@ -96,3 +96,47 @@ def bootstrap(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_id", la
     gen = bootstrap_exact if mode == "exact" else bootstrap_poisson
     counts = gen(df.select(id_col), n_cand, id_col, seed)
     return keep_two_class(counts, df, n_boot, id_col, label)
+
+
+# --- summaries over replicate score tables (replicate, record_id, p) ----------
+BOOT_PROBS = (0.025, 0.975)
+BOX_PROBS = (0.025, 0.25, 0.5, 0.75, 0.975)
+
+
+def boot_summary(scores: DataFrame, t: float, id_col: str = "record_id", p: str = "p") -> DataFrame:
+    """Per record over replicates: mean, population sd, 2.5 / 97.5 percentiles
+    (linear interpolation), share of replicates called positive at ``t``.
+
+    Groups are records, each holding one value per replicate, so a group's size
+    is bounded by the number of replicates whatever the table size.
+    """
+    pc = F.percentile(p, list(BOOT_PROBS))
+    return (scores.groupBy(id_col)
+                  .agg(F.avg(p).alias("p_boot_mean"), F.stddev_pop(p).alias("p_boot_sd"), pc.alias("_pc"),
+                       F.avg((F.col(p) >= F.lit(float(t))).cast("double")).alias("freq_call"))
+                  .select(id_col, "p_boot_mean", "p_boot_sd", F.col("_pc")[0].alias("p_boot_lo"),
+                          F.col("_pc")[1].alias("p_boot_hi"), "freq_call"))
+
+
+def replicate_ranks(scores: DataFrame, id_col: str = "record_id", p: str = "p") -> DataFrame:
+    """Rank (1 = highest score, ties by id) of each record inside its replicate;
+    running counts by bucket so no replicate is sorted in one task."""
+    from .prefix import prefix_sums
+    one = scores.select("replicate", id_col, p).withColumn("_one", F.lit(1).cast("long"))
+    r = prefix_sums(one, ["replicate"], -F.col(p), ["_one"], tie_cols=[id_col], out_prefix="_before")
+    return r.select("replicate", id_col, p, (F.col("_before_one") + 1).alias("rank"))
+
+
+def rank_summary(ranks: DataFrame, id_col: str = "record_id") -> DataFrame:
+    pc = F.percentile("rank", list(BOOT_PROBS))
+    return (ranks.groupBy(id_col).agg(F.avg("rank").alias("rank_mean"), pc.alias("_pc"))
+                 .select(id_col, "rank_mean", F.bround(F.col("_pc")[0], 0).alias("rank_lo"),
+                         F.bround(F.col("_pc")[1], 0).alias("rank_hi")))
+
+
+def box_stats(scores: DataFrame, id_col: str = "record_id", p: str = "p") -> DataFrame:
+    """Per record: 2.5 / 25 / 50 / 75 / 97.5 percentiles of the replicate scores."""
+    names = ["q025", "q25", "q50", "q75", "q975"]
+    pc = F.percentile(p, list(BOX_PROBS))
+    return (scores.groupBy(id_col).agg(pc.alias("_pc"))
+                  .select(id_col, *[F.col("_pc")[i].alias(n) for i, n in enumerate(names)]))

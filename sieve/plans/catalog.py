@@ -475,3 +475,244 @@ def chart_series(spark, sf_dir):
     summ = _selection(spark, sf_dir)[2]
     summ = summ.filter(F.col("encoder").startswith("dom") | F.col("encoder").startswith("gen"))
     return sel.chart_series(summ)
+
+
+# --------------------------------------------------------------------------- A21-A23 K1 U2
+from ..functions import numeric as nu  # noqa: E402
+from ..operators import calibrate as cb  # noqa: E402
+
+_SENS = "[" + ", ".join(repr(t) for t in th.SENSITIVITY) + "]::DOUBLE[]"
+_SEEDT = sorted(set(th.CV_SEED_THRESHOLDS.values()))
+_SEEDT_SQL = "[" + ", ".join(repr(t) for t in _SEEDT) + "]::DOUBLE[]"
+
+
+@register("threshold_pivot", _with(sv.screen_set()) + "SELECT record_id, grp, name, p, "
+          + ", ".join(f"CAST(p >= {t!r}::DOUBLE AS INTEGER) AS t_{t:.2f}".replace("t_0.", "t_0_") for t in th.SENSITIVITY)
+          + " FROM screen")
+def threshold_pivot(spark, sf_dir):
+    return th.calls_wide(ad.screen_set(spark, sf_dir), ["record_id", "grp", "name", "p"])
+
+
+@register("threshold_flips", _with(sv.screen_set()) + f"""
+SELECT threshold, CAST(sum(CAST(p >= threshold AS BIGINT)) AS BIGINT) AS n_calls,
+       CAST(sum(CAST((p >= threshold) <> (p >= {th.BASE_THRESHOLD}::DOUBLE) AS BIGINT)) AS BIGINT) AS n_flips
+FROM screen, (SELECT unnest({_SENS}) AS threshold) t WHERE grp = 'screen' GROUP BY threshold""")
+def threshold_flips(spark, sf_dir):
+    return th.flips(ad.screen_set(spark, sf_dir).filter(F.col("grp") == "screen"))
+
+
+@register("flipped_records", _with(sv.screen_set()) + f"""
+SELECT threshold, record_id FROM screen, (SELECT unnest({_SEEDT_SQL}) AS threshold) t
+WHERE grp = 'screen' AND (p >= threshold) <> (p >= {th.BASE_THRESHOLD}::DOUBLE)""")
+def flipped_records(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir).filter(F.col("grp") == "screen")
+    return th.flipped_records(s, "record_id", thresholds=_SEEDT)
+
+
+_BAND = th.stability_band()
+
+
+@register("stable_calls", _with(sv.screen_set()) + f"""
+SELECT record_id, grp, p FROM screen WHERE p >= {_BAND[1]!r}::DOUBLE OR p < {_BAND[0]!r}::DOUBLE""")
+def stable_calls(spark, sf_dir):
+    return th.stable_calls(ad.screen_set(spark, sf_dir)).select("record_id", "grp", "p")
+
+
+# --------------------------------------------------------------------------- A18 A19 A25 W1
+def _sql_boot_summary() -> str:
+    return f"""bsum AS (
+  SELECT record_id, avg(p) AS p_boot_mean, stddev_pop(p) AS p_boot_sd, quantile_cont(p, 0.025) AS p_boot_lo,
+         quantile_cont(p, 0.975) AS p_boot_hi, avg(CAST(p >= {_T} AS DOUBLE)) AS freq_call
+  FROM boot GROUP BY record_id)"""
+
+
+@register("boot_summary", _with(sv.boot_scores(), _sql_boot_summary()) + f"""
+SELECT s.record_id, s.grp, s.name, s.p AS p_point, CAST(s.p >= {_T} AS INTEGER) AS pred_point,
+       b.p_boot_mean, b.p_boot_sd, b.p_boot_lo, b.p_boot_hi, b.freq_call
+FROM screen s JOIN bsum b ON s.record_id = b.record_id""")
+def boot_summary(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir)
+    b = rs.boot_summary(ad.boot_scores(spark, sf_dir), OPT_THRESHOLD)
+    return s.select("record_id", "grp", "name", F.col("p").alias("p_point"),
+                    decide("p", OPT_THRESHOLD).alias("pred_point")).join(b, "record_id")
+
+
+@register("boot_ranks", _with(sv.boot_scores()) + """
+, rk AS (SELECT replicate, record_id, row_number() OVER (PARTITION BY replicate ORDER BY p DESC, record_id) AS rank
+         FROM boot WHERE grp = 'screen'),
+rsum AS (SELECT record_id, avg(rank) AS rank_mean, round_even(quantile_cont(rank, 0.025), 0) AS rank_lo,
+                round_even(quantile_cont(rank, 0.975), 0) AS rank_hi FROM rk GROUP BY record_id)
+SELECT s.record_id, s.grp, r.rank_mean, r.rank_lo, r.rank_hi FROM screen s LEFT JOIN rsum r ON s.record_id = r.record_id""")
+def boot_ranks(spark, sf_dir):
+    b = ad.boot_scores(spark, sf_dir).filter(F.col("grp") == "screen")
+    r = rs.rank_summary(rs.replicate_ranks(b))
+    return ad.screen_set(spark, sf_dir).select("record_id", "grp").join(r, "record_id", "left")
+
+
+@register("boxplot_stats", _with(sv.boot_scores()) + """
+SELECT s.record_id, s.p, quantile_cont(b.p, 0.025) AS q025, quantile_cont(b.p, 0.25) AS q25,
+       quantile_cont(b.p, 0.5) AS q50, quantile_cont(b.p, 0.75) AS q75, quantile_cont(b.p, 0.975) AS q975
+FROM screen s JOIN boot b ON s.record_id = b.record_id GROUP BY s.record_id, s.p""")
+def boxplot_stats(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir).select("record_id", "p")
+    return s.join(rs.box_stats(ad.boot_scores(spark, sf_dir)), "record_id")
+
+
+# --------------------------------------------------------------------------- A15 A16 K2
+@register("oof_summary", _with(sv.oof_scores()) + """
+SELECT record_id, any_value(y) AS y, avg(p) AS p_oof_mean, stddev_pop(p) AS p_oof_sd FROM oof GROUP BY record_id""")
+def oof_summary(spark, sf_dir):
+    return cb.oof_summary(ad.oof_scores(spark, sf_dir))
+
+
+@register("metric_unpivot", _with(sv.oof_scores()) + f"""
+, m_auc AS ({_sql_auc('oof', 'repeat')}),
+m_ap AS ({_sql_ap('oof', 'repeat')}),
+m_pr AS ({_sql_prob('oof', 'repeat')}),
+m_ece AS ({_sql_ece('oof', 'repeat')}),
+m_f1 AS (SELECT repeat, f1 AS f1_t FROM ({_sql_confusion('oof', 'repeat')})),
+m_f5 AS (SELECT repeat, f1 AS f1_05 FROM ({_sql_confusion('oof', 'repeat', '0.5::DOUBLE')})),
+per AS (SELECT m_auc.repeat, auc, ap, brier, log_loss, ece, p_min, p_max, p_mean, f1_t, f1_05
+        FROM m_auc JOIN m_ap USING (repeat) JOIN m_pr USING (repeat) JOIN m_ece USING (repeat)
+        JOIN m_f1 USING (repeat) JOIN m_f5 USING (repeat)),
+lg AS (UNPIVOT per ON auc, ap, brier, log_loss, ece, p_min, p_max, p_mean, f1_t, f1_05 INTO NAME metric VALUE value),
+prior AS (SELECT avg(CAST(y AS DOUBLE)) * (1 - avg(CAST(y AS DOUBLE))) AS brier_class_prior FROM vectors)
+SELECT metric, avg(value) AS mean, stddev_samp(value) AS std, any_value(prior.brier_class_prior) AS brier_class_prior
+FROM lg, prior GROUP BY metric""")
+def metric_unpivot(spark, sf_dir):
+    o = ad.oof_scores(spark, sf_dir)
+    return cb.metric_table(cb.repeat_metrics(o, OPT_THRESHOLD), ad.vectors(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- A20 A24 J9 J10 P15-P18 P23 W4 A27
+@register("deviation_check", _with(sv.screen_set()) + """
+, pub AS (SELECT record_id, round_even(p, 3) AS published FROM screen WHERE grp = 'screen')
+SELECT max(abs(s.p - pub.published)) AS max_dev, count(pub.published) AS n_published
+FROM screen s LEFT JOIN pub ON s.record_id = pub.record_id""")
+def deviation_check(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir)
+    pub = s.filter(F.col("grp") == "screen").select("record_id", F.bround("p", 3).alias("published"))
+    return (s.select("record_id", "p").join(pub, "record_id", "left")
+             .agg(F.max(F.abs(F.col("p") - F.col("published"))).alias("max_dev"),
+                  F.count("published").alias("n_published")))
+
+
+@register("agreement_report", _with(sv.boot_scores(), _sql_boot_summary()) + f"""
+SELECT s.record_id, s.name, s.y AS ref_label, s.p AS p_class1, CAST(s.p >= {_T} AS INTEGER) AS prediction,
+       CASE WHEN CAST(s.p >= {_T} AS INTEGER) = s.y THEN 'yes' ELSE 'NO' END AS agreement, b.freq_call AS freq_boot
+FROM screen s JOIN bsum b ON s.record_id = b.record_id WHERE s.grp = 'validation'""")
+def agreement_report(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir).filter(F.col("grp") == "validation")
+    b = rs.boot_summary(ad.boot_scores(spark, sf_dir), OPT_THRESHOLD).select("record_id", "freq_call")
+    call = decide("p", OPT_THRESHOLD)
+    return s.join(b, "record_id").select(
+        "record_id", "name", F.col("y").alias("ref_label"), F.col("p").alias("p_class1"), call.alias("prediction"),
+        F.when(call == F.col("y"), F.lit("yes")).otherwise(F.lit("NO")).alias("agreement"),
+        F.col("freq_call").alias("freq_boot"))
+
+
+@register("agreement_rate", _with(sv.screen_set()) + f"""
+SELECT CAST(sum(CAST(CAST(p >= {_T} AS INTEGER) = y AS BIGINT)) AS BIGINT) AS n_agree, count(*) AS n,
+       avg(CAST(CAST(p >= {_T} AS INTEGER) = y AS DOUBLE)) AS rate
+FROM screen WHERE grp = 'validation'""")
+def agreement_rate(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir).filter(F.col("grp") == "validation")
+    agree = decide("p", OPT_THRESHOLD) == F.col("y")
+    return s.agg(F.count_if(agree).alias("n_agree"), F.count(F.lit(1)).alias("n"),
+                 F.avg(agree.cast("double")).alias("rate"))
+
+
+@register("ranked_report", _with(sv.boot_scores(), _sql_boot_summary()) + f"""
+SELECT s.record_id, s.name, s.p AS p_class1, CAST(s.p >= {_T} AS INTEGER) AS prediction,
+       printf('%.3f-%.3f', round_even(b.p_boot_lo, 3), round_even(b.p_boot_hi, 3)) AS p_boot_95ci,
+       b.freq_call AS freq_boot
+FROM screen s JOIN bsum b ON s.record_id = b.record_id WHERE s.grp = 'screen'""")
+def ranked_report(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir).filter(F.col("grp") == "screen")
+    b = rs.boot_summary(ad.boot_scores(spark, sf_dir), OPT_THRESHOLD)
+    return (s.join(b, "record_id")
+             .select("record_id", "name", F.col("p").alias("p_class1"), decide("p", OPT_THRESHOLD).alias("prediction"),
+                     nu.interval_text("p_boot_lo", "p_boot_hi").alias("p_boot_95ci"),
+                     F.col("freq_call").alias("freq_boot"))
+             .orderBy(F.desc("p_class1")))
+
+
+@register("error_bars", _with(sv.boot_scores(), _sql_boot_summary()) + """
+SELECT s.record_id, s.p - b.p_boot_lo AS err_lo, b.p_boot_hi - s.p AS err_hi
+FROM screen s JOIN bsum b ON s.record_id = b.record_id""")
+def error_bars(spark, sf_dir):
+    s = ad.screen_set(spark, sf_dir)
+    b = rs.boot_summary(ad.boot_scores(spark, sf_dir), OPT_THRESHOLD)
+    return s.join(b, "record_id").select("record_id", (F.col("p") - F.col("p_boot_lo")).alias("err_lo"),
+                                         (F.col("p_boot_hi") - F.col("p")).alias("err_hi"))
+
+
+@register("display_order", _with(sv.screen_set()) + """
+SELECT record_id, grp, p, row_number() OVER (ORDER BY grp <> 'validation', p DESC, record_id) AS num FROM screen""")
+def display_order(spark, sf_dir):
+    from ..operators.prefix import prefix_sums
+    s = ad.screen_set(spark, sf_dir).select("record_id", "grp", "p").withColumn("_one", F.lit(1).cast("long"))
+    key = F.when(F.col("grp") == "validation", F.lit(0.0)).otherwise(F.lit(2.0)) - F.col("p")   # validation first, p desc
+    r = prefix_sums(s, [], key, ["_one"], tie_cols=["record_id"], out_prefix="_before")
+    return r.select("record_id", "grp", "p", (F.col("_before_one") + 1).cast("long").alias("num"))
+
+
+@register("logit_scores", _with(sv.screen_set()) + f"""
+SELECT record_id, ln(q / (1.0::DOUBLE - q)) AS logit_p
+FROM (SELECT record_id, least(greatest(p, {nu.LOG_EPS}::DOUBLE), 1.0::DOUBLE - {nu.LOG_EPS}::DOUBLE) AS q FROM screen)""")
+def logit_scores(spark, sf_dir):
+    return ad.screen_set(spark, sf_dir).select("record_id", nu.logit("p").alias("logit_p"))
+
+
+@register("round_scores", _with(sv.screen_set()) + """
+SELECT record_id, round_even(p, 3) AS p3, round_even(p, 2) AS p2 FROM screen""")
+def round_scores(spark, sf_dir):
+    return ad.screen_set(spark, sf_dir).select("record_id", nu.round_half_even("p", 3).alias("p3"),
+                                               nu.round_half_even("p", 2).alias("p2"))
+
+
+# --------------------------------------------------------------------------- V9 V10 J5 W5 A26 U1
+MAP_SCALE = 100.0        # map coordinates: 100 x (cosine to class-1 centroid, cosine to class-0 centroid)
+
+
+def _map_points(df):
+    return df.select("record_id", (F.lit(MAP_SCALE) * F.col("cos1")).alias("x"),
+                     (F.lit(MAP_SCALE) * F.col("cos0")).alias("y"))
+
+
+@register("radius_neighbors", _with(sv.screen_set()) + f"""
+, pts AS (SELECT record_id, {MAP_SCALE}::DOUBLE * cos1 AS x, {MAP_SCALE}::DOUBLE * cos0 AS y FROM screen),
+pr AS (SELECT a.record_id AS i, b.record_id AS j FROM pts a JOIN pts b
+       ON a.record_id <> b.record_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < {nb.RADIUS})
+SELECT p.record_id, count(pr.j) AS n_near, CAST(coalesce(sum(CAST(pr.j < pr.i AS BIGINT)), 0) AS BIGINT) AS n_near_before
+FROM pts p LEFT JOIN pr ON p.record_id = pr.i GROUP BY p.record_id""")
+def radius_neighbors(spark, sf_dir):
+    return nb.crowding(_map_points(ad.screen_set(spark, sf_dir)))
+
+
+@register("similarity_range", _with(sv.scored()) + f"""
+SELECT min(c) AS cos_min, max(c) AS cos_max FROM (
+  SELECT {sv.cosine('q.embedding', 'r.embedding')} AS c FROM scored q JOIN scored r ON q.split = 'test' AND r.split = 'train')""")
+def similarity_range(spark, sf_dir):
+    s = ad.scored(spark, sf_dir)
+    return nb.similarity_range(s.filter(F.col("split") == "test").select("record_id", "embedding"),
+                               s.filter(F.col("split") == "train").select("record_id", "embedding"))
+
+
+@register("class_map", _with(sv.scored()) + f"""
+SELECT record_id, {MAP_SCALE}::DOUBLE * cos1 AS x, {MAP_SCALE}::DOUBLE * cos0 AS y FROM scored WHERE split = 'train' AND y = 0""")
+def class_map(spark, sf_dir):
+    s = ad.scored(spark, sf_dir).filter((F.col("split") == "train") & (F.col("y") == 0))
+    return _map_points(s)
+
+
+@register("axis_bounds", _with(sv.screen_set()) + f"""
+, pts AS (SELECT 'train' AS tag, {MAP_SCALE}::DOUBLE * cos1 AS x, {MAP_SCALE}::DOUBLE * cos0 AS y FROM scored WHERE split = 'train'
+          UNION ALL SELECT 'screen' AS tag, {MAP_SCALE}::DOUBLE * cos1, {MAP_SCALE}::DOUBLE * cos0 FROM screen)
+SELECT tag, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM pts GROUP BY tag""")
+def axis_bounds(spark, sf_dir):
+    tr = _map_points(ad.scored(spark, sf_dir).filter(F.col("split") == "train")).withColumn("tag", F.lit("train"))
+    sc = _map_points(ad.screen_set(spark, sf_dir)).withColumn("tag", F.lit("screen"))
+    u = tr.unionByName(sc)
+    return u.groupBy("tag").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"),
+                                F.min("y").alias("y_min"), F.max("y").alias("y_max"))

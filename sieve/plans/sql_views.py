@@ -154,9 +154,8 @@ def grid() -> str:
 
 
 def perturb(p: str, noise: float, *keys: str) -> str:
-    from ..sources.adapters import SCORE_DIGITS
-    return (f"round(least(greatest({p} + {noise}::DOUBLE * ({md5_unit(*keys)} - 0.5::DOUBLE), 0.0::DOUBLE), "
-            f"1.0::DOUBLE), {SCORE_DIGITS})")
+    return (f"least(greatest({p} + {noise}::DOUBLE * ({md5_unit(*keys)} - 0.5::DOUBLE), 0.0::DOUBLE), "
+            f"1.0::DOUBLE)")
 
 
 def sweep_scores() -> str:

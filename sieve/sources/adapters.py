@@ -74,7 +74,7 @@ GROUP_SHARE = 0.25            # share of hold-out records tagged 'validation'
 
 def perturb(p, noise: float, *keys):
     from ..functions.numeric import clip, hash_unit
-    return F.round(clip(F.col(p) + F.lit(noise) * (hash_unit(*keys) - F.lit(0.5)), 0.0, 1.0), SCORE_DIGITS)
+    return clip(F.col(p) + F.lit(noise) * (hash_unit(*keys) - F.lit(0.5)), 0.0, 1.0)
 
 
 def screen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
