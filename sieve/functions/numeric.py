@@ -66,13 +66,22 @@ def hash_key(*parts) -> Column:
 
 
 def count_le(edges, v, strict: bool = False) -> Column:
-    """How many values of an array are <= v (< v when ``strict``).
+    """How many of ``edges`` are <= v (< v when ``strict``).
 
-    ``v`` is also referenced outside the lambda (the null guard).  A value that
-    comes from an expensive expression (md5, logs) is then kept in its own
-    projection and computed once per row, instead of being inlined into the
-    lambda and recomputed for every array element.
+    ``edges`` given as a sorted Python list becomes a binary-search CASE tree
+    (about log2(n) comparisons per row, no lambda), so an expensive ``v`` is
+    never re-evaluated per element.  An array column uses ``filter`` instead.
     """
     vc = _c(v)
+    if isinstance(edges, (list, tuple)):
+        vals = [float(e) for e in edges]
+
+        def node(lo: int, hi: int) -> Column:
+            if lo >= hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            hit = (vc > F.lit(vals[mid])) if strict else (vc >= F.lit(vals[mid]))
+            return F.when(hit, node(mid + 1, hi)).otherwise(node(lo, mid))
+        return F.when(vc.isNull(), F.lit(None)).otherwise(node(0, len(vals)))
     f = (lambda e: e < vc) if strict else (lambda e: e <= vc)
     return F.when(vc.isNull(), F.lit(None)).otherwise(F.size(F.filter(_c(edges), f)))

@@ -37,8 +37,7 @@ def _with_bucket_by_sketch(df: DataFrame, group_cols: Sequence[str], key: str,
     # no groups: n_buckets - 1 edge values come back to the driver as a literal
     row = df.agg(F.percentile_approx(key, probs, 10000).alias("_edges")).first()
     vals = [float(v) for v in (row[0] or [])]
-    arr = F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<double>")
-    return df.withColumn("_bucket", count_le(arr, F.col(key), strict=True))
+    return df.withColumn("_bucket", count_le(sorted(vals), F.col(key), strict=True))
 
 
 _ONE = "_one_group"

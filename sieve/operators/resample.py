@@ -59,7 +59,7 @@ def bootstrap_exact(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_i
 def bootstrap_poisson(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_id",
                       seed: int = BOOT_SEED) -> DataFrame:
     """(replicate, record_id, draws) with Poisson(1) counts; zero counts omitted."""
-    cdf = F.array(*[F.lit(v) for v in poisson1_cdf()])
+    cdf = poisson1_cdf()
     u = hash_unit(F.lit(seed), F.col("replicate"), F.col(id_col))
     return (df.select(id_col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1))).alias("replicate"))
               .withColumn("_u", u)

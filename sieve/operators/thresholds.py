@@ -41,7 +41,7 @@ def f1_by_threshold(df: DataFrame, group_cols: Sequence[str], p: str = "p", y: s
     thr = list(grid or threshold_grid())
     m = len(thr)
     arr = F.array(*[F.lit(float(t)) for t in thr])
-    b = df.withColumn("_j", count_le(arr, F.col(p)))     # p >= t_k  <=>  k < _j
+    b = df.withColumn("_j", count_le(thr, F.col(p)))     # p >= t_k  <=>  k < _j
     cnt = b.groupBy(*g, "_j").agg(F.sum((F.col(y) == 1).cast("long")).alias("_pos"),
                                   F.sum((F.col(y) != 1).cast("long")).alias("_neg"))
     # at most m + 1 (bucket, counts) entries per group: a bounded list
