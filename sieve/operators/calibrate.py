@@ -46,21 +46,10 @@ def metric_table(per_repeat: DataFrame, labels: DataFrame, metrics=METRICS) -> D
     return with_one_row(s, prior)
 
 
-def calibration_fit(oof: DataFrame, c: float = CAL_C, max_iter: int = 1000) -> DataFrame:
-    """Per repeat: slope and intercept of a logistic fit of y on logit(p).
-
-    One-feature fits, one per repeat; each is a small Spark ML job over that
-    repeat's rows (distributed over the rows, not collected)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    spark = oof.sparkSession
-    reps = [r[0] for r in oof.select("repeat").distinct().orderBy("repeat").collect()]   # the repeat ids only
-    rows = []
-    for r in reps:
-        d = (oof.filter(F.col("repeat") == r)
-                .select(array_to_vector(F.array(logit("p"))).alias("features"), F.col("y").cast("double").alias("label")))
-        n = d.count()
-        m = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                               maxIter=max_iter, tol=1e-8).fit(d)
-        rows.append((int(r), float(m.coefficients[0]), float(m.intercept)))
-    return spark.createDataFrame(rows, "repeat int, cal_slope double, cal_intercept double")
+def calibration_fit(oof: DataFrame, c: float = CAL_C) -> DataFrame:
+    """Per repeat: slope and intercept of a near-unpenalised logistic fit of y on
+    logit(p).  All repeats are fitted side by side, one group per repeat."""
+    from .models import fit_linear_many
+    rows = oof.select("repeat", F.array(logit("p")).alias("x"), "y")
+    m = fit_linear_many(rows, ["repeat"], c=c, vec="x", pipeline=False)
+    return m.select("repeat", F.col("u")[0].alias("cal_slope"), F.col("b").alias("cal_intercept"))

@@ -97,5 +97,5 @@ class PCAByVariance(Estimator, HasInputCol, HasOutputCol):
         k = k_for_variance(ratios, self.getOrDefault(self.varianceRatio))
         model = full if k == d else PCA(k=k, inputCol=self.getInputCol(), outputCol=self.getOutputCol()).fit(df)
         model.full_ratios = ratios
-        model.k = k
+        model.n_components_ = k
         return model

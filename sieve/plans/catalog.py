@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import class_name, decide
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from ..operators import neighbors as nb
 from ..sources import adapters as ad
 from . import sql_views as sv
@@ -716,3 +717,174 @@ def axis_bounds(spark, sf_dir):
     u = tr.unionByName(sc)
     return u.groupBy("tag").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"),
                                 F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+
+
+# --------------------------------------------------------------------------- models (rows-only + unit tests)
+from ..operators import features as fe  # noqa: E402
+from ..operators import models as md  # noqa: E402
+
+
+def _train_test(spark, sf_dir):
+    v = ad.vectors(spark, sf_dir)
+    return v.filter(F.col("split") == "train"), v.filter(F.col("split") == "test")
+
+
+@register("score_new")
+def score_new(spark, sf_dir):
+    """Entry point B: fit standardise -> PCA95 -> LR(C=0.001) on the train split,
+    score the hold-out records, call at 0.39 and rank."""
+    tr, te = _train_test(spark, sf_dir)
+    model = md.fit_pipeline(tr)
+    s = md.positive_score(model, te.select("record_id", "embedding", "y"))
+    s = s.withColumn("call", decide("p", OPT_THRESHOLD))
+    return md.rank_desc(s)
+
+
+def _scaled_train(spark, sf_dir):
+    tr, te = _train_test(spark, sf_dir)
+    sc = fe.PopulationStandardScaler(inputCol="features", outputCol="z").fit(md.as_features(tr))
+    return sc, tr, te
+
+
+@register("pca_curve")
+def pca_curve(spark, sf_dir):
+    sc, tr, _ = _scaled_train(spark, sf_dir)
+    z = sc.transform(md.as_features(tr))
+    full = fe.PCAByVariance(inputCol="z", outputCol="pc", varianceRatio=1.0).fit(z)
+    k95 = fe.k_for_variance(full.full_ratios)
+    return fe.variance_curve(full.full_ratios, spark).withColumn("k95", F.lit(k95))
+
+
+@register("pca_map")
+def pca_map(spark, sf_dir):
+    from pyspark.ml.feature import PCA
+    sc, tr, te = _scaled_train(spark, sf_dir)
+    ztr = sc.transform(md.as_features(tr))
+    pca = PCA(k=2, inputCol="z", outputCol="pc").fit(ztr)
+    both = tr.withColumn("tag", F.lit("train")).unionByName(te.withColumn("tag", F.lit("new")))
+    out = pca.transform(sc.transform(md.as_features(both)))
+    return out.select("record_id", "tag", "y", vector_to_array("pc")[0].alias("pc1"),
+                      vector_to_array("pc")[1].alias("pc2"))
+
+
+def _fit_family(spark, sf_dir, family, params):
+    tr, te = _train_test(spark, sf_dir)
+    model = md.fit_pipeline(tr, family, params)
+    return md.positive_score(model, te.select("record_id", "embedding", "y")), model, tr
+
+
+@register("fit_lr_l1")
+def fit_lr_l1(spark, sf_dir):
+    return _fit_family(spark, sf_dir, "Logistic Regression", {"C": 1, "penalty": "l1"})[0]
+
+
+@register("fit_rf")
+def fit_rf(spark, sf_dir):
+    return _fit_family(spark, sf_dir, "Random Forest",
+                       {"n_estimators": 50, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 2})[0]
+
+
+@register("fit_gbt")
+def fit_gbt(spark, sf_dir):
+    return _fit_family(spark, sf_dir, "XGBoost", {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1,
+                                                  "subsample": 0.8, "colsample_bytree": 0.8})[0]
+
+
+@register("fit_svm_linear")
+def fit_svm_linear(spark, sf_dir):
+    """Linear SVM margins, Platt-scaled on the training margins."""
+    s, model, tr = _fit_family(spark, sf_dir, "SVM-Linear", {"C": 1})
+    cal = md.platt(md.positive_score(model, tr.select("record_id", "embedding", "y")))
+    return s.withColumn("margin", F.col("p")).withColumn("p", cal(F.col("margin")))
+
+
+@register("fit_svm_rff")
+def fit_svm_rff(spark, sf_dir):
+    """RBF SVM by random Fourier features on the PCA output (gamma='scale'), then
+    a linear SVM and Platt scaling."""
+    from pyspark.ml.classification import LinearSVC
+    tr, te = _train_test(spark, sf_dir)
+    sc = fe.PopulationStandardScaler(inputCol="features", outputCol="z").fit(md.as_features(tr))
+    pca = fe.PCAByVariance(inputCol="z", outputCol="pc").fit(sc.transform(md.as_features(tr)))
+
+    def proj(df):
+        return pca.transform(sc.transform(md.as_features(df))).select(
+            "record_id", "y", vector_to_array("pc").alias("x"))
+    ptr, pte = proj(tr), proj(te)
+    var = ptr.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]      # one scalar
+    gamma = 1.0 / (pca.n_components_ * var) if var else 1.0 / pca.n_components_
+    ftr = md.random_fourier_features(ptr, pca.n_components_, gamma, vec="x", out="x")
+    fte = md.random_fourier_features(pte, pca.n_components_, gamma, vec="x", out="x")
+    n = ftr.count()
+    svm = LinearSVC(regParam=1.0 / (1.0 * n), standardization=False, maxIter=1000)
+    m = svm.fit(ftr.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label")))
+
+    def margin(df):
+        return m.transform(df.select("record_id", "y", array_to_vector("x").alias("features"))) \
+                .select("record_id", "y", vector_to_array("rawPrediction")[1].alias("p"))
+    cal = md.platt(margin(ftr))
+    return margin(fte).withColumn("margin", F.col("p")).withColumn("p", cal(F.col("margin")))
+
+
+@register("calibration_slope")
+def calibration_slope(spark, sf_dir):
+    return cb.calibration_fit(ad.oof_scores(spark, sf_dir))
+
+
+@register("holdout_eval")
+def holdout_eval(spark, sf_dir):
+    """Refit the selected setting on the train split, evaluate once on the hold-out."""
+    tr, te = _train_test(spark, sf_dir)
+    s = md.positive_score(md.fit_pipeline(tr), te.select("record_id", "embedding", "y")).withColumn("g", F.lit(1))
+    c = mt.confusion(s, ["g"], OPT_THRESHOLD)
+    return c.join(mt.roc_auc(s, ["g"]), "g").join(mt.average_precision(s, ["g"]), "g").drop("g")
+
+
+@register("bootstrap_fit")
+def bootstrap_fit(spark, sf_dir):
+    """Bootstrap of the whole fit: one small pipeline per replicate (draw counts as
+    weights), hold-out records scored by a join, summarised per record."""
+    tr, te = _train_test(spark, sf_dir)
+    counts = rs.bootstrap(tr.select("record_id", "y"), rs.N_BOOT)
+    rows = counts.join(tr.select("record_id", "embedding", "y"), "record_id")
+    models = md.fit_linear_many(rows, ["replicate"], weight="draws")
+    reps = models.select("replicate", "u", "b")
+    scored = md.score_linear(reps, te.select("record_id", "embedding").withColumn("_k", F.lit(0))
+                             .join(reps.select("replicate").withColumn("_k", F.lit(0)), "_k").drop("_k"),
+                             ["replicate"])
+    return rs.boot_summary(scored.select("replicate", "record_id", "p"), OPT_THRESHOLD)
+
+
+@register("oof_fit")
+def oof_fit(spark, sf_dir):
+    """Repeated stratified 5-fold (10 repeats): one small pipeline per (repeat,
+    fold) fitted on the other folds, out-of-fold scores summarised per record."""
+    v = ad.vectors(spark, sf_dir).select("record_id", "embedding", "y")
+    a = sp.repeated_kfold(v)
+    folds = a.select("repeat", "fold").distinct()
+    train = (a.select("repeat", F.col("fold").alias("_own"), "record_id", "embedding", "y")
+              .join(folds, ["repeat"]).filter(F.col("_own") != F.col("fold")).drop("_own"))
+    models = md.fit_linear_many(train, ["repeat", "fold"])
+    oof = md.score_linear(models, a, ["repeat", "fold"])
+    return cb.oof_summary(oof.select("repeat", "record_id", "y", "p"))
+
+
+@register("lr_sweep")
+def lr_sweep(spark, sf_dir):
+    """Model selection over the L2 logistic-regression C grid with real fits:
+    5 seeds x 3 folds x 11 C values as one grouped fit, then the threshold search
+    and selection chain over the validation scores."""
+    tr, _ = _train_test(spark, sf_dir)
+    a = sp.stratified_kfold(tr.select("record_id", "embedding", "y"))
+    grid = sel.grid_frame(spark).filter((F.col("family") == "Logistic Regression")
+                                        & F.col("params").contains('"penalty":"l2"'))
+    grid = grid.withColumn("C", ser.setting_field("params", "C", "double"))
+    folds = a.select("seed", "fold").distinct()
+    train = (a.select("seed", F.col("fold").alias("_own"), "record_id", "embedding", "y")
+              .join(folds, ["seed"]).filter(F.col("_own") != F.col("fold")).drop("_own")
+              .join(F.broadcast(grid.select("grid_pos", "C")), how="inner"))     # fixed 11-row grid
+    models = md.fit_linear_many(train, ["seed", "fold", "grid_pos"], c_col="C")
+    val = md.score_linear(models, a, ["seed", "fold"], carry=["grid_pos"])
+    val = val.withColumn("encoder", F.lit("given")).withColumn("family", F.lit("Logistic Regression"))
+    best = sel.best_settings(sel.setting_means(sel.fold_thresholds(val)), sel.grid_frame(spark))
+    return best
