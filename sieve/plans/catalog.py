@@ -888,3 +888,72 @@ def lr_sweep(spark, sf_dir):
     val = val.withColumn("encoder", F.lit("given")).withColumn("family", F.lit("Logistic Regression"))
     best = sel.best_settings(sel.setting_means(sel.fold_thresholds(val)), sel.grid_frame(spark))
     return best
+
+
+# --------------------------------------------------------------------------- J3 J8 S7 V1c on documents
+NB_TIE_DIGITS = 12
+
+
+def _doc_neighbours(spark, sf_dir):
+    r = ad.records(spark, sf_dir)
+    vec = en.hashed_mean_pool(r.select("record_id", "text"), long_form=False)
+    q = vec.join(r.filter(F.col("target").isNull()).select("record_id"), "record_id", "left_semi")
+    ref = vec.join(r.filter(F.col("target").isNotNull()).select("record_id"), "record_id", "left_semi")
+    top = nb.knn_topk(q, ref, k=nb.TOP_K, tie_digits=NB_TIE_DIGITS)
+    disp = r.select(F.col("record_id").alias("ref_id"), F.col("target").alias("neighbour_label"),
+                    tx.display_text("lang").alias("lang"), tx.display_text("source").alias("source"),
+                    tx.display_text("text", tx.METABOLITE_WIDTH).alias("text_60"))
+    return top.join(disp, "ref_id")
+
+
+def _sql_doc_neighbours() -> str:
+    return _with(sv.records()) + f"""
+, toks AS (SELECT record_id, unnest({_tok('text')}) AS tok FROM records),
+ntok AS (SELECT record_id, len({_tok('text')}) AS n_tokens FROM records),
+per AS (SELECT record_id, CAST({sv.md5_long('tok')} % {en.HASH_DIM} AS INTEGER) AS dim, count(*) AS cnt FROM toks GROUP BY ALL),
+lf AS (SELECT per.record_id, dim, cnt / n_tokens AS weight FROM per JOIN ntok USING (record_id)),
+dense AS (SELECT r.record_id, list(coalesce(lf.weight, 0.0) ORDER BY d.dim) AS v
+          FROM records r CROSS JOIN range({en.HASH_DIM}) d(dim)
+          LEFT JOIN lf ON lf.record_id = r.record_id AND lf.dim = d.dim GROUP BY r.record_id),
+qv AS (SELECT d.* FROM dense d JOIN records r USING (record_id) WHERE r.target IS NULL),
+rv AS (SELECT d.* FROM dense d JOIN records r USING (record_id) WHERE r.target IS NOT NULL),
+pairs AS (SELECT q.record_id AS query_id, rr.record_id AS ref_id,
+                 {sv.cosine('q.v', 'rr.v')} AS cos FROM qv q, rv rr),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, {NB_TIE_DIGITS}) DESC, ref_id) AS rank FROM pairs),
+top AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, ref_id, round(cos, {NB_TIE_DIGITS}) AS cosine FROM ranked WHERE rank <= {nb.TOP_K}),
+nbr AS (
+  SELECT top.*, r.target AS neighbour_label, {_disp('r.lang')} AS lang, {_disp('r.source')} AS source,
+         {_disp('r.text', tx.METABOLITE_WIDTH)} AS text_60
+  FROM top JOIN records r ON r.record_id = top.ref_id)
+"""
+
+
+@register("neighbour_report", _sql_doc_neighbours() + "SELECT * FROM nbr")
+def neighbour_report(spark, sf_dir):
+    """Three nearest labelled documents of every unlabelled document (hashed
+    mean-pooled token vectors, exact cosine) with their label and display text."""
+    return _doc_neighbours(spark, sf_dir).select("query_id", "rank", "ref_id", "cosine", "neighbour_label",
+                                                 "lang", "source", "text_60")
+
+
+@register("neighbour_text", _sql_doc_neighbours() + """
+, lines AS (
+  SELECT query_id, rank, 0 AS ln, '  ' || rank || '. ' || ref_id || ' [' || coalesce(CAST(neighbour_label AS VARCHAR), 'ND')
+         || '] cosine=' || printf('%.3f', round_even(cosine, 3)) AS line FROM nbr
+  UNION ALL SELECT query_id, rank, 1, '     source: ' || source || '  |  lang: ' || lang FROM nbr
+  UNION ALL SELECT query_id, rank, 2, '     text: ' || text_60 FROM nbr
+  UNION ALL SELECT DISTINCT query_id, 0, 0, 'record ' || query_id FROM nbr)
+SELECT query_id, string_agg(line, chr(10) ORDER BY rank, ln) AS report FROM lines GROUP BY query_id""")
+def neighbour_text(spark, sf_dir):
+    from ..sources.sinks import text_blocks
+    nbr = _doc_neighbours(spark, sf_dir)
+    lines = [
+        (F.col("rank"), F.lit(0), F.concat(F.lit("  "), F.col("rank").cast("string"), F.lit(". "),
+                                           F.col("ref_id").cast("string"), F.lit(" ["),
+                                           F.coalesce(F.col("neighbour_label").cast("string"), F.lit("ND")),
+                                           F.lit("] cosine="), F.format_string("%.3f", F.bround("cosine", 3)))),
+        (F.col("rank"), F.lit(1), F.concat(F.lit("     source: "), F.col("source"), F.lit("  |  lang: "), F.col("lang"))),
+        (F.col("rank"), F.lit(2), F.concat(F.lit("     text: "), F.col("text_60"))),
+    ]
+    header = F.concat(F.lit("record "), F.col("query_id").cast("string"))
+    return text_blocks(nbr, "query_id", header, lines, out="report")
