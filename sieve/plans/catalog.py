@@ -406,8 +406,8 @@ summ AS (SELECT encoder, family, avg(cv_f1) AS cv_f1_mean, stddev_samp(cv_f1) AS
 
 
 def _selection(spark, sf_dir):
-    s = ad.sweep_scores(spark, sf_dir)
-    fb = sel.fold_thresholds(s)
+    from ..session import reuse
+    fb = reuse(spark, ("fold_best", sf_dir), lambda: sel.fold_thresholds(ad.sweep_scores(spark, sf_dir)))
     best = sel.best_settings(sel.setting_means(fb), sel.grid_frame(spark))
     return fb, best, sel.summary(best)
 

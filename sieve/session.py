@@ -70,3 +70,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_MEMO: dict = {}
+
+
+def reuse(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Build a derived table once per application and keep it persisted
+    (memory, spilling to disk).  Lineage is kept, so a lost executor's blocks are
+    recomputed; many queries over the same derived table then share one
+    computation instead of re-planning it inside every branch."""
+    from pyspark import StorageLevel
+    k = (spark.sparkContext.applicationId,) + tuple(key)
+    if k not in _MEMO:
+        _MEMO[k] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _MEMO[k]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import centroids, cosine, with_one_row
+from ..session import reuse
 from ..operators.split import stratified_holdout
 from .tables import table
 
@@ -41,7 +42,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("p_partkey", "record_id")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     v = e.select(F.col("vec_id").alias("record_id"),
                  F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
@@ -49,7 +50,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_holdout(v, "y", "record_id")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     mu = centroids(v.filter(F.col("split") == "train"), "embedding", "y")   # classes x dim, bounded
     both = mu.agg(F.max(F.when(F.col("y") == 1, F.col("centroid"))).alias("mu1"),
@@ -87,7 +88,7 @@ def screen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "y", "p", "embedding", "cos1", "cos0")
 
 
-def sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(encoder, family, seed, grid_pos, fold, record_id, p, y): validation scores
     of every setting, seed and fold over the train split."""
     from ..operators.selection import ENCODERS, grid_rows
@@ -105,17 +106,38 @@ def sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.col("seed"), F.col("record_id")))
 
 
-def boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES) -> DataFrame:
+def _boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES) -> DataFrame:
     """(replicate, record_id, grp, name, p): replicate scores of the screened records."""
     s = screen_set(spark, sf_dir).select("record_id", "grp", "name", "p")
     x = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
     return x.withColumn("p", perturb("p", BOOT_NOISE, F.lit("boot"), F.col("replicate"), F.col("record_id")))
 
 
-def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repeat, fold, record_id, y, p): out-of-fold scores of all labelled vectors."""
     from ..operators.split import repeated_kfold
     s = scored(spark, sf_dir).select("record_id", "y", "p")
     r = repeated_kfold(s, "y", "record_id")
     return r.withColumn("p", perturb("p", OOF_NOISE, F.lit("oof"), F.col("repeat"), F.col("record_id"))) \
             .select("repeat", "fold", "record_id", "y", "p")
+
+
+# --- shared derived tables ----------------------------------------------------
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse(spark, ("vectors", sf_dir), lambda: _vectors(spark, sf_dir))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse(spark, ("scored", sf_dir), lambda: _scored(spark, sf_dir))
+
+
+def sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse(spark, ("sweep", sf_dir), lambda: _sweep_scores(spark, sf_dir))
+
+
+def boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES) -> DataFrame:
+    return reuse(spark, ("boot", sf_dir, n_boot), lambda: _boot_scores(spark, sf_dir, n_boot))
+
+
+def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse(spark, ("oof", sf_dir), lambda: _oof_scores(spark, sf_dir))
