@@ -40,6 +40,10 @@ def centroids(df: DataFrame, vec: str, key: str) -> DataFrame:
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a table that has exactly one row (a scalar record).
 
-    The one-row side is broadcast; its size is bounded by construction.
+    The row is read through one scalar subquery (evaluated once, its value
+    inlined into the projection), so no join is planned: the big side keeps
+    its partitioning and its whole-stage codegen span.
     """
-    return df.join(F.broadcast(one_row), how="inner")
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_one")).scalar()
+    return df.withColumn("_one", packed).select(*df.columns, *[F.col("_one")[c].alias(c) for c in cols])

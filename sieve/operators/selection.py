@@ -135,9 +135,8 @@ def summary(best: DataFrame) -> DataFrame:
 
 def winner(summ: DataFrame, best: DataFrame) -> DataFrame:
     """Top (encoder, family) by mean F1 and its modal setting (smallest text on ties)."""
-    top = (summ.withColumn("_r", F.row_number().over(
-                Window.orderBy(F.desc(F.round("cv_f1_mean", COMPARE_DIGITS)), "encoder", "family")))  # one row per family
-               .filter(F.col("_r") == 1).drop("_r"))
+    # first row of the ordered summary: a top-1 (partial top-k per partition, then merged)
+    top = summ.orderBy(F.desc(F.round("cv_f1_mean", COMPARE_DIGITS)), "encoder", "family").limit(1)
     modal = (best.groupBy("encoder", "family", "params").agg(F.count(F.lit(1)).alias("_c"))
                  .withColumn("_r", F.row_number().over(
                      Window.partitionBy("encoder", "family").orderBy(F.desc("_c"), "params")))

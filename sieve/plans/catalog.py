@@ -7,6 +7,7 @@ Queries without an oracle (model fits) are checked by unit tests instead.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -849,9 +850,11 @@ def bootstrap_fit(spark, sf_dir):
     rows = counts.join(tr.select("record_id", "embedding", "y"), "record_id")
     models = md.fit_linear_many(rows, ["replicate"], weight="draws")
     reps = models.select("replicate", "u", "b")
-    scored = md.score_linear(reps, te.select("record_id", "embedding").withColumn("_k", F.lit(0))
-                             .join(reps.select("replicate").withColumn("_k", F.lit(0)), "_k").drop("_k"),
-                             ["replicate"])
+    # every hold-out record is scored by every replicate: the record rows carry the
+    # replicate index, and the model table (N_BOOT x dim numbers) joins on it
+    te_rep = te.select("record_id", "embedding",
+                       F.explode(F.sequence(F.lit(0), F.lit(rs.N_BOOT - 1))).alias("replicate"))
+    scored = md.score_linear(reps, te_rep, ["replicate"])
     return rs.boot_summary(scored.select("replicate", "record_id", "p"), OPT_THRESHOLD)
 
 
@@ -876,13 +879,14 @@ def lr_sweep(spark, sf_dir):
     and selection chain over the validation scores."""
     tr, _ = _train_test(spark, sf_dir)
     a = sp.stratified_kfold(tr.select("record_id", "embedding", "y"))
-    grid = sel.grid_frame(spark).filter((F.col("family") == "Logistic Regression")
-                                        & F.col("params").contains('"penalty":"l2"'))
-    grid = grid.withColumn("C", ser.setting_field("params", "C", "double"))
+    # the L2 sub-grid is a fixed parameter list: each training row carries it
+    settings = [(pos, float(json.loads(js)["C"])) for fam, pos, js in sel.grid_rows()
+                if fam == "Logistic Regression" and json.loads(js).get("penalty") == "l2"]
+    grid = F.array(*[F.struct(F.lit(pos).alias("grid_pos"), F.lit(c).alias("C")) for pos, c in settings])
     folds = a.select("seed", "fold").distinct()
     train = (a.select("seed", F.col("fold").alias("_own"), "record_id", "embedding", "y")
               .join(folds, ["seed"]).filter(F.col("_own") != F.col("fold")).drop("_own")
-              .join(F.broadcast(grid.select("grid_pos", "C")), how="inner"))     # fixed 11-row grid
+              .select("*", F.explode(grid).alias("_g")).select("*", "_g.grid_pos", "_g.C").drop("_g"))
     models = md.fit_linear_many(train, ["seed", "fold", "grid_pos"], c_col="C")
     val = md.score_linear(models, a, ["seed", "fold"], carry=["grid_pos"])
     val = val.withColumn("encoder", F.lit("given")).withColumn("family", F.lit("Logistic Regression"))

@@ -2,8 +2,9 @@
 
 Scoring is stateless: the fitted standardise -> PCA -> classifier pipeline is a
 row-wise transform, so a streaming DataFrame passes through it unchanged.  The
-collapsed linear form (``u``, ``b`` from the small-fit path) is applied as a
-stream-static join with the model table.  No watermark or state is needed.
+collapsed linear form (``u``, ``b`` from the small-fit path) is a fitted model of
+dim + 1 numbers; it is read once and inlined as literals, as Spark ML does with
+model coefficients.  No join, watermark or state is needed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import decide
-from ..functions.vectors import dot, with_one_row
+from ..functions.vectors import dot
 
 
 def score_with_pipeline(stream: DataFrame, model, threshold: float, vec: str = "embedding") -> DataFrame:
@@ -22,10 +23,12 @@ def score_with_pipeline(stream: DataFrame, model, threshold: float, vec: str = "
 
 def score_with_linear(stream: DataFrame, linear_model: DataFrame, threshold: float,
                       vec: str = "embedding") -> DataFrame:
-    """``linear_model`` holds one row (u, b); stream-static join, broadcast."""
-    m = linear_model.select("u", "b")
-    z = dot(vec, "u") + F.col("b")
-    out = with_one_row(stream, m).withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("u", "b")
+    """``linear_model`` holds one row (u, b): dim + 1 numbers, bounded by the
+    model, not by the data."""
+    row = linear_model.select("u", "b").first()
+    u = F.array(*[F.lit(float(x)) for x in row["u"]])
+    z = dot(vec, u) + F.lit(float(row["b"]))
+    out = stream.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
     return out.withColumn("call", decide("p", threshold))
 
 
