@@ -83,6 +83,27 @@ def test_radius_pairs_match_brute_force(spark):
     assert got == want
 
 
+def test_crowding_hot_cell_matches_brute_force(spark):
+    """A third of the points share one grid cell; tiny blocks force the cell to
+    be salted into many sub-blocks.  Counts equal the brute-force loop."""
+    rng = np.random.default_rng(7)
+    spread = rng.uniform(-10, 10, size=(200, 2))
+    hot = rng.uniform(0.1, 1.4, size=(100, 2))              # all inside cell (0, 0) of side 1.5
+    pts = np.vstack([spread, hot])
+    n = len(pts)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)],
+                               "record_id long, x double, y double")
+    got = {r["record_id"]: (r["n_near"], r["n_near_before"])
+           for r in nb.crowding(df, 1.5, block_rows=7).collect()}
+    dx = pts[:, None, 0] - pts[None, :, 0]
+    dy = pts[:, None, 1] - pts[None, :, 1]
+    near = (np.sqrt(dx * dx + dy * dy) < 1.5) & ~np.eye(n, dtype=bool)
+    before = near & (np.arange(n)[None, :] < np.arange(n)[:, None])
+    assert len(got) == n
+    for i in range(n):
+        assert got[i] == (int(near[i].sum()), int(before[i].sum())), i
+
+
 def test_small_fit_matches_spark_ml(spark):
     """The grouped numpy pipeline and the Spark ML pipeline give the same scores."""
     rng = np.random.default_rng(5)
