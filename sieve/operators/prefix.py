@@ -46,11 +46,13 @@ _ONE = "_one_group"
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
                 sum_cols: Sequence[str], tie_cols: Sequence[str] = (),
                 inclusive: bool = False, out_prefix: str = "cum_",
-                n_buckets: int | None = None) -> DataFrame:
+                n_buckets: int | None = None, totals: bool = False) -> DataFrame:
     """Running sums of ``sum_cols`` over rows of a group ordered by ``key`` then
     ``tie_cols`` (ascending; pass ``-p`` for descending).  Exclusive by default.
 
-    Adds ``{out_prefix}{c}`` for each ``c`` in ``sum_cols``.
+    Adds ``{out_prefix}{c}`` for each ``c`` in ``sum_cols``; with ``totals`` also
+    the group total ``_total_{c}`` (carried on the bucket table that is joined
+    anyway, so it costs no extra pass).
     """
     g = list(group_cols)
     k = key if isinstance(key, Column) else F.col(key)
@@ -59,7 +61,9 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
     tot = d.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*g, "_bucket", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
-                                      for c in sum_cols])
+                                      for c in sum_cols],
+                      *([F.sum(f"_bt_{c}").over(Window.partitionBy(*g)).alias(f"_total_{c}") for c in sum_cols]
+                        if totals else []))
     d = d.join(offs, g + ["_bucket"], "left")
     end = 0 if inclusive else -1
     wr = (Window.partitionBy(*g, "_bucket").orderBy("_key", *tie_cols)

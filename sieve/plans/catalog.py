@@ -838,7 +838,7 @@ def holdout_eval(spark, sf_dir):
     tr, te = _train_test(spark, sf_dir)
     s = md.positive_score(md.fit_pipeline(tr), te.select("record_id", "embedding", "y")).withColumn("g", F.lit(1))
     c = mt.confusion(s, ["g"], OPT_THRESHOLD)
-    return c.join(mt.roc_auc(s, ["g"]), "g").join(mt.average_precision(s, ["g"]), "g").drop("g")
+    return c.join(mt.rank_metrics(s, ["g"]), "g").drop("g")
 
 
 @register("bootstrap_fit")
