@@ -26,6 +26,8 @@ N_BOOT = 1000
 BOOT_SEED = 42
 # ---------------------------------------------------------------------------
 
+DRAWS_PER_SLICE = 4_000_000
+
 
 def poisson1_cdf(kmax: int = 12) -> list[float]:
     """Cumulative Poisson(1) probabilities P(X <= k), k = 0..kmax."""
@@ -49,8 +51,12 @@ def bootstrap_exact(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_i
     spark = df.sparkSession
     idx = dense_index(df.select(id_col), id_col, seed)
     n = df.count()                                   # one scalar to the driver
-    draws = (spark.range(n_boot).withColumnRenamed("id", "replicate")
-             .select("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("draw"))
+    total = n_boot * n
+    # the (replicate, draw) grid comes from one range cut into even slices, so no
+    # task generates a whole replicate's draws
+    slices = max(spark.sparkContext.defaultParallelism, math.ceil(total / DRAWS_PER_SLICE))
+    draws = (spark.range(0, total, numPartitions=slices)
+             .select((F.col("id") / F.lit(n)).cast("long").alias("replicate"), (F.col("id") % F.lit(n)).alias("draw"))
              .withColumn("row_idx", hash_long(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(n))
              .groupBy("replicate", "row_idx").agg(F.count(F.lit(1)).alias("draws")))
     return draws.join(idx, "row_idx").select("replicate", id_col, "draws")
