@@ -191,10 +191,20 @@ def fit_linear_many(rows: DataFrame, keys: list[str], c_col: str | None = None,
 
 
 def score_linear(models: DataFrame, rows: DataFrame, on: list[str], vec: str = "embedding",
-                 carry: list[str] = ()) -> DataFrame:
+                 carry: list[str] = (), max_models: int | None = None) -> DataFrame:
     """p = sigmoid(u . x + b) for rows joined to their models on ``on``;
-    ``carry`` keeps further model keys (several models per join key)."""
-    j = rows.join(models.select(*on, *carry, "u", "b"), on)
+    ``carry`` keeps further model keys (several models per join key).
+
+    ``max_models`` is the caller's bound on the number of models (replicates,
+    folds x repeats, a parameter grid: fixed by parameters, not by the data).
+    With it the model table (``max_models`` x dim numbers) is broadcast, so the
+    score rows stream through the join and are never the hashed side; the
+    planner's estimate alone can mistake an exploded side for a small one.
+    """
+    m = models.select(*on, *carry, "u", "b")
+    if max_models is not None:
+        m = F.broadcast(m)
+    j = rows.join(m, on)
     z = dot(vec, "u") + F.col("b")
     return j.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("u", "b")
 

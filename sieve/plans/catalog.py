@@ -854,7 +854,7 @@ def bootstrap_fit(spark, sf_dir):
     # replicate index, and the model table (N_BOOT x dim numbers) joins on it
     te_rep = te.select("record_id", "embedding",
                        F.explode(F.sequence(F.lit(0), F.lit(rs.N_BOOT - 1))).alias("replicate"))
-    scored = md.score_linear(reps, te_rep, ["replicate"])
+    scored = md.score_linear(reps, te_rep, ["replicate"], max_models=rs.N_BOOT)
     return rs.boot_summary(scored.select("replicate", "record_id", "p"), OPT_THRESHOLD)
 
 
@@ -868,7 +868,7 @@ def oof_fit(spark, sf_dir):
     train = (a.select("repeat", F.col("fold").alias("_own"), "record_id", "embedding", "y")
               .join(folds, ["repeat"]).filter(F.col("_own") != F.col("fold")).drop("_own"))
     models = md.fit_linear_many(train, ["repeat", "fold"])
-    oof = md.score_linear(models, a, ["repeat", "fold"])
+    oof = md.score_linear(models, a, ["repeat", "fold"], max_models=sp.OOF_REPEATS * sp.OOF_FOLDS)
     return cb.oof_summary(oof.select("repeat", "record_id", "y", "p"))
 
 
@@ -888,7 +888,8 @@ def lr_sweep(spark, sf_dir):
               .join(folds, ["seed"]).filter(F.col("_own") != F.col("fold")).drop("_own")
               .select("*", F.explode(grid).alias("_g")).select("*", "_g.grid_pos", "_g.C").drop("_g"))
     models = md.fit_linear_many(train, ["seed", "fold", "grid_pos"], c_col="C")
-    val = md.score_linear(models, a, ["seed", "fold"], carry=["grid_pos"])
+    val = md.score_linear(models, a, ["seed", "fold"], carry=["grid_pos"],
+                          max_models=len(sp.CV_SEEDS) * sp.CV_FOLDS * len(settings))
     val = val.withColumn("encoder", F.lit("given")).withColumn("family", F.lit("Logistic Regression"))
     best = sel.best_settings(sel.setting_means(sel.fold_thresholds(val)), sel.grid_frame(spark))
     return best
