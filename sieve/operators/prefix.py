@@ -93,14 +93,35 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,
     return d.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_hk", "_hb", "_off")
 
 
+# Rows per group up to which one task may hold a group's distinct values (Spark's
+# exact ``percentile`` aggregate); larger groups take the bucketed path.
+SMALL_GROUP_ROWS = 1_000_000
+
+
+def _largest_group(df: DataFrame, g: Sequence[str]) -> int:
+    """Rows in the largest group: one aggregation, one scalar to the driver."""
+    if not g:
+        return df.count()
+    return df.groupBy(*g).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+
+
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
+                    probs: Sequence[float], n_buckets: int | None = None,
+                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Linear-interpolated quantiles (numpy's default), exact, per group.
 
-    Returns (group..., q_idx, q, value).  Works on distinct values with counts,
-    located through bucketed prefix counts, so no task holds a whole group.
+    Returns (group..., q_idx, q, value).  When the largest group has at most
+    ``small_group_rows`` rows (checked first), Spark's exact ``percentile``
+    aggregate computes all groups in one pass.  Otherwise the quantiles are found
+    among distinct values with counts, located through bucketed prefix counts, so
+    no task holds a whole group.
     """
     g = list(group_cols)
+    if _largest_group(df, g) <= small_group_rows:
+        qs = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
+        per = df.groupBy(*g).agg(F.percentile(F.col(value_col).cast("double"), [float(q) for q in probs]).alias("_v"))
+        return (per.select(*g, "_v", F.posexplode(qs).alias("_i", "_t"))
+                   .select(*g, "_t.q_idx", "_t.q", F.col("_v")[F.col("_i")].alias("value")))
     nb = n_buckets or _default_buckets(df)
     if not g:
         df, g = df.withColumn(_ONE, F.lit(0)), [_ONE]

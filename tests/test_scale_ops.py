@@ -33,11 +33,16 @@ def test_exact_quantiles_match_numpy(spark):
     g = rng.integers(0, 2, 300)
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, vals)], "g int, v double")
     qs = [0.0, 0.025, 0.2, 0.5, 0.975, 1.0]
-    got = {(r["g"], r["q_idx"]): r["value"] for r in exact_quantiles(df, ["g"], "v", qs, n_buckets=5).collect()}
-    for gg in (0, 1):
-        want = np.quantile(vals[g == gg], qs)
-        for i, w in enumerate(want):
-            assert abs(got[(gg, i)] - w) < 1e-12
+    # small_group_rows=0 forces the bucketed path; the default takes the one-pass aggregate
+    for limit in (0, 10_000):
+        got = {(r["g"], r["q_idx"]): r["value"]
+               for r in exact_quantiles(df, ["g"], "v", qs, n_buckets=5, small_group_rows=limit).collect()}
+        for gg in (0, 1):
+            want = np.quantile(vals[g == gg], qs)
+            for i, w in enumerate(want):
+                assert abs(got[(gg, i)] - w) < 1e-12, (limit, gg, i)
+    ungrouped = {r["q_idx"]: r["value"] for r in exact_quantiles(df, [], "v", qs, small_group_rows=0).collect()}
+    assert all(abs(ungrouped[i] - w) < 1e-12 for i, w in enumerate(np.quantile(vals, qs)))
 
 
 def test_bootstrap_exact_sums_to_n(spark):
