@@ -42,20 +42,62 @@ def _with_bucket_by_sketch(df: DataFrame, group_cols: Sequence[str], key: str,
 
 _ONE = "_one_group"
 
+# Rows per group up to which one task may hold a whole group (a plain window, or
+# Spark's exact ``percentile`` aggregate); larger groups take the bucketed paths.
+SMALL_GROUP_ROWS = 1_000_000
+
+
+def _group_shape(df: DataFrame, g: Sequence[str]) -> tuple[int, int]:
+    """(rows in the largest group, number of groups): one aggregation, two
+    scalars to the driver."""
+    if not g:
+        return df.count(), 1
+    r = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c"), F.count(F.lit(1))).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
+def _largest_group(df: DataFrame, g: Sequence[str]) -> int:
+    return _group_shape(df, g)[0]
+
+
+def _spread(df: DataFrame, n_groups: int, *keys) -> DataFrame:
+    """A plain window leaves its rows partitioned by the group key; with fewer
+    groups than shuffle partitions (then at most that many x ``SMALL_GROUP_ROWS``
+    rows) the rows are spread again by a row key, so that work downstream (joins,
+    explodes) does not run in a handful of tasks."""
+    n = n_partitions(df.sparkSession)
+    return df.repartition(n, *keys) if n_groups < n else df
+
+
+
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
                 sum_cols: Sequence[str], tie_cols: Sequence[str] = (),
                 inclusive: bool = False, out_prefix: str = "cum_",
-                n_buckets: int | None = None, totals: bool = False) -> DataFrame:
+                n_buckets: int | None = None, totals: bool = False,
+                small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Running sums of ``sum_cols`` over rows of a group ordered by ``key`` then
     ``tie_cols`` (ascending; pass ``-p`` for descending).  Exclusive by default.
 
     Adds ``{out_prefix}{c}`` for each ``c`` in ``sum_cols``; with ``totals`` also
     the group total ``_total_{c}`` (carried on the bucket table that is joined
-    anyway, so it costs no extra pass).
+    anyway, so it costs no extra pass).  Groups of at most ``small_group_rows``
+    rows (checked first) use a plain window per group instead of buckets.
     """
     g = list(group_cols)
     k = key if isinstance(key, Column) else F.col(key)
+    end = 0 if inclusive else -1
+    largest, n_groups = _group_shape(df, g)
+    if largest <= small_group_rows:
+        # every group fits one task: a plain running window per group
+        w = Window.partitionBy(*g).orderBy(k, *tie_cols).rowsBetween(Window.unboundedPreceding, end)
+        d = df
+        for c in sum_cols:
+            d = d.withColumn(f"{out_prefix}{c}", F.coalesce(F.sum(c).over(w), F.lit(0)))
+        if totals:
+            for c in sum_cols:
+                d = d.withColumn(f"_total_{c}", F.sum(c).over(Window.partitionBy(*g)))
+        return _spread(d, n_groups, *([F.col(c) for c in tie_cols] or [k]))
     d = df.withColumn("_key", k)
     d = _with_bucket_by_sketch(d, g, "_key", n_buckets or _default_buckets(df))
     tot = d.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
@@ -65,7 +107,6 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
                       *([F.sum(f"_bt_{c}").over(Window.partitionBy(*g)).alias(f"_total_{c}") for c in sum_cols]
                         if totals else []))
     d = d.join(offs, g + ["_bucket"], "left")
-    end = 0 if inclusive else -1
     wr = (Window.partitionBy(*g, "_bucket").orderBy("_key", *tie_cols)
           .rowsBetween(Window.unboundedPreceding, end))
     for c in sum_cols:
@@ -74,15 +115,21 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
 
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,
-              tie_col: str, out: str = "pos", hex_digits: int = 3) -> DataFrame:
+              tie_col: str, out: str = "pos", hex_digits: int = 3,
+              small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """1-based rank inside each group, ordered by an md5 hex key then ``tie_col``.
 
     Buckets are the first ``hex_digits`` hex digits of the key (16**hex_digits of
     them, uniform by construction), so each row-level window sees about
-    ``rows_in_group / 16**hex_digits`` rows however large a group is.
+    ``rows_in_group / 16**hex_digits`` rows however large a group is.  Groups of
+    at most ``small_group_rows`` rows (checked first) use a plain window.
     """
     g = list(group_cols)
     hk = hex_key if isinstance(hex_key, Column) else F.col(hex_key)
+    largest, n_groups = _group_shape(df, g)
+    if largest <= small_group_rows:
+        w = Window.partitionBy(*g).orderBy(hk, tie_col)
+        return _spread(df.withColumn(out, F.row_number().over(w).cast("long")), n_groups, F.col(tie_col))
     d = (df.withColumn("_hk", hk)
            .withColumn("_hb", F.conv(F.substring("_hk", 1, hex_digits), 16, 10).cast("int")))
     cnt = d.groupBy(*g, "_hb").agg(F.count(F.lit(1)).alias("_n"))
@@ -93,18 +140,6 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,
     return d.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_hk", "_hb", "_off")
 
 
-# Rows per group up to which one task may hold a group's distinct values (Spark's
-# exact ``percentile`` aggregate); larger groups take the bucketed path.
-SMALL_GROUP_ROWS = 1_000_000
-
-
-def _largest_group(df: DataFrame, g: Sequence[str]) -> int:
-    """Rows in the largest group: one aggregation, one scalar to the driver."""
-    if not g:
-        return df.count()
-    return df.groupBy(*g).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-
-
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], n_buckets: int | None = None,
                     small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:

@@ -13,18 +13,25 @@ def test_prefix_sums_match_window(spark):
     rng = np.random.default_rng(0)
     rows = [(int(g), float(v), int(i)) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 500), rng.random(500)))]
     df = spark.createDataFrame(rows, "g int, v double, id int").withColumn("one", F.lit(1).cast("long"))
-    got = prefix_sums(df, ["g"], F.col("v"), ["one"], tie_cols=["id"], n_buckets=7).select("id", "cum_one")
     w = Window.partitionBy("g").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, -1)
-    want = df.select("id", F.coalesce(F.sum("one").over(w), F.lit(0)).alias("cum_one"))
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    want = df.select("id", F.coalesce(F.sum("one").over(w), F.lit(0)).alias("cum_one"),
+                     F.sum("one").over(Window.partitionBy("g")).alias("_total_one"))
+    for limit in (0, 10_000):           # bucketed path, then the plain-window path
+        got = prefix_sums(df, ["g"], F.col("v"), ["one"], tie_cols=["id"], n_buckets=7, totals=True,
+                          small_group_rows=limit).select("id", "cum_one", "_total_one")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, limit
 
 
 def test_hash_rank_is_dense(spark):
     df = spark.range(1000).withColumn("g", (F.col("id") % 3).cast("int"))
-    r = hash_rank(df, ["g"], F.md5(F.col("id").cast("string")), "id", hex_digits=2)
-    per = r.groupBy("g").agg(F.min("pos"), F.max("pos"), F.count("*"), F.countDistinct("pos")).collect()
-    for x in per:
-        assert x[1] == 1 and x[2] == x[3] == x[4]
+    ranks = []
+    for limit in (0, 10_000):           # bucketed path, then the plain-window path
+        r = hash_rank(df, ["g"], F.md5(F.col("id").cast("string")), "id", hex_digits=2, small_group_rows=limit)
+        per = r.groupBy("g").agg(F.min("pos"), F.max("pos"), F.count("*"), F.countDistinct("pos")).collect()
+        for x in per:
+            assert x[1] == 1 and x[2] == x[3] == x[4]
+        ranks.append({row["id"]: row["pos"] for row in r.collect()})
+    assert ranks[0] == ranks[1]
 
 
 def test_exact_quantiles_match_numpy(spark):
