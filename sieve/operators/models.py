@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -158,18 +159,65 @@ def linear_pipeline_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float,
     return u, b0 - float(u @ mu), k
 
 
+def collapse_pipeline(model) -> tuple[np.ndarray, float, int]:
+    """A fitted population-sd scaler -> PCA -> logistic regression pipeline as
+    ``logit = u . x + b`` (each stage is affine).  A zero-variance input column
+    scales to 0, so its weight is 0."""
+    scaler, pca, lr = model.stages
+    sm, ep = scaler.stages
+    mean, std = sm.mean.toArray(), sm.std.toArray()
+    f = ep.getScalingVec().toArray()
+    w = pca.pc.toArray() @ lr.coefficients.toArray()
+    scale = np.divide(f, std, out=np.zeros_like(std), where=std != 0)
+    u = w * scale
+    return u, float(lr.intercept) - float(u @ mean), int(pca.pc.numCols)
+
+
+def _fit_linear_distributed(rows: DataFrame, keys: list[str], c_col: str | None, c: float, vec: str,
+                            label: str, weight: str | None, pipeline: bool) -> DataFrame:
+    """One distributed Spark ML fit per model key, collapsed to (u, b).
+
+    The model keys (replicates, folds, grid points) are fixed by parameters, so
+    their list and the fitted coefficients (models x dim numbers) are small; the
+    training rows never leave the executors.  Draw counts become repeated rows,
+    since Spark's scaler and PCA take no weights.
+    """
+    spark = rows.sparkSession
+    key_rows = rows.select(*keys, *([c_col] if c_col else [])).distinct().collect()
+    out = []
+    for kr in key_rows:
+        part = rows.filter(reduce(lambda a, b_: a & b_, [F.col(k) == F.lit(kr[k]) for k in keys]))
+        if weight:
+            part = part.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int")))) \
+                       .drop("_copy")
+        cc = float(kr[c_col]) if c_col else c
+        if pipeline:
+            n = part.count()
+            u, b, k = collapse_pipeline(fit_pipeline(part, params={"C": cc, "penalty": "l2"}, vec=vec, label=label))
+        else:
+            d = as_features(part, vec).withColumn("label", F.col(label).cast("double"))
+            n = d.count()
+            lr = classifier("Logistic Regression", {"C": cc, "penalty": "l2"}, n).fit(d)
+            u, b, k = lr.coefficients.toArray(), float(lr.intercept), lr.numFeatures
+        out.append(tuple(kr[k_] for k_ in keys) + ([float(x) for x in u], float(b), int(k), int(n)))
+    schema = ", ".join([f"{k} {t}" for k, t in rows.select(*keys).dtypes]) + \
+        ", u array<double>, b double, k int, n long"
+    return spark.createDataFrame(out, schema)
+
+
 def fit_linear_many(rows: DataFrame, keys: list[str], c_col: str | None = None, c: float = BEST_C,
                     vec: str = "embedding", label: str = "y", weight: str | None = None,
-                    pipeline: bool = True) -> DataFrame:
+                    pipeline: bool = True, small_rows: int = SMALL_FIT_MAX_ROWS) -> DataFrame:
     """Fit one linear pipeline per ``keys`` group of training rows.
 
     Returns (keys..., u array<double>, b double, k int, n long).  Each group is
-    one model's training set; the caller guarantees (and this function checks)
-    that no group exceeds ``SMALL_FIT_MAX_ROWS`` rows.
+    one model's training set.  When every group has at most ``small_rows`` rows
+    (checked first), all models are fitted side by side, one group per task;
+    otherwise each model is one distributed Spark ML fit.
     """
-    big = rows.groupBy(*keys).count().filter(F.col("count") > SMALL_FIT_MAX_ROWS).limit(1).count()
+    big = rows.groupBy(*keys).count().filter(F.col("count") > small_rows).limit(1).count()
     if big:
-        raise ValueError("training set too large for the small-fit path; use fit_pipeline per model")
+        return _fit_linear_distributed(rows, keys, c_col, c, vec, label, weight, pipeline)
     cols = keys + [vec, label] + ([weight] if weight else []) + ([c_col] if c_col else [])
     schema = ", ".join([f"{k} {t}" for k, t in rows.select(*keys).dtypes]) + \
         ", u array<double>, b double, k int, n long"

@@ -864,9 +864,10 @@ def oof_fit(spark, sf_dir):
     fold) fitted on the other folds, out-of-fold scores summarised per record."""
     v = ad.vectors(spark, sf_dir).select("record_id", "embedding", "y")
     a = sp.repeated_kfold(v)
-    folds = a.select("repeat", "fold").distinct()
-    train = (a.select("repeat", F.col("fold").alias("_own"), "record_id", "embedding", "y")
-              .join(folds, ["repeat"]).filter(F.col("_own") != F.col("fold")).drop("_own"))
+    # each row trains the models of the other k - 1 folds of its repeat
+    train = (a.select("repeat", F.col("fold").alias("_own"), "record_id", "embedding", "y",
+                      F.explode(F.sequence(F.lit(0), F.lit(sp.OOF_FOLDS - 1))).alias("fold"))
+              .filter(F.col("_own") != F.col("fold")).drop("_own"))
     models = md.fit_linear_many(train, ["repeat", "fold"])
     oof = md.score_linear(models, a, ["repeat", "fold"], max_models=sp.OOF_REPEATS * sp.OOF_FOLDS)
     return cb.oof_summary(oof.select("repeat", "record_id", "y", "p"))
@@ -883,9 +884,9 @@ def lr_sweep(spark, sf_dir):
     settings = [(pos, float(json.loads(js)["C"])) for fam, pos, js in sel.grid_rows()
                 if fam == "Logistic Regression" and json.loads(js).get("penalty") == "l2"]
     grid = F.array(*[F.struct(F.lit(pos).alias("grid_pos"), F.lit(c).alias("C")) for pos, c in settings])
-    folds = a.select("seed", "fold").distinct()
-    train = (a.select("seed", F.col("fold").alias("_own"), "record_id", "embedding", "y")
-              .join(folds, ["seed"]).filter(F.col("_own") != F.col("fold")).drop("_own")
+    train = (a.select("seed", F.col("fold").alias("_own"), "record_id", "embedding", "y",
+                      F.explode(F.sequence(F.lit(0), F.lit(sp.CV_FOLDS - 1))).alias("fold"))
+              .filter(F.col("_own") != F.col("fold")).drop("_own")
               .select("*", F.explode(grid).alias("_g")).select("*", "_g.grid_pos", "_g.C").drop("_g"))
     models = md.fit_linear_many(train, ["seed", "fold", "grid_pos"], c_col="C")
     val = md.score_linear(models, a, ["seed", "fold"], carry=["grid_pos"],

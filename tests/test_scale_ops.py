@@ -132,3 +132,26 @@ def test_small_fit_matches_spark_ml(spark):
     assert max(abs(pn[i] - sp_[i]) for i in range(n)) < 1e-4
     grouped = md.fit_linear_many(df.withColumn("key", F.lit(1)), ["key"], c=c).first()
     assert abs(grouped["b"] - b) < 1e-8 and np.allclose(grouped["u"], u, atol=1e-8)
+
+
+def test_distributed_fits_match_small_fits(spark):
+    """Above the per-model row bound each model is a distributed Spark ML fit,
+    collapsed to (u, b); it agrees with the grouped numpy path, with and without
+    draw-count weights and without the scaler / PCA stages."""
+    rng = np.random.default_rng(8)
+    n, d = 120, 6
+    x = rng.normal(size=(n, d)) @ rng.normal(size=(d, d))
+    y = (x[:, 0] + 0.5 * rng.normal(size=n) > 0).astype(int)
+    draws = rng.integers(0, 3, n)
+    rows = [(int(g), i, v.tolist(), int(t), int(w)) for g in (0, 1) for i, (v, t, w) in enumerate(zip(x, y, draws))]
+    df = spark.createDataFrame(rows, "g int, record_id long, embedding array<double>, y int, draws int") \
+        .filter((F.col("g") == 0) | (F.col("draws") > 0))
+    for kw in ({}, {"weight": "draws"}, {"pipeline": False}):
+        small = {r["g"]: r for r in md.fit_linear_many(df, ["g"], c=0.5, **kw).collect()}
+        dist = {r["g"]: r for r in md.fit_linear_many(df, ["g"], c=0.5, small_rows=0, **kw).collect()}
+        for g in (0, 1):
+            a, b = small[g], dist[g]
+            assert a["n"] == b["n"] and a["k"] == b["k"], kw
+            pa = 1 / (1 + np.exp(-(x @ np.array(a["u"]) + a["b"])))
+            pb = 1 / (1 + np.exp(-(x @ np.array(b["u"]) + b["b"])))
+            assert np.max(np.abs(pa - pb)) < 1e-4, (kw, g, np.max(np.abs(pa - pb)))
