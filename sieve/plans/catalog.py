@@ -903,9 +903,13 @@ NB_TIE_DIGITS = 12
 def _doc_neighbours(spark, sf_dir):
     r = ad.records(spark, sf_dir)
     vec = en.hashed_mean_pool(r.select("record_id", "text"), long_form=False)
-    q = vec.join(r.filter(F.col("target").isNull()).select("record_id"), "record_id", "left_semi")
-    ref = vec.join(r.filter(F.col("target").isNotNull()).select("record_id"), "record_id", "left_semi")
-    top = nb.knn_topk(q, ref, k=nb.TOP_K, tie_digits=NB_TIE_DIGITS)
+    q_ids = r.filter(F.col("target").isNull()).select("record_id")
+    ref_ids = r.filter(F.col("target").isNotNull()).select("record_id")
+    q = vec.join(q_ids, "record_id", "left_semi")
+    ref = vec.join(ref_ids, "record_id", "left_semi")
+    # every record has a vector: the key tables give the block sizes without tokenising
+    top = nb.knn_topk(q, ref, k=nb.TOP_K, tie_digits=NB_TIE_DIGITS,
+                      n_queries=q_ids.count(), n_refs=ref_ids.count())
     disp = r.select(F.col("record_id").alias("ref_id"), F.col("target").alias("neighbour_label"),
                     tx.display_text("lang").alias("lang"), tx.display_text("source").alias("source"),
                     tx.display_text("text", tx.METABOLITE_WIDTH).alias("text_60"))
