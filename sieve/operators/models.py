@@ -41,6 +41,23 @@ MAX_DEPTH_NONE = 30             # "no depth limit" mapped to Spark's deepest tre
 SMALL_FIT_MAX_ROWS = 200_000    # rows per model for the many-small-fits path
 # ---------------------------------------------------------------------------
 
+FIT_PARTITION_BYTES = 64 << 20  # vector bytes per partition for iterative distributed fits
+
+
+def sized_for_fit(df: DataFrame, vec: str = "embedding") -> tuple[DataFrame, int]:
+    """Training rows in as many partitions as their size needs, never more than
+    they already have (``coalesce``: no shuffle), and their count.
+
+    Iterative Spark ML solvers run one job per iteration over every partition; a
+    few hundred rows spread over the shuffle partitions spend most of each
+    iteration on task overhead, while a large training set keeps its partitions.
+    """
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    n, d = int(r["n"]), int(r["d"] or 1)
+    parts = max(1, min(df.rdd.getNumPartitions(), math.ceil(n * d * 8 / FIT_PARTITION_BYTES)))
+    return df.coalesce(parts), n
+
+
 
 def as_features(df: DataFrame, vec: str = "embedding", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(vec)))
@@ -71,8 +88,8 @@ def fit_pipeline(train: DataFrame, family: str = "Logistic Regression", params:
                  vec: str = "embedding", label: str = "y", seed: int = 42, variance: float = PCA_VARIANCE):
     """Fit standardise -> PCA(variance) -> classifier on ``train`` only."""
     params = params or {"C": BEST_C, "penalty": "l2"}
+    train, n = sized_for_fit(train, vec)
     d = as_features(train, vec).withColumn("label", F.col(label).cast("double"))
-    n = d.count()
     stages = [PopulationStandardScaler(inputCol="features", outputCol="_z"),
               PCAByVariance(inputCol="_z", outputCol="_pc", varianceRatio=variance)]
     clf = classifier(family, params, n, seed).setFeaturesCol("_pc").setLabelCol("label")
@@ -195,8 +212,8 @@ def _fit_linear_distributed(rows: DataFrame, keys: list[str], c_col: str | None,
             n = part.count()
             u, b, k = collapse_pipeline(fit_pipeline(part, params={"C": cc, "penalty": "l2"}, vec=vec, label=label))
         else:
+            part, n = sized_for_fit(part, vec)
             d = as_features(part, vec).withColumn("label", F.col(label).cast("double"))
-            n = d.count()
             lr = classifier("Logistic Regression", {"C": cc, "penalty": "l2"}, n).fit(d)
             u, b, k = lr.coefficients.toArray(), float(lr.intercept), lr.numFeatures
         out.append(tuple(kr[k_] for k_ in keys) + ([float(x) for x in u], float(b), int(k), int(n)))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .features import PCAByVariance, PopulationStandardScaler
-from .models import as_features, classifier, platt, random_fourier_features
+from .models import as_features, classifier, platt, random_fourier_features, sized_for_fit
 from .split import CV_FOLDS, CV_SEEDS, stratified_kfold
 
 SWEEP_PARALLELISM = 4           # concurrent fit jobs
@@ -49,7 +49,8 @@ SCORE_SCHEMA = ("encoder string, family string, seed int, grid_pos int, fold int
 def _fold_features(a: DataFrame, seed: int, fold: int, id_col: str, vec: str, label: str):
     """(train, validation, n_train, k): PCA features fitted on the training side."""
     mine = a.filter(F.col("seed") == seed)
-    tr, va = mine.filter(F.col("fold") != fold), mine.filter(F.col("fold") == fold)
+    tr, _ = sized_for_fit(mine.filter(F.col("fold") != fold), vec)
+    va = mine.filter(F.col("fold") == fold)
     stages = Pipeline(stages=[PopulationStandardScaler(inputCol="features", outputCol="_z"),
                               PCAByVariance(inputCol="_z", outputCol="_pc")]).fit(as_features(tr, vec))
     k = stages.stages[-1].n_components_

@@ -816,7 +816,7 @@ def fit_svm_rff(spark, sf_dir):
     gamma = 1.0 / (pca.n_components_ * var) if var else 1.0 / pca.n_components_
     ftr = md.random_fourier_features(ptr, pca.n_components_, gamma, vec="x", out="x")
     fte = md.random_fourier_features(pte, pca.n_components_, gamma, vec="x", out="x")
-    n = ftr.count()
+    ftr, n = md.sized_for_fit(ftr, "x")
     svm = LinearSVC(regParam=1.0 / (1.0 * n), standardization=False, maxIter=1000)
     m = svm.fit(ftr.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label")))
 
