@@ -1,10 +1,10 @@
 """Decision thresholds: F1-optimal threshold search and threshold sensitivity.
 
-The search evaluates all 91 grid thresholds of every group in one aggregation:
-each score is bucketed by how many grid thresholds it reaches, counts per
-(group, bucket) are summed from the top bucket down (a window over at most 92
-rows per group), and F1 follows from the counts.  That is O(rows), not
-O(rows x thresholds), and it handles any number of groups in one job.
+The search evaluates all 91 grid thresholds of every group at once: each score
+is bucketed by how many grid thresholds it reaches, counts per (group, bucket)
+are summed from the top bucket down (a window over at most 92 rows per group),
+and F1 follows from the counts.  That is O(rows), not O(rows x thresholds), and
+it handles any number of groups in one job.
 """
 
 from __future__ import annotations
@@ -65,13 +65,38 @@ def f1_by_threshold(df: DataFrame, group_cols: Sequence[str], p: str = "p", y: s
 def best_threshold(df: DataFrame, group_cols: Sequence[str], p: str = "p", y: str = "y",
                    grid: Sequence[float] | None = None) -> DataFrame:
     """(group..., threshold, f1): highest F1, lowest threshold on ties; (0.5, 0)
-    when no threshold reaches F1 > 0."""
+    when no threshold reaches F1 > 0.
+
+    Scores are bucketed by how many grid thresholds they reach (``_j``); counts
+    per (group, bucket) are at most ``len(grid) + 1`` rows per group.  F1 only
+    changes where an occupied bucket begins: for occupied buckets j1 < j2 < ...,
+    every threshold index k in [j(i-1), j(i) - 1] calls exactly the rows of
+    buckets >= j(i), and the lowest such k is the previous occupied bucket (0 for
+    the first).  So the candidates are the occupied buckets, with running counts
+    from the top bucket down; no per-threshold rows are made.
+    """
     g = list(group_cols)
-    f = f1_by_threshold(df, g, p, y, grid)
-    w = Window.partitionBy(*g).orderBy(F.desc("f1"), F.asc("k"))                       # 91 rows per group
-    top = f.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-    return top.select(*g, F.when(F.col("f1") > 0, F.col("threshold")).otherwise(F.lit(DEFAULT_THRESHOLD))
-                      .alias("threshold"), "f1")
+    thr = list(grid or threshold_grid())
+    arr = F.array(*[F.lit(float(t)) for t in thr])
+    b = df.withColumn("_j", count_le(thr, F.col(p)))     # p >= t_k  <=>  k < _j
+    cnt = b.groupBy(*g, "_j").agg(F.sum((F.col(y) == 1).cast("long")).alias("_pos"),
+                                  F.sum((F.col(y) != 1).cast("long")).alias("_neg"))
+    wg = Window.partitionBy(*g)                                                  # <= len(grid) + 1 rows
+    down = wg.orderBy(F.desc("_j")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = (cnt.withColumn("_tp", F.sum("_pos").over(down))
+            .withColumn("_fp", F.sum("_neg").over(down))
+            .withColumn("_P", F.sum("_pos").over(wg))
+            .withColumn("_k", F.coalesce(F.lag("_j").over(wg.orderBy("_j")), F.lit(0))))
+    den = 2 * F.col("_tp") + F.col("_fp") + (F.col("_P") - F.col("_tp"))
+    f1 = (F.when(F.col("_j") == 0, F.lit(None).cast("double"))      # bucket 0 is never called
+           .when(den == 0, F.lit(0.0))
+           .otherwise((2 * F.col("_tp")).cast("double") / den.cast("double")))
+    top = (c.withColumn("_f1", f1)
+            .withColumn("_r", F.row_number().over(wg.orderBy(F.desc_nulls_last("_f1"), F.asc("_k"))))
+            .filter(F.col("_r") == 1))
+    ok = F.col("_f1") > 0
+    return top.select(*g, F.when(ok, arr[F.col("_k")]).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
+                      F.when(ok, F.col("_f1")).otherwise(F.lit(0.0)).alias("f1"))
 
 
 def calls_wide(df: DataFrame, keep: Sequence[str], p: str = "p", thresholds: Sequence[float] = SENSITIVITY) -> DataFrame:
