@@ -72,7 +72,8 @@ def rank_metrics(df: DataFrame, group_cols: Sequence[str], p: str = "p", y: str
         F.sum(F.col("npos") * prec).alias("_ap"), F.max(P).alias("_P"), F.max(N).alias("_N"))
     return agg.select(*g, F.when((F.col("_P") == 0) | (F.col("_N") == 0), F.lit(None).cast("double"))
                       .otherwise(F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auc"),
-                      (F.col("_ap") / F.col("_P")).alias("ap"))
+                      F.when(F.col("_P") == 0, F.lit(None).cast("double"))      # no positives: undefined
+                       .otherwise(F.col("_ap") / F.col("_P")).alias("ap"))
 
 
 def roc_auc(df: DataFrame, group_cols: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:

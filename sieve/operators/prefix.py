@@ -56,6 +56,10 @@ def _group_shape(df: DataFrame, g: Sequence[str]) -> tuple[int, int]:
     return int(r[0] or 0), int(r[1] or 0)
 
 
+def _bound(small_group_rows: int | None) -> int:
+    return SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+
+
 def _largest_group(df: DataFrame, g: Sequence[str]) -> int:
     return _group_shape(df, g)[0]
 
@@ -75,7 +79,7 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
                 sum_cols: Sequence[str], tie_cols: Sequence[str] = (),
                 inclusive: bool = False, out_prefix: str = "cum_",
                 n_buckets: int | None = None, totals: bool = False,
-                small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                small_group_rows: int | None = None) -> DataFrame:
     """Running sums of ``sum_cols`` over rows of a group ordered by ``key`` then
     ``tie_cols`` (ascending; pass ``-p`` for descending).  Exclusive by default.
 
@@ -88,7 +92,7 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
     k = key if isinstance(key, Column) else F.col(key)
     end = 0 if inclusive else -1
     largest, n_groups = _group_shape(df, g)
-    if largest <= small_group_rows:
+    if largest <= _bound(small_group_rows):
         # every group fits one task: a plain running window per group
         w = Window.partitionBy(*g).orderBy(k, *tie_cols).rowsBetween(Window.unboundedPreceding, end)
         d = df
@@ -116,7 +120,7 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,
               tie_col: str, out: str = "pos", hex_digits: int = 3,
-              small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+              small_group_rows: int | None = None) -> DataFrame:
     """1-based rank inside each group, ordered by an md5 hex key then ``tie_col``.
 
     Buckets are the first ``hex_digits`` hex digits of the key (16**hex_digits of
@@ -127,7 +131,7 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,
     g = list(group_cols)
     hk = hex_key if isinstance(hex_key, Column) else F.col(hex_key)
     largest, n_groups = _group_shape(df, g)
-    if largest <= small_group_rows:
+    if largest <= _bound(small_group_rows):
         w = Window.partitionBy(*g).orderBy(hk, tie_col)
         return _spread(df.withColumn(out, F.row_number().over(w).cast("long")), n_groups, F.col(tie_col))
     d = (df.withColumn("_hk", hk)
@@ -142,7 +146,7 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], n_buckets: int | None = None,
-                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    small_group_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy's default), exact, per group.
 
     Returns (group..., q_idx, q, value).  When the largest group has at most
@@ -152,7 +156,7 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     no task holds a whole group.
     """
     g = list(group_cols)
-    if _largest_group(df, g) <= small_group_rows:
+    if _largest_group(df, g) <= _bound(small_group_rows):
         qs = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
         per = df.groupBy(*g).agg(F.percentile(F.col(value_col).cast("double"), [float(q) for q in probs]).alias("_v"))
         return (per.select(*g, "_v", F.posexplode(qs).alias("_i", "_t"))
