@@ -31,10 +31,11 @@ def clean(df: DataFrame, columns: Sequence[str], name_col: str | None = None,
 
 
 def labelled(df: DataFrame, label: str = "target") -> DataFrame:
-    """Rows with a label, label cast to int; all-null rows dropped first."""
+    """Rows with a label, label cast to int; all-null rows dropped first.  The
+    label goes through double, so sheet cells such as ``1.0`` are read as 1."""
     return (df.na.drop(how="all")
               .na.drop(subset=[label])
-              .withColumn(label, F.col(label).cast("int")))
+              .withColumn(label, F.col(label).cast("double").cast("int")))
 
 
 def valid(df: DataFrame, name_col: str) -> DataFrame:

@@ -153,3 +153,10 @@ def test_count_le(spark):
     got = [r[0] for r in df.select(count_le(edges, "v")).collect()]
     assert got == [0, 1, 3, 3, 4, 4]
     assert math.isclose(sum(got), 15)
+
+
+def test_labels_from_sheet_text(spark):
+    """Label cells read as text ('1.0', '0') become 1 / 0; unlabelled rows go."""
+    from sieve.operators import clean as cl
+    df = spark.createDataFrame([("a", "1.0"), ("b", "0"), ("c", None)], "name string, target string")
+    assert [tuple(r) for r in cl.labelled(df).orderBy("name").collect()] == [("a", 1), ("b", 0)]
