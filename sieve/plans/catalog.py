@@ -836,9 +836,10 @@ def calibration_slope(spark, sf_dir):
 def holdout_eval(spark, sf_dir):
     """Refit the selected setting on the train split, evaluate once on the hold-out."""
     tr, te = _train_test(spark, sf_dir)
-    s = md.positive_score(md.fit_pipeline(tr), te.select("record_id", "embedding", "y")).withColumn("g", F.lit(1))
-    c = mt.confusion(s, ["g"], OPT_THRESHOLD)
-    return c.join(mt.rank_metrics(s, ["g"]), "g").drop("g")
+    from ..functions.vectors import with_one_row
+    s = md.positive_score(md.fit_pipeline(tr), te.select("record_id", "embedding", "y"))
+    # both metric tables have one row: attach AUC / AP as a scalar record
+    return with_one_row(mt.confusion(s, [], OPT_THRESHOLD), mt.rank_metrics(s, []))
 
 
 @register("bootstrap_fit")

@@ -27,3 +27,10 @@ def test_entry_smoke(spark):
 
 def test_every_query_reads_the_tables():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_cross_join_in_plan(spark, name):
+    """No registered query plans a cartesian product or a nested-loop join."""
+    plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
