@@ -902,8 +902,18 @@ NB_TIE_DIGITS = 12
 
 
 def _doc_neighbours(spark, sf_dir):
+    """The neighbour table, computed once per application and shared by the
+    neighbour reports (each text is tokenised once, not once per branch)."""
+    from ..session import reuse
+    return reuse(spark, ("doc_neighbours", sf_dir), lambda: _doc_neighbours_build(spark, sf_dir))
+
+
+def _doc_neighbours_build(spark, sf_dir):
+    from ..session import reuse
     r = ad.records(spark, sf_dir)
-    vec = en.hashed_mean_pool(r.select("record_id", "text"), long_form=False)
+    # query and reference sides both read the document vectors: build them once
+    vec = reuse(spark, ("doc_vectors", sf_dir),
+                lambda: en.hashed_mean_pool(r.select("record_id", "text"), long_form=False))
     q_ids = r.filter(F.col("target").isNull()).select("record_id")
     ref_ids = r.filter(F.col("target").isNotNull()).select("record_id")
     q = vec.join(q_ids, "record_id", "left_semi")
