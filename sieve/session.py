@@ -49,13 +49,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...)
-    and is used as is.  Only a session without one (tests, local runs) gets a
-    fresh folder of its own.
+    and is used as is; a cluster session without one is an error.  Only a local
+    session without one (tests, local runs) gets a fresh folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder would not survive a lost executor on a cluster
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS, S3, ...)")
         d = tempfile.mkdtemp(prefix="sieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
