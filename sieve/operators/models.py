@@ -153,10 +153,8 @@ def _logreg_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, iters:
     return beta[:k], float(beta[k])
 
 
-def linear_pipeline_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float,
-                        variance: float = PCA_VARIANCE) -> tuple[np.ndarray, float, int]:
-    """Weighted standardise (population sd) -> PCA(variance) -> L2 logistic
-    regression, collapsed to logit = u . x + b.  Weights are draw counts."""
+def _standardise_pca(x: np.ndarray, w: np.ndarray, variance: float = PCA_VARIANCE):
+    """Weighted standardise (population sd) -> PCA(variance): (features, mu, sd, v, k)."""
     sw = w.sum()
     mu = (w[:, None] * x).sum(0) / sw
     xc = x - mu
@@ -171,9 +169,22 @@ def linear_pipeline_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float,
     k = int(np.searchsorted(np.cumsum(ratio), variance, side="right") + 1)
     k = min(k, len(ev))
     v = vecs[:, :k]
-    coef, b0 = _logreg_newton(z @ v, y, w, c)
+    return z @ v, mu, sd, v, k
+
+
+def _collapse(coef: np.ndarray, b0: float, mu: np.ndarray, sd: np.ndarray, v: np.ndarray):
     u = (v @ coef) / sd
-    return u, b0 - float(u @ mu), k
+    return u, b0 - float(u @ mu)
+
+
+def linear_pipeline_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float,
+                        variance: float = PCA_VARIANCE) -> tuple[np.ndarray, float, int]:
+    """Weighted standardise (population sd) -> PCA(variance) -> L2 logistic
+    regression, collapsed to logit = u . x + b.  Weights are draw counts."""
+    f, mu, sd, v, k = _standardise_pca(x, w, variance)
+    coef, b0 = _logreg_newton(f, y, w, c)
+    u, b = _collapse(coef, b0, mu, sd, v)
+    return u, b, k
 
 
 def collapse_pipeline(model) -> tuple[np.ndarray, float, int]:
@@ -224,33 +235,58 @@ def _fit_linear_distributed(rows: DataFrame, keys: list[str], c_col: str | None,
 
 def fit_linear_many(rows: DataFrame, keys: list[str], c_col: str | None = None, c: float = BEST_C,
                     vec: str = "embedding", label: str = "y", weight: str | None = None,
-                    pipeline: bool = True, small_rows: int = SMALL_FIT_MAX_ROWS) -> DataFrame:
+                    pipeline: bool = True, small_rows: int = SMALL_FIT_MAX_ROWS,
+                    c_grid: list[tuple[int, float]] | None = None) -> DataFrame:
     """Fit one linear pipeline per ``keys`` group of training rows.
 
     Returns (keys..., u array<double>, b double, k int, n long).  Each group is
     one model's training set.  When every group has at most ``small_rows`` rows
     (checked first), all models are fitted side by side, one group per task;
     otherwise each model is one distributed Spark ML fit.
+
+    ``c_grid`` ((grid_pos, C) pairs, a fixed parameter list) fits every C of the
+    grid on each group's rows, adding ``grid_pos`` to the keys: the rows are
+    shipped once and standardised / projected once per group, not once per C.
     """
+    if c_grid is not None:
+        grid = F.array(*[F.struct(F.lit(int(pos)).alias("grid_pos"), F.lit(float(cv)).alias("_C"))
+                         for pos, cv in c_grid])
     big = rows.groupBy(*keys).count().filter(F.col("count") > small_rows).limit(1).count()
     if big:
+        if c_grid is not None:        # one distributed fit per (group, C)
+            rows = rows.select("*", F.explode(grid).alias("_g")).select("*", "_g.grid_pos", "_g._C").drop("_g")
+            return _fit_linear_distributed(rows, keys + ["grid_pos"], "_C", c, vec, label, weight, pipeline)
         return _fit_linear_distributed(rows, keys, c_col, c, vec, label, weight, pipeline)
     cols = keys + [vec, label] + ([weight] if weight else []) + ([c_col] if c_col else [])
+    out_keys = keys + (["grid_pos"] if c_grid is not None else [])
     schema = ", ".join([f"{k} {t}" for k, t in rows.select(*keys).dtypes]) + \
-        ", u array<double>, b double, k int, n long"
+        (", grid_pos int" if c_grid is not None else "") + ", u array<double>, b double, k int, n long"
+    settings = [(int(pos), float(cv)) for pos, cv in c_grid] if c_grid is not None else [(None, None)]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
         y = pdf[label].to_numpy().astype(np.float64)
         w = pdf[weight].to_numpy().astype(np.float64) if weight else np.ones(len(y))
-        cc = float(pdf[c_col].iloc[0]) if c_col else c
         if pipeline:
-            u, b, k = linear_pipeline_fit(x, y, w, cc)
-        else:                                   # plain logistic regression on the raw features
-            u, b = _logreg_newton(x, y, w, cc)
-            k = x.shape[1]
-        out = {kk: [pdf[kk].iloc[0]] for kk in keys}
-        out.update({"u": [u.tolist()], "b": [b], "k": [k], "n": [int(w.sum())]})
+            feats, mu, sd, v, k = _standardise_pca(x, w)          # once per group
+        out = {kk: [] for kk in out_keys}
+        out.update({"u": [], "b": [], "k": [], "n": []})
+        for pos, cv in settings:
+            cc = cv if cv is not None else (float(pdf[c_col].iloc[0]) if c_col else c)
+            if pipeline:
+                coef, b0 = _logreg_newton(feats, y, w, cc)
+                u, b = _collapse(coef, b0, mu, sd, v)
+            else:                                   # plain logistic regression on the raw features
+                u, b = _logreg_newton(x, y, w, cc)
+                k = x.shape[1]
+            for kk in keys:
+                out[kk].append(pdf[kk].iloc[0])
+            if pos is not None:
+                out["grid_pos"].append(pos)
+            out["u"].append(u.tolist())
+            out["b"].append(b)
+            out["k"].append(k)
+            out["n"].append(int(w.sum()))
         return pd.DataFrame(out)
     return rows.select(*cols).groupBy(*keys).applyInPandas(fit, schema)
 

@@ -881,15 +881,14 @@ def lr_sweep(spark, sf_dir):
     and selection chain over the validation scores."""
     tr, _ = _train_test(spark, sf_dir)
     a = sp.stratified_kfold(tr.select("record_id", "embedding", "y"))
-    # the L2 sub-grid is a fixed parameter list: each training row carries it
+    # the L2 sub-grid is a fixed parameter list
     settings = [(pos, float(json.loads(js)["C"])) for fam, pos, js in sel.grid_rows()
                 if fam == "Logistic Regression" and json.loads(js).get("penalty") == "l2"]
-    grid = F.array(*[F.struct(F.lit(pos).alias("grid_pos"), F.lit(c).alias("C")) for pos, c in settings])
     train = (a.select("seed", F.col("fold").alias("_own"), "record_id", "embedding", "y",
                       F.explode(F.sequence(F.lit(0), F.lit(sp.CV_FOLDS - 1))).alias("fold"))
-              .filter(F.col("_own") != F.col("fold")).drop("_own")
-              .select("*", F.explode(grid).alias("_g")).select("*", "_g.grid_pos", "_g.C").drop("_g"))
-    models = md.fit_linear_many(train, ["seed", "fold", "grid_pos"], c_col="C")
+              .filter(F.col("_own") != F.col("fold")).drop("_own"))
+    # one group per (seed, fold) fits the whole C grid on its rows
+    models = md.fit_linear_many(train, ["seed", "fold"], c_grid=settings)
     val = md.score_linear(models, a, ["seed", "fold"], carry=["grid_pos"],
                           max_models=len(sp.CV_SEEDS) * sp.CV_FOLDS * len(settings))
     val = val.withColumn("encoder", F.lit("given")).withColumn("family", F.lit("Logistic Regression"))

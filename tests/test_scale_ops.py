@@ -174,3 +174,26 @@ def test_knn_cell_selection_equals_full_sort():
             got = nb._topk_cell(k, 12)(qdf, rdf)
             want = [(i, rids[j], sm[i, j]) for i in range(nq) for j in np.lexsort((rids, -sm[i]))[:min(k, nr)]]
             assert list(zip(got.query_id, got.ref_id, got.cosine)) == want, (trial, k)
+
+
+def test_c_grid_fits_equal_one_fit_per_c(spark):
+    """Fitting a C grid inside each group (rows shipped and projected once) gives
+    the models of one fit per C, on the grouped and on the distributed path."""
+    rng = np.random.default_rng(12)
+    n, d = 100, 5
+    x = rng.normal(size=(n, d))
+    y = (x[:, 0] + 0.5 * rng.normal(size=n) > 0).astype(int)
+    df = spark.createDataFrame([(int(i % 2), i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y))],
+                               "g int, record_id long, embedding array<double>, y int")
+    grid = [(3, 0.01), (7, 1.0)]
+    for small_rows in (md.SMALL_FIT_MAX_ROWS, 0):
+        got = {(r["g"], r["grid_pos"]): r for r in
+               md.fit_linear_many(df, ["g"], c_grid=grid, small_rows=small_rows).collect()}
+        assert set(got) == {(g, pos) for g in (0, 1) for pos, _ in grid}
+        for pos, cv in grid:
+            one = {r["g"]: r for r in md.fit_linear_many(df, ["g"], c=cv).collect()}
+            for g in (0, 1):
+                a, b = got[(g, pos)], one[g]
+                pa = 1 / (1 + np.exp(-(x @ np.array(a["u"]) + a["b"])))
+                pb = 1 / (1 + np.exp(-(x @ np.array(b["u"]) + b["b"])))
+                assert np.max(np.abs(pa - pb)) < 1e-4, (small_rows, pos, g)
