@@ -261,8 +261,7 @@ bj AS (SELECT c.replicate, i.record_id, i.y, c.draws FROM bcnt c JOIN bidx i ON
 bok AS (SELECT replicate FROM bj GROUP BY replicate HAVING count(DISTINCT y) >= 2 ORDER BY replicate LIMIT {rs.N_BOOT})
 SELECT replicate, record_id, draws FROM bj WHERE replicate IN (SELECT replicate FROM bok)""")
 def bootstrap_counts(spark, sf_dir):
-    v = ad.vectors(spark, sf_dir).filter(F.col("split") == "train").select("record_id", "y")
-    return rs.bootstrap(v, rs.N_BOOT, mode="exact")
+    return ad.boot_counts(spark, sf_dir)
 
 
 # --------------------------------------------------------------------------- A1 A3-A7 A9 A10 A17
@@ -847,7 +846,7 @@ def bootstrap_fit(spark, sf_dir):
     """Bootstrap of the whole fit: one small pipeline per replicate (draw counts as
     weights), hold-out records scored by a join, summarised per record."""
     tr, te = _train_test(spark, sf_dir)
-    counts = rs.bootstrap(tr.select("record_id", "y"), rs.N_BOOT)
+    counts = ad.boot_counts(spark, sf_dir)
     rows = counts.join(tr.select("record_id", "embedding", "y"), "record_id")
     models = md.fit_linear_many(rows, ["replicate"], weight="draws")
     reps = models.select("replicate", "u", "b")

@@ -141,3 +141,12 @@ def boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES) -
 
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse(spark, ("oof", sf_dir), lambda: _oof_scores(spark, sf_dir))
+
+
+def boot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(replicate, record_id, draws): the exact bootstrap replicates of the train
+    split, drawn once and shared by the replicate report and the replicate fits
+    (materialise-once, as replicates are cached between steps)."""
+    from ..operators import resample as rs
+    return reuse(spark, ("boot_counts", sf_dir), lambda: rs.bootstrap(
+        vectors(spark, sf_dir).filter(F.col("split") == "train").select("record_id", "y"), rs.N_BOOT, mode="exact"))
