@@ -412,20 +412,41 @@ def _selection(spark, sf_dir):
     return fb, best, sel.summary(best)
 
 
-@register("grid_expand", _with(sv.grid()) + "SELECT family, grid_pos, params FROM grid")
+_N_FITS = len(sp.CV_SEEDS) * sp.CV_FOLDS
+
+
+def _sql_fitted_grid() -> str:
+    return _with(sv.sweep_scores()) + f"""
+, fits AS (SELECT family, grid_pos, count(*) AS n_fits
+           FROM (SELECT DISTINCT family, grid_pos, seed, fold FROM sweep) GROUP BY ALL),
+fitted_grid AS (SELECT g.family, g.grid_pos, g.params FROM grid g
+                WHERE EXISTS (SELECT 1 FROM fits f WHERE f.family = g.family AND f.grid_pos = g.grid_pos
+                                                     AND f.n_fits = {_N_FITS}))
+"""
+
+
+def _fitted_grid(spark, sf_dir):
+    """M8: the expanded grid, keeping the settings that were fitted on every
+    (seed, fold) of the sweep (a setting failing on any fold is skipped)."""
+    fits = (ad.sweep_scores(spark, sf_dir).select("family", "grid_pos", "seed", "fold").distinct()
+              .groupBy("family", "grid_pos").agg(F.count(F.lit(1)).alias("_n_fits"))
+              .filter(F.col("_n_fits") == _N_FITS))
+    return sel.grid_frame(spark).join(fits.select("family", "grid_pos"), ["family", "grid_pos"], "left_semi")
+
+
+@register("grid_expand", _sql_fitted_grid() + "SELECT family, grid_pos, params FROM fitted_grid")
 def grid_expand(spark, sf_dir):
-    # the sweep table this grid drives is built from the driver tables (sweep_scores)
-    return sel.grid_frame(spark)
+    return _fitted_grid(spark, sf_dir)
 
 
-@register("params_roundtrip", _with(sv.grid()) + """
+@register("params_roundtrip", _sql_fitted_grid() + """
 SELECT family, grid_pos, CAST(json_extract_string(params, '$.C') AS DOUBLE) AS c,
        CAST(json_extract_string(params, '$.n_estimators') AS INTEGER) AS n_estimators,
        CAST(json_extract_string(params, '$.max_depth') AS INTEGER) AS max_depth,
        json_extract_string(params, '$.gamma') AS gamma
-FROM grid""")
+FROM fitted_grid""")
 def params_roundtrip(spark, sf_dir):
-    g = sel.grid_frame(spark)
+    g = _fitted_grid(spark, sf_dir)
     return g.select("family", "grid_pos", ser.setting_field("params", "C", "double").alias("c"),
                     ser.setting_field("params", "n_estimators", "int").alias("n_estimators"),
                     ser.setting_field("params", "max_depth", "int").alias("max_depth"),
@@ -434,7 +455,7 @@ def params_roundtrip(spark, sf_dir):
 
 @register("best_threshold", _sql_selection() + f"SELECT {_FK}, threshold, f1 FROM fold_best")
 def best_threshold_q(spark, sf_dir):
-    return sel.fold_thresholds(ad.sweep_scores(spark, sf_dir))
+    return _selection(spark, sf_dir)[0]          # the shared per-fit thresholds
 
 
 @register("best_setting", _sql_selection() + "SELECT * FROM best")
