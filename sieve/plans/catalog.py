@@ -54,7 +54,9 @@ def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ad.scored(spark, sf_dir)
     q = s.filter(F.col("split") == "test")
     r = s.filter(F.col("split") == "train")
-    top = nb.knn_topk(q.select("record_id", "embedding"), r.select("record_id", "embedding"), k=3)
+    # block sizes from the split counts of the shared scored table (no extra copies)
+    top = nb.knn_topk(q.select("record_id", "embedding"), r.select("record_id", "embedding"), k=3,
+                      n_queries=q.count(), n_refs=r.count())
     return (top.join(q.select(F.col("record_id").alias("query_id"), F.col("p").alias("query_p")), "query_id")
                .join(r.select(F.col("record_id").alias("ref_id"), F.col("y").alias("ref_y")), "ref_id")
                .select("query_id", "query_p", decide("query_p", OPT_THRESHOLD).alias("query_call"), "rank",
