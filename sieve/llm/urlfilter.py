@@ -132,7 +132,7 @@ urls AS (SELECT DISTINCT u, substr(u, instr(u, '://') + 3) AS rest FROM (
 split AS (
   SELECT u, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS p,
-         array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), x -> x <> '' AND NOT starts_with(x, 'utm_')), '&') AS q FROM urls),
+         array_to_string([x FOR x IN string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&') IF x <> '' AND NOT starts_with(x, 'utm_')], '&') AS q FROM urls),
 nodes AS (SELECT u, h, p, h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS node FROM split),
 ruled AS (
   SELECT u, h, p, node, CASE
