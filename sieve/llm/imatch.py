@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import n_partitions, whole_text
 
-CLASSES = 1 << 22
+CLASSES = 1 << 20
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 5e-4, 0.1, 2
 SUBSETS = 16
 LEVELS = ((0, 15), (4, 127), (11, 1023))  # bits of a term's hash that name its subset: shift, mask
@@ -48,36 +48,46 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(CLASSES)).cast("int")))
 
 
-def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
-    """One row: the bit map (array<long>) of the classes inside the band."""
-    spark = docs.sparkSession
+def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> list[int]:
+    """The bit map of the classes inside the band, CLASSES / 64 numbers."""
     n = docs.count()
     counts = docs.select(F.explode(terms(whole_text())).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("df"))
     inside = counts.filter(F.col("df").between(max(LEAST_DOCS, least_share * n), most_share * n))
-    words = inside.groupBy(F.shiftright("c", 6).cast("long").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, c & 63)")).alias("w"))
-    full = spark.range(CLASSES >> 6).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
-    # CLASSES / 64 rows meet in one task, however large the corpus
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "w"))), lambda x: x["w"]).alias("bits"))
+    words = inside.groupBy(F.shiftright("c", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, c & 63)")).alias("w"))
+    bits = [0] * (CLASSES >> 6)
+    for r in words.collect():  # at most CLASSES / 64 rows, however large the corpus
+        bits[r["id"]] = r["w"]
+    return bits
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of the value, which is worked out once for the row."""
+    return F.transform(F.array(value), then)[0]
 
 
 def signatures(own: Column) -> Column:
-    """Hash of each subset's terms, level by level; ``own`` is the sorted array of term hashes."""
+    """Hash of each subset's terms, level by level; ``own`` is the sorted array of term
+    hashes.  A level's subsets are parted by two bits, then by the next two."""
     def level(shift: int, mask: int) -> Column:
-        subset = lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask).cast("long"))
-        some = own if mask < SUBSETS else F.filter(own, lambda h: subset(h) < SUBSETS)
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")),
-                           lambda s: F.xxhash64(F.filter(some, lambda h: subset(h) == s)))
+        bits = lambda h, n, m: F.shiftrightunsigned(h, n).bitwiseAND(F.lit(m).cast("long"))
+        four = F.array(*[F.lit(i).cast("long") for i in range(4)])
+        quarter = lambda some, q: F.filter(some, lambda h: bits(h, shift, 3) == q)
+        hashes = lambda part: F.transform(four, lambda s: F.xxhash64(F.filter(part, lambda h: bits(h, shift + 2, 3) == s)))
+        whole = lambda some: F.flatten(F.transform(four, lambda q: _let(quarter(some, q), hashes)))
+        return whole(own) if mask < SUBSETS else _let(F.filter(own, lambda h: bits(h, shift, mask) < SUBSETS), whole)
 
     return F.concat(*[level(*x) for x in LEVELS])
 
 
-def with_fingerprint(docs: DataFrame, bits: DataFrame, text: str, out: str) -> DataFrame:
+def with_fingerprint(docs: DataFrame, bits: list[int], text: str, out: str) -> DataFrame:
     """Adds the hashes of column ``text`` as array ``out``."""
-    held = (docs.withColumn("_terms", terms(F.col(text))).withColumn("_bits", bits.scalar())
-            .withColumn("_in", F.expr("filter(_terms, c -> (shiftrightunsigned(get(_bits, shiftright(c, 6)), c & 63) & 1L) = 1L)")))
+    # one literal of fixed size, folded when the query is planned
+    known = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    held = docs.withColumn("_terms", terms(F.col(text)))
+    held = held.withColumn("_in", F.filter("_terms", lambda c: F.bit_get(F.get(known, F.shiftright(c, 6)), c.bitwiseAND(F.lit(63))) == 1))
     used = F.when(F.size("_in") == 0, F.col("_terms")).otherwise(F.col("_in"))
-    held = held.withColumn("_own", F.array_sort(F.transform(used, lambda c: F.xxhash64(c))))
-    return held.withColumn(out, signatures(F.col("_own"))).drop("_terms", "_bits", "_in", "_own")
+    held = held.withColumn("_own", F.sort_array(F.transform(used, lambda c: F.xxhash64(c))))
+    return held.withColumn(out, signatures(F.col("_own"))).drop("_terms", "_in", "_own")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -228,7 +228,7 @@ def test_imatch_signatures_are_those_of_the_lexicon_subsets(spark, texts):
             df[c] = df.get(c, 0) + 1
     inside = {c for c, n in df.items() if max(2, 5e-4 * 200) <= n <= 0.1 * 200}
     bits = imatch.lexicon(docs)
-    assert {64 * i + b for i, w in enumerate(bits.first()[0]) for b in range(64) if w >> b & 1} == inside
+    assert {64 * i + b for i, w in enumerate(bits) for b in range(64) if w >> b & 1} == inside
     hashed = {r.c: r.h for r in spark.createDataFrame([(c,) for c in df], "c int").select("c", F.xxhash64("c").alias("h")).collect()}
     got = {r.doc_id: r.s for r in imatch.with_fingerprint(docs, bits, "text", "s").select("doc_id", "s").collect()}
     groups = []
@@ -236,7 +236,7 @@ def test_imatch_signatures_are_those_of_the_lexicon_subsets(spark, texts):
         own = sorted(hashed[c] for c in ([c for c in r.t if c in inside] or r.t))
         for level, (shift, mask) in enumerate(imatch.LEVELS):
             for s in range(imatch.SUBSETS):
-                groups.append((r.doc_id, level * imatch.SUBSETS + s, [h for h in own if (h % (1 << 64)) >> shift & mask == s]))
+                groups.append((r.doc_id, level * imatch.SUBSETS + s, [h for h in own if (h % (1 << 64)) >> shift & mask == s % 4 * 4 + s // 4]))
     want = spark.createDataFrame(groups, "doc_id long, at int, own array<long>").select("doc_id", "at", F.xxhash64("own").alias("h")).collect()
     assert all(got[r.doc_id][r.at] == r.h for r in want) and len(want) == 48 * len(got)
 
