@@ -60,6 +60,13 @@ def hash_long(*parts) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
+def hash_index(*parts) -> Column:
+    """Deterministic non-negative 60-bit integer from md5 of ``a:b:...`` (row draws:
+    far above any row count, so ``% n`` is even)."""
+    key = F.concat_ws(":", *[_c(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
 def hash_key(*parts) -> Column:
     """md5 hex of ``a:b:...`` (used as a shuffle order inside strata)."""
     return F.md5(F.concat_ws(":", *[_c(p).cast("string") for p in parts]))

@@ -32,7 +32,7 @@ def _with_bucket_by_sketch(df: DataFrame, group_cols: Sequence[str], key: str,
         edges = df.groupBy(*g).agg(F.percentile_approx(key, probs, 10000).alias("_edges"))
         if g == [_ONE]:
             edges = F.broadcast(edges)      # one row: a proven size bound
-        out = df.join(edges, g, "left")
+        out = _join_groups(df, edges, g)
         return out.withColumn("_bucket", count_le(F.col("_edges"), F.col(key), strict=True)).drop("_edges")
     # no groups: n_buckets - 1 edge values come back to the driver as a literal
     row = df.agg(F.percentile_approx(key, probs, 10000).alias("_edges")).first()
@@ -40,6 +40,13 @@ def _with_bucket_by_sketch(df: DataFrame, group_cols: Sequence[str], key: str,
     return df.withColumn("_bucket", count_le(sorted(vals), F.col(key), strict=True))
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys of which a null equals a null."""
+    r = right.withColumnsRenamed({c: f"_j_{c}" for c in keys})
+    cond = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in keys]
+    return left.join(r, cond, "left").drop(*[f"_j_{c}" for c in keys])
+
+
 _ONE = "_one_group"
 
 # Rows per group up to which one task may hold a whole group (a plain window, or
@@ -104,13 +111,14 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
         return _spread(d, n_groups, *([F.col(c) for c in tie_cols] or [k]))
     d = df.withColumn("_key", k)
     d = _with_bucket_by_sketch(d, g, "_key", n_buckets or _default_buckets(df))
+    d = d.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))     # null keys come first, as in a plain window
     tot = d.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*g, "_bucket", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
                                       for c in sum_cols],
                       *([F.sum(f"_bt_{c}").over(Window.partitionBy(*g)).alias(f"_total_{c}") for c in sum_cols]
                         if totals else []))
-    d = d.join(offs, g + ["_bucket"], "left")
+    d = _join_groups(d, offs, g + ["_bucket"])
     wr = (Window.partitionBy(*g, "_bucket").orderBy("_key", *tie_cols)
           .rowsBetween(Window.unboundedPreceding, end))
     for c in sum_cols:
@@ -135,11 +143,11 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,
         w = Window.partitionBy(*g).orderBy(hk, tie_col)
         return _spread(df.withColumn(out, F.row_number().over(w).cast("long")), n_groups, F.col(tie_col))
     d = (df.withColumn("_hk", hk)
-           .withColumn("_hb", F.conv(F.substring("_hk", 1, hex_digits), 16, 10).cast("int")))
+           .withColumn("_hb", F.coalesce(F.conv(F.substring("_hk", 1, hex_digits), 16, 10).cast("int"), F.lit(-1))))
     cnt = d.groupBy(*g, "_hb").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy(*g).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offs = cnt.select(*g, "_hb", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"))
-    d = d.join(offs, g + ["_hb"], "left")
+    d = _join_groups(d, offs, g + ["_hb"])
     wr = Window.partitionBy(*g, "_hb").orderBy("_hk", tie_col)
     return d.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_hk", "_hb", "_off")
 
@@ -156,6 +164,7 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     no task holds a whole group.
     """
     g = list(group_cols)
+    df = df.filter(F.col(value_col).isNotNull())      # quantiles of the values there are
     if _largest_group(df, g) <= _bound(small_group_rows):
         qs = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
         per = df.groupBy(*g).agg(F.percentile(F.col(value_col).cast("double"), [float(q) for q in probs]).alias("_v"))

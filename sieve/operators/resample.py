@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_le, hash_key, hash_long, hash_unit
+from ..functions.numeric import count_le, hash_index, hash_key, hash_unit
 from .prefix import hash_rank
 
 # --- fixed values -----------------------------------------------------------
@@ -46,8 +46,8 @@ def dense_index(df: DataFrame, id_col: str = "record_id", seed: int = BOOT_SEED,
 
 
 def bootstrap_exact(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_id",
-                    seed: int = BOOT_SEED) -> DataFrame:
-    """(replicate, record_id, draws) for candidate replicates 0..n_boot-1."""
+                    seed: int = BOOT_SEED, first: int = 0) -> DataFrame:
+    """(replicate, record_id, draws) for candidate replicates first..first+n_boot-1."""
     spark = df.sparkSession
     idx = dense_index(df.select(id_col), id_col, seed)
     n = df.count()                                   # one scalar to the driver
@@ -56,52 +56,57 @@ def bootstrap_exact(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_i
     # task generates a whole replicate's draws
     slices = max(spark.sparkContext.defaultParallelism, math.ceil(total / DRAWS_PER_SLICE))
     draws = (spark.range(0, total, numPartitions=slices)
-             .select((F.col("id") / F.lit(n)).cast("long").alias("replicate"), (F.col("id") % F.lit(n)).alias("draw"))
-             .withColumn("row_idx", hash_long(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(n))
+             .select((F.floor(F.col("id") / F.lit(n)).cast("long") + first).alias("replicate"), (F.col("id") % F.lit(n)).alias("draw"))
+             .withColumn("row_idx", hash_index(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(n))
              .groupBy("replicate", "row_idx").agg(F.count(F.lit(1)).alias("draws")))
     return draws.join(idx, "row_idx").select("replicate", id_col, "draws")
 
 
 def bootstrap_poisson(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_id",
-                      seed: int = BOOT_SEED) -> DataFrame:
+                      seed: int = BOOT_SEED, first: int = 0) -> DataFrame:
     """(replicate, record_id, draws) with Poisson(1) counts; zero counts omitted."""
     cdf = poisson1_cdf()
     u = hash_unit(F.lit(seed), F.col("replicate"), F.col(id_col))
-    return (df.select(id_col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1))).alias("replicate"))
+    return (df.select(id_col, F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + n_boot - 1).cast("long"))).alias("replicate"))
               .withColumn("_u", u)
               .withColumn("draws", count_le(cdf, F.col("_u")).cast("long"))
               .filter(F.col("draws") > 0)
               .select("replicate", id_col, "draws"))
 
 
-def keep_two_class(counts: DataFrame, labels: DataFrame, n_boot: int, id_col: str = "record_id",
-                   label: str = "y") -> DataFrame:
-    """Keep the first ``n_boot`` candidate replicates that contain both classes."""
+def two_class(counts: DataFrame, labels: DataFrame, id_col: str = "record_id", label: str = "y") -> DataFrame:
+    """(replicate) of the candidates that contain both classes."""
     per = (counts.join(labels.select(id_col, label), id_col)
-                 .groupBy("replicate").agg(F.countDistinct(label).alias("_k")))
-    ok = per.filter(F.col("_k") >= 2).select("replicate")
-    ok = ok.withColumn("_r", F.row_number().over(Window.orderBy("replicate")))   # one row per replicate
-    ok = ok.filter(F.col("_r") <= n_boot).select("replicate")
-    return counts.join(F.broadcast(ok), "replicate", "left_semi")
-
-
-def expand_draws(rows: DataFrame, counts: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """Replicate rows ``draws`` times (for estimators that take no weights)."""
-    return (rows.join(counts, id_col)
-                .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("draws").cast("int"))))
-                .drop("_copy"))
+                 .groupBy("replicate").agg(F.min(label).alias("_lo"), F.max(label).alias("_hi")))
+    return per.filter(F.col("_lo") != F.col("_hi")).select("replicate")
 
 
 def bootstrap(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_id", label: str = "y",
               seed: int = BOOT_SEED, mode: str = "exact") -> DataFrame:
-    """``n_boot`` two-class replicates as (replicate, record_id, draws).
+    """Exactly ``n_boot`` two-class replicates as (replicate, record_id, draws).
 
-    A margin of extra candidates stands in for redraws of one-class replicates.
+    Candidates are drawn in rounds until enough hold both classes, as redraws would;
+    the first ``n_boot`` of them are numbered 0..n_boot-1 in order of drawing.
     """
-    n_cand = n_boot + max(10, n_boot // 10)
     gen = bootstrap_exact if mode == "exact" else bootstrap_poisson
-    counts = gen(df.select(id_col), n_cand, id_col, seed)
-    return keep_two_class(counts, df, n_boot, id_col, label)
+    classes = df.filter(F.col(label).isNotNull()).agg(F.min(label), F.max(label)).first()
+    if classes[0] is None or classes[0] == classes[1]:
+        raise ValueError("a two-class bootstrap needs rows of both classes")
+    drawn, round_size, parts, kept, found = 0, n_boot + max(10, n_boot // 10), [], [], 0
+    while found < n_boot:
+        counts = gen(df.select(id_col), round_size, id_col, seed, drawn)
+        ok = [r[0] for r in two_class(counts, df, id_col, label).collect()]   # replicate numbers of one round
+        parts.append(counts)
+        kept += sorted(ok)
+        drawn, found = drawn + round_size, len(kept)
+        rate = max(found / drawn, 0.01)
+        round_size = max(10, math.ceil(1.1 * (n_boot - found) / rate))
+    numbers = df.sparkSession.createDataFrame([(r, i) for i, r in enumerate(kept[:n_boot])], "replicate long, _new long")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # at most n_boot rows: bounded by a parameter
+    return out.join(F.broadcast(numbers), "replicate").select(F.col("_new").alias("replicate"), id_col, "draws")
 
 
 # --- summaries over replicate score tables (replicate, record_id, p) ----------

@@ -42,7 +42,6 @@ GRIDS = {
          "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0]},
     ],
 }
-FAMILY_ORDER = ["Logistic Regression", "SVM-RBF", "SVM-Linear", "XGBoost", "Random Forest"]
 ENCODERS = ["domain", "general"]
 CV_FOLDS = 3
 # Fold means are compared after rounding to this many decimals, so that sums
@@ -144,10 +143,12 @@ def winner(summ: DataFrame, best: DataFrame) -> DataFrame:
     return top.join(modal, ["encoder", "family"], "left")
 
 
-def chart_series(summ: DataFrame, order: Sequence[str] = FAMILY_ORDER) -> DataFrame:
-    """Mean +- sd per (family, encoder) aligned to a fixed family order."""
-    pos = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("family"))
-    return summ.select("encoder", "family", pos.cast("int").alias("order_pos"),
-                       F.col("cv_f1_mean").alias("m"), F.coalesce("cv_f1_std", F.lit(0.0)).alias("s"),
-                       (F.col("cv_f1_mean") - F.coalesce("cv_f1_std", F.lit(0.0))).alias("m_minus_s"),
-                       (F.col("cv_f1_mean") + F.coalesce("cv_f1_std", F.lit(0.0))).alias("m_plus_s"))
+def chart_series(summ: DataFrame) -> DataFrame:
+    """Mean +- sd per (family, encoder); families stand in the order of the first
+    encoder's mean F1, highest first.  One row per encoder and family: bounded."""
+    first = F.min("encoder").over(Window.partitionBy())
+    best = summ.withColumn("_first", first).filter(F.col("encoder") == F.col("_first"))
+    order = best.select("family", F.row_number().over(Window.orderBy(F.desc(F.round("cv_f1_mean", COMPARE_DIGITS)), "family")).alias("order_pos"))
+    sd = F.coalesce("cv_f1_std", F.lit(0.0))
+    return summ.join(order, "family", "left").select("encoder", "family", F.col("order_pos").cast("int"), F.col("cv_f1_mean").alias("m"), sd.alias("s"),
+                                                     (F.col("cv_f1_mean") - sd).alias("m_minus_s"), (F.col("cv_f1_mean") + sd).alias("m_plus_s"))

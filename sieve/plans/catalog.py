@@ -88,13 +88,13 @@ def clean_missing(spark, sf_dir):
 @register("clean_names", _with(sv.records()) + f"""
 SELECT record_id, {sv.clean_name('text')} AS name FROM records""")
 def clean_names(spark, sf_dir):
-    return ad.records(spark, sf_dir).select("record_id", tx.clean_name("text").alias("name"))
+    return ad.texts(spark, sf_dir).select("record_id", tx.clean_name("text").alias("name"))
 
 
 @register("clean_tags", _with(sv.records()) + f"""
 SELECT record_id, {sv.clean_tag('text')} AS tag FROM records""")
 def clean_tags(spark, sf_dir):
-    return ad.records(spark, sf_dir).select("record_id", tx.clean_tag("text").alias("tag"))
+    return ad.texts(spark, sf_dir).select("record_id", tx.clean_tag("text").alias("tag"))
 
 
 @register("clean_all", _with(sv.records()) + f"""
@@ -136,7 +136,7 @@ SELECT record_id, 'Language: ' || {_nm('lang')} || '. Source: ' || {_nm('source'
        {_nm('n_chars')} || '. Text: ' || {_nm('text')} || '.' AS sentence
 FROM records""")
 def serialize_optional(spark, sf_dir):
-    r = cl.clean(ad.records(spark, sf_dir), ("lang", "source", "n_chars", "text"), mode="train")
+    r = cl.clean(ad.texts(spark, sf_dir), ("lang", "source", "n_chars", "text"), mode="train")
     # 'region' is not a column of this table, so its field is skipped
     return r.select("record_id", ser.serialize_optional(r, REC_FIELDS).alias("sentence"))
 
@@ -188,8 +188,7 @@ SELECT lang, count(*) AS n_records, CAST(min(n_tokens) AS INTEGER) AS min_tokens
        avg(n_tokens) AS avg_tokens, CAST(sum(CAST(n_tokens > {en.MAX_TOKENS} AS INTEGER)) AS BIGINT) AS n_over_cap
 FROM tp GROUP BY lang""")
 def token_profile(spark, sf_dir):
-    r = ad.records(spark, sf_dir)
-    tp = en.token_profile(r.select("record_id", "text")).join(r.select("record_id", "lang"), "record_id")
+    tp = en.token_profile(ad.texts(spark, sf_dir), carry=["lang"])
     return tp.groupBy("lang").agg(F.count(F.lit(1)).alias("n_records"), F.min("n_tokens").alias("min_tokens"),
                                   F.max("n_tokens").alias("max_tokens"), F.avg("n_tokens").alias("avg_tokens"),
                                   F.sum("over_cap").cast("long").alias("n_over_cap"))
@@ -202,7 +201,7 @@ per AS (SELECT record_id, CAST({sv.md5_long('tok')} % {en.HASH_DIM} AS INTEGER)
         FROM toks GROUP BY ALL)
 SELECT per.record_id, dim, cnt / n_tokens AS weight FROM per JOIN ntok USING (record_id)""")
 def mean_pool_hash(spark, sf_dir):
-    return en.hashed_mean_pool(ad.records(spark, sf_dir).select("record_id", "text"))
+    return en.hashed_mean_pool(ad.texts(spark, sf_dir).select("record_id", "text"))
 
 
 @register("standardize_stats", _with(sv.vectors()) + """
@@ -257,11 +256,12 @@ _NCAND = rs.N_BOOT + max(10, rs.N_BOOT // 10)
 bidx AS (SELECT record_id, y, row_number() OVER (ORDER BY {sv.md5_key(rs.BOOT_SEED, 'record_id')}, record_id) - 1 AS row_idx FROM bsrc),
 bn AS (SELECT count(*) AS n FROM bsrc),
 bdraws AS (SELECT replicate, unnest(range(n)) AS draw, n FROM range({_NCAND}) r(replicate), bn),
-bcnt AS (SELECT replicate, {sv.md5_long(rs.BOOT_SEED, 'replicate', 'draw')} % n AS row_idx, count(*) AS draws
+bcnt AS (SELECT replicate, {sv.md5_index(rs.BOOT_SEED, 'replicate', 'draw')} % n AS row_idx, count(*) AS draws
          FROM bdraws GROUP BY ALL),
 bj AS (SELECT c.replicate, i.record_id, i.y, c.draws FROM bcnt c JOIN bidx i ON c.row_idx = i.row_idx),
-bok AS (SELECT replicate FROM bj GROUP BY replicate HAVING count(DISTINCT y) >= 2 ORDER BY replicate LIMIT {rs.N_BOOT})
-SELECT replicate, record_id, draws FROM bj WHERE replicate IN (SELECT replicate FROM bok)""")
+bok AS (SELECT replicate FROM bj GROUP BY replicate HAVING count(DISTINCT y) >= 2 ORDER BY replicate LIMIT {rs.N_BOOT}),
+bnum AS (SELECT replicate, row_number() OVER (ORDER BY replicate) - 1 AS number FROM bok)
+SELECT bnum.number AS replicate, bj.record_id, bj.draws FROM bj JOIN bnum USING (replicate)""")
 def bootstrap_counts(spark, sf_dir):
     return ad.boot_counts(spark, sf_dir)
 
@@ -491,7 +491,9 @@ def winner_seeds(spark, sf_dir):
 
 
 @register("chart_series", _sql_selection() + f"""
-SELECT encoder, family, CAST(list_position([{', '.join(sv.lit(f) for f in sel.FAMILY_ORDER)}], family) AS INTEGER) AS order_pos,
+SELECT encoder, family, (SELECT count(*) FROM summ o, summ me WHERE o.encoder = (SELECT min(encoder) FROM summ) AND me.encoder = o.encoder AND me.family = summ.family
+         AND (round(o.cv_f1_mean, {sel.COMPARE_DIGITS}) > round(me.cv_f1_mean, {sel.COMPARE_DIGITS})
+              OR round(o.cv_f1_mean, {sel.COMPARE_DIGITS}) = round(me.cv_f1_mean, {sel.COMPARE_DIGITS}) AND o.family <= me.family))::INTEGER AS order_pos,
        cv_f1_mean AS m, coalesce(cv_f1_std, 0.0) AS s, cv_f1_mean - coalesce(cv_f1_std, 0.0) AS m_minus_s,
        cv_f1_mean + coalesce(cv_f1_std, 0.0) AS m_plus_s
 FROM summ WHERE starts_with(encoder, 'dom') OR starts_with(encoder, 'gen')""")

@@ -40,6 +40,11 @@ def md5_long(*parts: str) -> str:
     return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
 
 
+def md5_index(*parts: str) -> str:
+    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST(('0x' || substr(md5({key}), 1, 15)) AS BIGINT)"
+
+
 def md5_unit(*parts: str) -> str:
     return f"({md5_long(*parts)} / 4294967296.0::DOUBLE)"
 

@@ -24,9 +24,6 @@ SCORE_SCALE = 8.0
 SCORE_DIGITS = 6
 # ---------------------------------------------------------------------------
 
-RECORD_DESCRIPTORS = (("lang", "Language"), ("source", "Source"), ("n_chars", "Length"), ("text", "Text"))
-PART_DESCRIPTORS = (("p_name", "Name"), ("p_brand", "Brand"), ("p_type", "Type"), ("p_size", "Size"))
-
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars", "text"])
@@ -37,6 +34,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("quality").alias("target")))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without their label: a scan of ``documents`` alone."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars", "text"])
+    return docs.select(F.col("doc_id").alias("record_id"), "lang", "source", F.col("n_chars").cast("string").alias("n_chars"), "text")
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]) \
         .withColumnRenamed("p_partkey", "record_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# --- fixed values: cell texts that the sheet readers of data-frame libraries take for missing ---
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+# -------------------------------------------------------------------------------------------------
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One driver table; selecting ``columns`` here keeps the scan's ReadSchema narrow."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -32,24 +37,39 @@ def rename_by_position(df: DataFrame, mapping: dict[int, str]) -> DataFrame:
 
 def read_sheet(spark: SparkSession, path: str, descriptor_cols: Sequence[str],
                label_col: str | None = None, extra_cols: Sequence[str] = (),
-               null_tokens: Sequence[str] = ("NA", "N/A", "NaN", "nan", "null", "None", "#N/A")) -> DataFrame:
+               null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Read a folder of exported record sheets (CSV) with a banner line above the header.
 
-    Every column is read as string (``50`` stays ``50``); cells may hold embedded
-    newlines.  The banner line is consumed as the CSV header and the real header
-    row is dropped by value.  ``record_id`` is added from the file and row order.
+    Columns are found by their trimmed header names, in any order; a missing label or
+    extra column is an error, a missing descriptor is an all-null column.  Every
+    column is read as string (``50`` stays ``50``); cells may hold embedded newlines.
+    ``record_id`` is a hash of the row's cells and, for rows that repeat, their count,
+    so it doesn't change with the file layout.
     """
-    names = list(descriptor_cols) + ([label_col] if label_col else []) + list(extra_cols)
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    df = (spark.read.schema(schema)
-          .option("header", "true").option("multiLine", "true").option("escape", '"')
-          .csv(path))
-    first = names[0]
-    df = df.filter(F.col(f"`{first}`").isNull() | (F.trim(F.col(f"`{first}`")) != first))
-    for c in names:
-        df = df.withColumn(c, F.when(F.col(f"`{c}`").isin(*null_tokens), F.lit(None)).otherwise(F.col(f"`{c}`")))
+    # the second line of each file; a driver-side read of one small line per file
+    raw = spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').csv(path)
+    wanted = list(descriptor_cols) + ([label_col] if label_col else []) + list(extra_cols)
+    trimmed = [F.trim(F.col(c)) for c in raw.columns]
+    is_header = F.size(F.array_intersect(F.array(*trimmed), F.array(*[F.lit(w) for w in wanted]))) >= min(2, len(wanted))
+    heads = raw.filter(is_header).distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError(f"{path}: expected one header row, found {len(heads)}")
+    at = {str(v).strip(): c for c, v in zip(raw.columns, heads[0], strict=True) if v is not None}
+    missing = [c for c in wanted if c not in at and c not in descriptor_cols]
+    if missing:
+        raise ValueError(f"{path}: no column {missing}")
+    same_head = F.lit(True)
+    for c, v in zip(raw.columns, heads[0], strict=True):
+        same_head = same_head & F.col(c).eqNullSafe(F.lit(v))
+    banner = F.coalesce(*[F.col(c) for c in raw.columns[1:]]).isNull() if len(raw.columns) > 1 else F.lit(False)
+    cells = [(F.col(at[c]) if c in at else F.lit(None).cast("string")).alias(c) for c in wanted]
+    df = raw.filter(~same_head & ~banner).select(*cells)
+    for c in wanted:
+        df = df.withColumn(c, F.when(F.trim(F.col(f"`{c}`")).isin(*null_tokens), F.lit(None)).otherwise(F.col(f"`{c}`")))
     df = df.na.drop(how="all")
-    return df.withColumn("record_id", F.monotonically_increasing_id())
+    key = F.xxhash64(*[F.coalesce(F.col(f"`{c}`"), F.lit("\0")) for c in wanted])
+    again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return df.withColumn("_key", key).withColumn("record_id", F.xxhash64("_key", again)).drop("_key")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
@@ -68,8 +88,8 @@ def materialize_once(spark: SparkSession, path: str, build) -> DataFrame:
     The cache of vectors / labels / replicates lives in a shared folder, so a lost
     executor or a later job rereads it instead of recomputing the encoder.
     """
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    written = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    if not written:      # a failed read of a table that was written is an error, not an absent table
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
