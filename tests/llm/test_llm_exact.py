@@ -406,3 +406,19 @@ def test_passages_of_a_large_class_all_meet(spark):
     assert len(found) == 79
     kept = passages.remove(docs).collect()
     assert sum("p0 p1 p2" in r.text for r in kept) == 1 and len(kept) == 80
+
+
+def test_passages_around_a_common_line(spark):
+    """Pairs that share a passage whose middle stands in many other texts."""
+    rng = np.random.default_rng(21)
+    word = lambda: "w" + str(rng.integers(0, 1 << 40))
+    line = [word() for _ in range(30)]
+    docs = [[word() for _ in range(40)] + line + [word() for _ in range(40)] for _ in range(100)]
+    for k in range(25):
+        before, after = [word() for _ in range(15)], [word() for _ in range(15)]
+        for d in (docs[2 * k], docs[2 * k + 1]):
+            d[25:40], d[70:85] = before, after
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    found = passages.find(docs).collect()
+    assert {frozenset((r.doc_id, r.source_doc_id)) for r in found} == {frozenset((2 * k, 2 * k + 1)) for k in range(25)}
+    assert {(r.start_word, r.stop_word) for r in found} == {(25, 85)}
