@@ -422,18 +422,3 @@ def test_passages_around_a_common_line(spark):
     found = passages.find(docs).collect()
     assert {frozenset((r.doc_id, r.source_doc_id)) for r in found} == {frozenset((2 * k, 2 * k + 1)) for k in range(25)}
     assert {(r.start_word, r.stop_word) for r in found} == {(25, 85)}
-
-
-def test_passages_cells_keep_the_first_texts_of_a_minimum_together():
-    rng = np.random.default_rng(3)
-    v = np.concatenate([np.full(500, 7), rng.integers(100, 400, 900)]).astype(np.int64)
-    own = np.concatenate([np.arange(-250, 250), rng.integers(0, 3, 900)]).astype(np.int64)
-    at = rng.permutation(len(v))
-    cell = passages.cells(v[at], own[at])
-    assert cell.min() == 0 and cell.max() <= passages.CELLS
-    for x in set(v.tolist()):
-        texts: dict[int, set[int]] = {}
-        for t, c in zip(own[at][v[at] == x].tolist(), cell[v[at] == x].tolist(), strict=True):
-            texts.setdefault(t, set()).add(c)
-        assert all(len(c) == 1 for c in texts.values())  # rows of one text stay together
-        assert sum(c == {0} for c in texts.values()) == min(len(texts), passages.COLD)
