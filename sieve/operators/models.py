@@ -71,9 +71,12 @@ def classifier(family: str, params: dict, n: int, seed: int = 42):
                                   standardization=False, maxIter=int(params.get("max_iter", 2000)), tol=1e-8)
     if family == "Random Forest":
         depth = params.get("max_depth")
+        # a node of fewer than min_samples_split rows isn't split: with leaves of at
+        # least half as many rows none can be
+        leaf = max(int(params["min_samples_leaf"]), math.ceil(int(params.get("min_samples_split", 2)) / 2))
         return RandomForestClassifier(numTrees=int(params["n_estimators"]),
                                       maxDepth=MAX_DEPTH_NONE if depth is None else int(depth),
-                                      minInstancesPerNode=int(params["min_samples_leaf"]), seed=seed)
+                                      minInstancesPerNode=leaf, seed=seed)
     if family == "XGBoost":
         cb = float(params["colsample_bytree"])
         return GBTClassifier(maxIter=int(params["n_estimators"]), maxDepth=int(params["max_depth"]),

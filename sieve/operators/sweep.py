@@ -10,9 +10,11 @@
 * **Scores as a written table.**  Each fit writes its validation scores to its
   own folder under the shared checkpoint folder (``spark.checkpoint.dir``); the
   folder is read back as the long table ``(encoder, family, seed, grid_pos,
-  fold, record_id, p, y)`` that :mod:`selection` reduces to the winner.  A fit
-  that fails leaves its folder out, so the chain (which requires every fold)
-  drops that setting, as the reference does.
+  fold, record_id, p, y)`` that :mod:`selection` reduces to the winner.  A setting
+  that its estimator rejects (bad parameters) gets no scores, so the chain (which
+  requires every fold) drops it, as the reference does; every fit has a row in
+  the status table (:func:`sweep_status`).  Any other error, such as lost
+  executors or a full disk, ends the sweep instead of passing for a bad setting.
 
 Families: logistic regression (L1 / L2), random forest, boosted trees, linear SVM
 and RBF SVM (random Fourier features + linear SVM); SVM margins are turned into
@@ -28,10 +30,11 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -44,6 +47,7 @@ RFF_FEATURES = 200              # random Fourier features for the RBF family
 
 SCORE_SCHEMA = ("encoder string, family string, seed int, grid_pos int, fold int, "
                 "record_id long, p double, y int")
+STATUS_SCHEMA = "encoder string, family string, seed int, grid_pos int, fold int, fitted boolean, message string"
 
 
 def _fold_features(a: DataFrame, seed: int, fold: int, id_col: str, vec: str, label: str):
@@ -109,16 +113,17 @@ def model_sweep(train: DataFrame, grid: Sequence[tuple[str, int, str]], encoder:
 
     def run(job):
         i, fam, pos, js, seed, fold, ptr, pva, n, kk = job
+        status = (encoder, fam, seed, pos, fold)
         try:
             s = _fit_scores(fam, json.loads(js), ptr, pva, n, kk, seed)
-        except Exception:  # noqa: BLE001 - a failing setting is dropped, as in the reference
-            return False
+        except (IllegalArgumentException, ValueError) as e:  # the estimator rejects the setting
+            return (*status, False, str(e))
         (s.select(F.lit(encoder).alias("encoder"), F.lit(fam).alias("family"), F.lit(seed).alias("seed"),
                   F.lit(pos).alias("grid_pos"), F.lit(fold).alias("fold"), "record_id", "p", "y")
-          .write.mode("overwrite").parquet(os.path.join(out_dir, f"fit={i}")))
-        return True
+          .write.mode("overwrite").parquet(os.path.join(out_dir, "scores", f"fit={i}")))
+        return (*status, True, None)
 
-    i = 0
+    i, statuses = 0, []  # one row per fit: bounded by the grid, the seeds and the folds
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         for seed in seeds:
             # the k folds of one seed are in flight together (k persisted copies
@@ -129,12 +134,18 @@ def model_sweep(train: DataFrame, grid: Sequence[tuple[str, int, str]], encoder:
                 for fam, pos, js in grid:
                     jobs.append((i, fam, pos, js, seed, fold, ptr, pva, n, kk))
                     i += 1
-            list(pool.map(run, jobs))
+            statuses += pool.map(run, jobs)
             for _, ptr, pva, _, _ in feats:
                 ptr.unpersist()
                 pva.unpersist()
     a.unpersist()
-    try:
-        return spark.read.parquet(out_dir).drop("fit")
-    except Exception:  # noqa: BLE001 - no fit succeeded
+    spark.createDataFrame(statuses, STATUS_SCHEMA).write.mode("overwrite").parquet(os.path.join(out_dir, "status"))
+    if not any(ok for *_, ok, _ in statuses):
         return spark.createDataFrame([], SCORE_SCHEMA)
+    return spark.read.parquet(os.path.join(out_dir, "scores")).drop("fit")
+
+
+def sweep_status(spark: SparkSession, out_dir: str) -> DataFrame:
+    """One row per fit of the sweep written to ``out_dir``: whether its setting was
+    fitted, else the estimator's message."""
+    return spark.read.schema(STATUS_SCHEMA).parquet(os.path.join(out_dir, "status"))

@@ -3,12 +3,14 @@ scores read back from the written table and reduced by the selection chain."""
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sieve.operators import models as md
 from sieve.operators import selection as sel
 from sieve.operators.split import stratified_kfold
-from sieve.operators.sweep import model_sweep
+from sieve.operators import sweep
+from sieve.operators.sweep import model_sweep, sweep_status
 
 GRID = [
     ("Logistic Regression", 0, json.dumps({"C": 0.1, "penalty": "l2"})),
@@ -49,3 +51,29 @@ def test_sweep_all_families(spark):
     assert best.count() == 4                                # one best setting per family and seed
     win = sel.winner(sel.summary(best), best).collect()
     assert len(win) == 1 and win[0]["cv_f1_mean"] > 0.7     # separable data
+
+
+def test_sweep_status_and_errors(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), float(-i % 7)], int(i > 9)) for i in range(20)],
+                               "record_id long, embedding array<double>, y int")
+    bad = ("Logistic Regression", 1, json.dumps({"C": -1, "penalty": "l2"}))
+    scores = model_sweep(df, [GRID[0], bad], seeds=(42,), k=2, out_dir=str(tmp_path / "a"))
+    assert {r["grid_pos"] for r in scores.collect()} == {0}
+    status = {(r["grid_pos"], r["fold"]): r for r in sweep_status(spark, str(tmp_path / "a")).collect()}
+    assert set(status) == {(p, f) for p in (0, 1) for f in (0, 1)}
+    assert all(r["fitted"] == (p == 0) and bool(r["message"]) == (p == 1) for (p, _), r in status.items())
+    assert model_sweep(df, [bad], seeds=(42,), k=2, out_dir=str(tmp_path / "b")).count() == 0
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+    monkeypatch.setattr(sweep, "_fit_scores", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        model_sweep(df, [GRID[0]], seeds=(42,), k=2, out_dir=str(tmp_path / "c"))
+
+
+def test_forest_split_size_folds_into_the_leaves(spark):
+    def leaf(split, leaf):
+        est = md.classifier("Random Forest", {"n_estimators": 5, "max_depth": None, "min_samples_split": split,
+                                              "min_samples_leaf": leaf}, 100)
+        return est.getMinInstancesPerNode()
+    assert [leaf(s, m) for s in (2, 5, 10) for m in (1, 2, 4)] == [1, 2, 4, 3, 3, 4, 5, 5, 5]
