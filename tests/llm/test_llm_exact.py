@@ -312,6 +312,28 @@ def test_vector_dedup_counts_loose_components_whole(spark):
     assert {r.component_id for i, r in rows.items() if i != 501} == {0} and rows[501].component_id == 501
 
 
+def test_vector_dedup_in_a_dense_source(spark):
+    """Pairs of cosine 0.9 to 0.93 planted in a third of the rows that lie close together."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, pairs = 12_000, 200
+    x = unit(rng.standard_normal((n, 64)))
+    third = unit(np.sqrt(0.6) * unit(rng.standard_normal((1, 64))) + np.sqrt(0.4) * x[: n // 3])
+    x[: n // 3] = third
+    off = rng.standard_normal((pairs, 64))
+    off = unit(off - (off * third[:pairs]).sum(1, keepdims=True) * third[:pairs])
+    cos = rng.uniform(0.901, 0.93, (pairs, 1))
+    x[pairs : 2 * pairs] = cos * third[:pairs] + np.sqrt(1 - cos**2) * off
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(np.triu(near))
+    roots = find_root(list(zip(a.tolist(), b.tolist(), strict=True)), range(n))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in vecdedup.dedup(df).collect()}
+    assert len(a) >= pairs and [rows[i].n_links for i in range(n)] == near.sum(1).tolist()
+    assert [rows[i].component_id for i in range(n)] == [roots[i] for i in range(n)]
+
+
 def test_url_filter_oracle(spark):
     assert check(spark, "op8_url_filter", MID, E.queries(), E.oracle_sql(), duck(MID))["ok"]
 
