@@ -444,3 +444,19 @@ def test_passages_around_a_common_line(spark):
     found = passages.find(docs).collect()
     assert {frozenset((r.doc_id, r.source_doc_id)) for r in found} == {frozenset((2 * k, 2 * k + 1)) for k in range(25)}
     assert {(r.start_word, r.stop_word) for r in found} == {(25, 85)}
+
+
+def test_passages_exact_repeats_around_a_crowded_line(spark):
+    """55 equal words, 45 of which stand in all texts, are found for every pair."""
+    rng = np.random.default_rng(33)
+    word = lambda: "w" + str(rng.integers(0, 1 << 40))
+    line = [word() for _ in range(45)]
+    docs = [[word() for _ in range(30)] + line + [word() for _ in range(30)] for _ in range(200)]
+    for k in range(90):
+        before, after = [word() for _ in range(5)], [word() for _ in range(5)]
+        for d in (docs[2 * k], docs[2 * k + 1]):
+            d[25:30], d[75:80] = before, after
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    found = passages.find(docs).collect()
+    assert {frozenset((r.doc_id, r.source_doc_id)) for r in found} == {frozenset((2 * k, 2 * k + 1)) for k in range(90)}
+    assert {(r.start_word, r.stop_word) for r in found} == {(25, 80)}
