@@ -460,3 +460,22 @@ def test_passages_exact_repeats_around_a_crowded_line(spark):
     found = passages.find(docs).collect()
     assert {frozenset((r.doc_id, r.source_doc_id)) for r in found} == {frozenset((2 * k, 2 * k + 1)) for k in range(90)}
     assert {(r.start_word, r.stop_word) for r in found} == {(25, 80)}
+
+
+def test_passages_name_every_source_with_its_own_similarity(spark):
+    """Passages that stand in two texts as they are and in a third with a word changed."""
+    rng = np.random.default_rng(12)
+    word = lambda: "w" + str(rng.integers(0, 1 << 40))
+    docs = []
+    for _ in range(12):
+        passage = [word() for _ in range(100)]
+        edited = [*passage[:50], word(), *passage[51:]]
+        docs += [[word() for _ in range(int(rng.integers(5, 40)))] + own + [word() for _ in range(20)] for own in (passage, passage, edited)]
+    found = passages.find(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    assert len({(r.doc_id, r.start_word, r.stop_word, r.source_doc_id, r.source_start_word, r.source_stop_word) for r in found}) == len(found)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for r in found:
+        a, b = shingles(docs[r.doc_id][r.start_word : r.stop_word]), shingles(docs[r.source_doc_id][r.source_start_word : r.source_stop_word])
+        assert r.similarity == pytest.approx(len(a & b) / len(a | b))
+    links = {frozenset((r.doc_id, r.source_doc_id)) for r in found}
+    assert all(len([x for x in links if x <= {3 * k, 3 * k + 1, 3 * k + 2}]) >= 2 for k in range(12))
