@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binpack, bpe, imatch, langid, packing, passages, pii, simhash, urlfilter, vecdedup
+from . import binpack, bpe, imatch, langid, nbsvm, packing, passages, pii, repair, simhash, turntrie, urlfilter, vecdedup
 from .common import documents, table
 
 
@@ -62,9 +62,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(documents(spark, sf_dir))
 
 
+def op11_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.of_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_simhash, op4_imatch, op5_language_id, op6_byte_bpe, op7_vector_dedup, op8_url_filter,
-                            op9_token_matrices, op10_substring_dedup)
+                            op9_token_matrices, op10_substring_dedup, op11_nb_svm, op12_structure_repair, op13_prefix_trie)
 }
 
 ORACLES: dict[str, str] = {"op8_url_filter": urlfilter.ORACLE}
