@@ -248,20 +248,7 @@ def repeated_kfold(spark, sf_dir):
     return sp.repeated_kfold(v).select("repeat", "fold", "record_id", "y")
 
 
-_NCAND = rs.N_BOOT + max(10, rs.N_BOOT // 10)
-
-
-@register("bootstrap_counts", _with(sv.vectors()) + f"""
-, bsrc AS (SELECT record_id, y FROM vectors WHERE split = 'train'),
-bidx AS (SELECT record_id, y, row_number() OVER (ORDER BY {sv.md5_key(rs.BOOT_SEED, 'record_id')}, record_id) - 1 AS row_idx FROM bsrc),
-bn AS (SELECT count(*) AS n FROM bsrc),
-bdraws AS (SELECT replicate, unnest(range(n)) AS draw, n FROM range({_NCAND}) r(replicate), bn),
-bcnt AS (SELECT replicate, {sv.md5_index(rs.BOOT_SEED, 'replicate', 'draw')} % n AS row_idx, count(*) AS draws
-         FROM bdraws GROUP BY ALL),
-bj AS (SELECT c.replicate, i.record_id, i.y, c.draws FROM bcnt c JOIN bidx i ON c.row_idx = i.row_idx),
-bok AS (SELECT replicate FROM bj GROUP BY replicate HAVING count(DISTINCT y) >= 2 ORDER BY replicate LIMIT {rs.N_BOOT}),
-bnum AS (SELECT replicate, row_number() OVER (ORDER BY replicate) - 1 AS number FROM bok)
-SELECT bnum.number AS replicate, bj.record_id, bj.draws FROM bj JOIN bnum USING (replicate)""")
+@register("bootstrap_counts", _with(sv.vectors(), sv.boot_counts()) + "SELECT * FROM bcounts")
 def bootstrap_counts(spark, sf_dir):
     return ad.boot_counts(spark, sf_dir)
 
@@ -591,17 +578,40 @@ def oof_summary(spark, sf_dir):
     return cb.oof_summary(ad.oof_scores(spark, sf_dir))
 
 
-@register("metric_unpivot", _with(sv.oof_scores()) + f"""
+def _sql_calibration() -> str:
+    """cal: Newton's steps from (0, 0) for all repeats at once, as a recursive query."""
+    c = f"{cb.CAL_C}::DOUBLE"
+    return f"""cx AS MATERIALIZED (
+  SELECT repeat, CAST(y AS DOUBLE) AS y, ln(q / (1.0::DOUBLE - q)) AS x
+  FROM (SELECT repeat, y, least(greatest(p, {nu.LOG_EPS}::DOUBLE), 1.0::DOUBLE - {nu.LOG_EPS}::DOUBLE) AS q FROM oof)),
+steps AS (
+  SELECT DISTINCT repeat, 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS moved FROM cx
+  UNION ALL
+  SELECT repeat, i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab),
+         greatest(abs((hbb * ga - hab * gb) / (haa * hbb - hab * hab)), abs((haa * gb - hab * ga) / (haa * hbb - hab * hab)))
+  FROM (SELECT repeat, i, a, b, {c} * sum((q - y) * x) + a AS ga, {c} * sum(q - y) AS gb,
+               {c} * sum(q * (1 - q) * x * x) + 1 AS haa, {c} * sum(q * (1 - q) * x) AS hab, {c} * sum(q * (1 - q)) AS hbb
+        FROM (SELECT s.repeat, s.i, s.a, s.b, cx.x, cx.y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(s.a * cx.x + s.b))) AS q
+              FROM steps s JOIN cx ON s.repeat = cx.repeat WHERE s.i < 20) GROUP BY repeat, i, a, b)),
+cal AS (SELECT repeat, a AS cal_slope, b AS cal_intercept, moved < 1e-7 AS converged FROM steps WHERE i = 20)"""
+
+
+@register("calibration_slope", _with(sv.oof_scores(), _sql_calibration()).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT * FROM cal")
+def calibration_slope(spark, sf_dir):
+    return cb.calibration_fit(ad.oof_scores(spark, sf_dir))
+
+
+@register("metric_unpivot", _with(sv.oof_scores(), _sql_calibration()).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 , m_auc AS ({_sql_auc('oof', 'repeat')}),
 m_ap AS ({_sql_ap('oof', 'repeat')}),
 m_pr AS ({_sql_prob('oof', 'repeat')}),
 m_ece AS ({_sql_ece('oof', 'repeat')}),
 m_f1 AS (SELECT repeat, f1 AS f1_t FROM ({_sql_confusion('oof', 'repeat')})),
 m_f5 AS (SELECT repeat, f1 AS f1_05 FROM ({_sql_confusion('oof', 'repeat', '0.5::DOUBLE')})),
-per AS (SELECT m_auc.repeat, auc, ap, brier, log_loss, ece, p_min, p_max, p_mean, f1_t, f1_05
+per AS (SELECT m_auc.repeat, auc, ap, brier, log_loss, ece, cal_slope, cal_intercept, p_min, p_max, p_mean, f1_t, f1_05
         FROM m_auc JOIN m_ap USING (repeat) JOIN m_pr USING (repeat) JOIN m_ece USING (repeat)
-        JOIN m_f1 USING (repeat) JOIN m_f5 USING (repeat)),
-lg AS (UNPIVOT per ON auc, ap, brier, log_loss, ece, p_min, p_max, p_mean, f1_t, f1_05 INTO NAME metric VALUE value),
+        JOIN m_f1 USING (repeat) JOIN m_f5 USING (repeat) JOIN cal USING (repeat)),
+lg AS (UNPIVOT per ON auc, ap, brier, log_loss, ece, cal_slope, cal_intercept, p_min, p_max, p_mean, f1_t, f1_05 INTO NAME metric VALUE value),
 prior AS (SELECT avg(CAST(y AS DOUBLE)) * (1 - avg(CAST(y AS DOUBLE))) AS brier_class_prior FROM vectors)
 SELECT metric, avg(value) AS mean, stddev_samp(value) AS std, any_value(prior.brier_class_prior) AS brier_class_prior
 FROM lg, prior GROUP BY metric""")
@@ -851,11 +861,6 @@ def fit_svm_rff(spark, sf_dir):
     return margin(fte).withColumn("margin", F.col("p")).withColumn("p", cal(F.col("margin")))
 
 
-@register("calibration_slope")
-def calibration_slope(spark, sf_dir):
-    return cb.calibration_fit(ad.oof_scores(spark, sf_dir))
-
-
 @register("holdout_eval")
 def holdout_eval(spark, sf_dir):
     """Refit the selected setting on the train split, evaluate once on the hold-out."""

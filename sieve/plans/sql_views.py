@@ -7,8 +7,9 @@ the same relation the Spark adapter builds; oracle queries append to it.
 from __future__ import annotations
 
 from ..functions.text import CLASS_TAG, NAME_DIGITS, NAME_PAREN_SPAN, WS, WS_RUN, unicode_classes
+from ..operators.moments import REFIT_DIGITS, SCORE_DIGITS, SCORE_SCALE
 from ..operators.split import SPLIT_SEED, TEST_SIZE
-from ..sources.adapters import POSITIVE_FROM_LABEL, SCORE_DIGITS, SCORE_SCALE
+from ..sources.adapters import POSITIVE_FROM_LABEL
 
 
 def lit(s: str) -> str:
@@ -187,23 +188,56 @@ screen AS (
   FROM scored WHERE split = 'test')"""
 
 
+def boot_counts() -> str:
+    """The exact bootstrap: candidates in rounds, the first N_BOOT of two classes."""
+    from ..operators import resample as rs
+    candidates = rs.N_BOOT + max(10, rs.N_BOOT // 10)
+    return f"""bsrc AS (SELECT record_id, y FROM vectors WHERE split = 'train'),
+bidx AS (SELECT record_id, y, row_number() OVER (ORDER BY {md5_key(rs.BOOT_SEED, 'record_id')}, record_id) - 1 AS row_idx FROM bsrc),
+bn AS (SELECT count(*) AS n FROM bsrc),
+bdraws AS (SELECT replicate, unnest(range(n)) AS draw, n FROM range({candidates}) r(replicate), bn),
+bcnt AS (SELECT replicate, {md5_index(rs.BOOT_SEED, 'replicate', 'draw')} % n AS row_idx, count(*) AS draws
+         FROM bdraws GROUP BY ALL),
+bj AS (SELECT c.replicate, i.record_id, i.y, c.draws FROM bcnt c JOIN bidx i ON c.row_idx = i.row_idx),
+bok AS (SELECT replicate FROM bj GROUP BY replicate HAVING count(DISTINCT y) >= 2 ORDER BY replicate LIMIT {rs.N_BOOT}),
+bnum AS (SELECT replicate, row_number() OVER (ORDER BY replicate) - 1 AS number FROM bok),
+bcounts AS MATERIALIZED (SELECT bnum.number AS replicate, bj.record_id, bj.draws FROM bj JOIN bnum USING (replicate))"""
+
+
+def refit_p(vec: str) -> str:
+    """Score of ``vec`` under the centroids c1.centroid, c0.centroid."""
+    return (f"round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({SCORE_SCALE}::DOUBLE * ({cosine(vec, 'c1.centroid')} "
+            f"- {cosine(vec, 'c0.centroid')})))), {REFIT_DIGITS})")
+
+
 def boot_scores() -> str:
-    from ..sources.adapters import BOOT_NOISE, N_BOOT_SCORES
     return f"""{screen_set()},
-boot AS (
-  SELECT b.replicate, s.record_id, s.grp, s.name,
-         {perturb('s.p', BOOT_NOISE, "'boot'", 'b.replicate', 's.record_id')} AS p
-  FROM screen s, (SELECT unnest(range({N_BOOT_SCORES})) AS replicate) b)"""
+{boot_counts()},
+bel AS (
+  SELECT b.replicate, v.y, b.draws, generate_subscripts(v.embedding, 1) AS dim, unnest(v.embedding) AS x
+  FROM bcounts b JOIN vectors v ON b.record_id = v.record_id),
+bcen AS MATERIALIZED (
+  SELECT replicate, y, list(m ORDER BY dim) AS centroid
+  FROM (SELECT replicate, y, dim, sum(x * draws) / sum(draws) AS m FROM bel GROUP BY replicate, y, dim) GROUP BY replicate, y),
+boot AS MATERIALIZED (
+  SELECT c1.replicate, s.record_id, s.grp, s.name, {refit_p('s.embedding')} AS p
+  FROM screen s, (SELECT * FROM bcen WHERE y = 1) c1 JOIN (SELECT * FROM bcen WHERE y = 0) c0 ON c1.replicate = c0.replicate)"""
 
 
 def oof_scores() -> str:
     from ..operators.split import OOF_FOLDS, OOF_REPEATS, SPLIT_SEED
-    from ..sources.adapters import OOF_NOISE
     seeds = [SPLIT_SEED * 1000 + r for r in range(OOF_REPEATS)]
-    return f"""{scored()},
-oof_src AS (SELECT record_id, y, p FROM scored),
+    return f"""{vectors()},
+oof_src AS (SELECT record_id, y FROM vectors),
 {kfold('oof_src', 'oof_f', seeds, OOF_FOLDS, seed_col='rseed')},
-oof AS (
-  SELECT CAST(rseed - {SPLIT_SEED * 1000} AS INTEGER) AS repeat, fold, record_id, y,
-         {perturb('p', OOF_NOISE, "'oof'", f'CAST(rseed - {SPLIT_SEED * 1000} AS INTEGER)', 'record_id')} AS p
-  FROM oof_f)"""
+oof_el AS (
+  SELECT f.rseed, k.fold, f.y, generate_subscripts(v.embedding, 1) AS dim, unnest(v.embedding) AS x
+  FROM oof_f f JOIN range({OOF_FOLDS}) k(fold) ON f.fold <> k.fold JOIN vectors v ON f.record_id = v.record_id),
+oof_cen AS MATERIALIZED (
+  SELECT rseed, fold, y, list(m ORDER BY dim) AS centroid
+  FROM (SELECT rseed, fold, y, dim, avg(x) AS m FROM oof_el GROUP BY rseed, fold, y, dim) GROUP BY rseed, fold, y),
+oof AS MATERIALIZED (
+  SELECT CAST(f.rseed - {SPLIT_SEED * 1000} AS INTEGER) AS repeat, f.fold, f.record_id, f.y, {refit_p('v.embedding')} AS p
+  FROM oof_f f JOIN vectors v ON f.record_id = v.record_id
+  JOIN oof_cen c1 ON c1.rseed = f.rseed AND c1.fold = f.fold AND c1.y = 1
+  JOIN oof_cen c0 ON c0.rseed = f.rseed AND c0.fold = f.fold AND c0.y = 0)"""

@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import centroids, cosine, with_one_row
 from ..session import reuse
+from ..operators.moments import SCORE_DIGITS, SCORE_SCALE
 from ..operators.split import stratified_holdout
 from .tables import table
 
 # --- fixed values -----------------------------------------------------------
 POSITIVE_FROM_LABEL = 5      # embeddings.label >= 5 -> class 1
-SCORE_SCALE = 8.0
-SCORE_DIGITS = 6
 # ---------------------------------------------------------------------------
 
 
@@ -67,11 +66,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- long score tables -------------------------------------------------------
-# Stand-ins for what the model fits produce, derived from ``scored`` by a hash
-# perturbation so that every downstream aggregation has an exact SQL oracle.
+# Bootstrap and out-of-fold scores come from refits (operators/moments.py).  The sweep's
+# are stand-ins for what the five families' fits produce, derived from ``scored`` by a
+# hash perturbation so that every downstream aggregation has an exact SQL oracle.
 SWEEP_NOISE = 0.3
-BOOT_NOISE = 0.2
-OOF_NOISE = 0.2
 N_BOOT_SCORES = 1000
 GROUP_SHARE = 0.25            # share of hold-out records tagged 'validation'
 
@@ -110,19 +108,29 @@ def _sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES) -> DataFrame:
-    """(replicate, record_id, grp, name, p): replicate scores of the screened records."""
-    s = screen_set(spark, sf_dir).select("record_id", "grp", "name", "p")
-    x = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-    return x.withColumn("p", perturb("p", BOOT_NOISE, F.lit("boot"), F.col("replicate"), F.col("record_id")))
+    """(replicate, record_id, grp, name, p): the screened records under the centroid
+    scorer refitted on each bootstrap replicate of the train split."""
+    from ..operators import moments as mo
+    train = vectors(spark, sf_dir).filter(F.col("split") == "train")
+    scorers = mo.bootstrap_scorers(train, n_boot, counts=boot_counts(spark, sf_dir))
+    s = screen_set(spark, sf_dir).select("record_id", "grp", "name", "embedding")
+    x = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("group"))
+    return mo.refit_scores(scorers, x, n_boot).withColumnRenamed("group", "replicate")
 
 
 def _oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repeat, fold, record_id, y, p): out-of-fold scores of all labelled vectors."""
-    from ..operators.split import repeated_kfold
-    s = scored(spark, sf_dir).select("record_id", "y", "p")
-    r = repeated_kfold(s, "y", "record_id")
-    return r.withColumn("p", perturb("p", OOF_NOISE, F.lit("oof"), F.col("repeat"), F.col("record_id"))) \
-            .select("repeat", "fold", "record_id", "y", "p")
+    """(repeat, fold, record_id, y, p): scores of all labelled vectors under the
+    centroid scorer refitted without their fold, for each repeat."""
+    from ..operators import moments as mo
+    from ..operators import split as sp
+    v = vectors(spark, sf_dir).select("record_id", "embedding", "y")
+    folds = sp.repeated_kfold(v.select("record_id", "y"))
+    scorers = mo.fold_scorers(v, folds, sp.OOF_REPEATS, sp.OOF_FOLDS, "repeat")
+    # a record's vector travels once, with the list of its folds
+    own = folds.groupBy("record_id").agg(F.collect_list(F.struct("repeat", "fold")).alias("_f"))
+    x = v.join(own, "record_id").select("record_id", "embedding", "y", F.explode("_f").alias("_f")).select("record_id", "embedding", "y", "_f.repeat", "_f.fold")
+    x = x.withColumn("group", F.col("repeat") * sp.OOF_FOLDS + F.col("fold"))
+    return mo.refit_scores(scorers, x, sp.OOF_REPEATS * sp.OOF_FOLDS).select("repeat", "fold", "record_id", "y", "p")
 
 
 # --- shared derived tables ----------------------------------------------------
