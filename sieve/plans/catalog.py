@@ -39,7 +39,7 @@ def _with(*ctes: str) -> str:
 
 
 # --------------------------------------------------------------------------- V8 W2 J8
-@register("knn_top3", _with(sv.scored()) + f"""
+_SQL_KNN = _with(sv.scored()) + f"""
 , pairs AS (
   SELECT q.record_id AS query_id, q.p AS qp, r.record_id AS ref_id, r.y AS ref_y,
          {sv.cosine('q.embedding', 'r.embedding')} AS cos
@@ -49,14 +49,16 @@ ranked AS (
 SELECT query_id, qp AS query_p, CAST(qp >= {OPT_THRESHOLD} AS INTEGER) AS query_call, CAST(rank AS INTEGER) AS rank,
        ref_id, CASE WHEN ref_y = 1 THEN 'induction' ELSE 'inhibition' END AS neighbour_label,
        round(cos, 6) AS cosine
-FROM ranked WHERE rank <= 3""")
-def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM ranked WHERE rank <= 3"""
+
+
+def _knn(spark, sf_dir, **options):
     s = ad.scored(spark, sf_dir)
     q = s.filter(F.col("split") == "test")
     r = s.filter(F.col("split") == "train")
     # block sizes from the split counts of the shared scored table (no extra copies)
     top = nb.knn_topk(q.select("record_id", "embedding"), r.select("record_id", "embedding"), k=3,
-                      n_queries=q.count(), n_refs=r.count())
+                      n_queries=q.count(), n_refs=r.count(), **options)
     return (top.join(q.select(F.col("record_id").alias("query_id"), F.col("p").alias("query_p")), "query_id")
                .join(r.select(F.col("record_id").alias("ref_id"), F.col("y").alias("ref_y")), "ref_id")
                .select("query_id", "query_p", decide("query_p", OPT_THRESHOLD).alias("query_call"), "rank",
@@ -64,6 +66,18 @@ def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round("cosine", 6).alias("cosine")))
 
 
+@register("knn_top3", _SQL_KNN)
+def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir)
+
+
+@register("knn_pruned", _SQL_KNN)
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours through coarse clusters at any size: only clusters whose
+    bound reaches a query's third cosine are visited."""
+    return _knn(spark, sf_dir, prune_from=0)
+
+
 # --------------------------------------------------------------------------- P1-P12, P17, P21
 from ..functions import serialize as ser  # noqa: E402
 from ..functions import text as tx  # noqa: E402
@@ -726,15 +740,26 @@ def radius_neighbors(spark, sf_dir):
     return nb.crowding(_map_points(ad.screen_set(spark, sf_dir)))
 
 
-@register("similarity_range", _with(sv.scored()) + f"""
+_SQL_RANGE = _with(sv.scored()) + f"""
 SELECT min(c) AS cos_min, max(c) AS cos_max FROM (
-  SELECT {sv.cosine('q.embedding', 'r.embedding')} AS c FROM scored q JOIN scored r ON q.split = 'test' AND r.split = 'train')""")
+  SELECT {sv.cosine('q.embedding', 'r.embedding')} AS c FROM scored q JOIN scored r ON q.split = 'test' AND r.split = 'train')"""
+
+
+@register("similarity_range", _SQL_RANGE)
 def similarity_range(spark, sf_dir):
     s = ad.scored(spark, sf_dir)
     return nb.similarity_range(s.filter(F.col("split") == "test").select("record_id", "embedding"),
                                s.filter(F.col("split") == "train").select("record_id", "embedding"))
 
 
+@register("similarity_range_pruned", _SQL_RANGE)
+def similarity_range_pruned(spark, sf_dir):
+    """The same range by two pruned searches, held to the best pair of all queries."""
+    s = ad.scored(spark, sf_dir)
+    return nb.similarity_range(s.filter(F.col("split") == "test").select("record_id", "embedding"),
+                               s.filter(F.col("split") == "train").select("record_id", "embedding"), prune_from=0)
+
+
 @register("class_map", _with(sv.scored()) + f"""
 SELECT record_id, {MAP_SCALE}::DOUBLE * cos1 AS x, {MAP_SCALE}::DOUBLE * cos0 AS y FROM scored WHERE split = 'train' AND y = 0""")
 def class_map(spark, sf_dir):
