@@ -58,15 +58,15 @@ def fingerprint(text: str, words: int, seed: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the long columns of ``keep``): the fingerprint as a signed long."""
     def run(batches):
         for batch in batches:
             for part, texts in column_slices(batch, "text"):
                 fps = np.array([fingerprint(t, words, seed) for t in texts], "<u8").view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *part.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), *keep).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def tree_links(fps: np.ndarray, distance: int, split: int = 0) -> list[tuple[int, int]]:
@@ -159,11 +159,21 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the row whose doc_id is the group's smallest (of
-    rows that repeat that doc_id, one; of rows without doc_id, those that have no
-    group with a doc_id stay)."""
-    found = dedup(docs, **options)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    numbered = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.filter(F.col("doc_id").isNull()))
+def keep_first(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 2, blocks: int = BLOCKS) -> DataFrame:
+    """One document of each group: of the group's smallest doc_id the text of the
+    smallest hash, and of the rows that repeat both, one.
+
+    Nulls: a row without doc_id comes after all others, so it stays only where the
+    whole group has none; null and empty texts and texts of white space are one group,
+    that of fingerprint zero.  Two texts under one doc_id are rows of their own: each
+    stays or goes with its group.  An empty table gives no rows."""
+    text = F.xxhash64(whole_text())
+    own = cut_lineage(fingerprints(docs.select("doc_id", "text", text.alias("own")), words, seed, ("own",)))
+    near = cut_lineage(components(close_links(own.select("fp").distinct(), distance, blocks)))
+    group = own.join(near, own["fp"] == near["node"], "left").select(F.coalesce("component", "fp").alias("group"), "doc_id", "own")
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("own").alias("_own"))
+    keep = group.groupBy("group").agg(F.min(place).alias("_k")).select("_k.*")
+    # the row travels as one struct: its columns may have any name
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), text.alias("_own"))
+    key = ["_none", "_id", "_own"]
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")

@@ -52,7 +52,7 @@ def test_odd_documents(spark, odd, name):
     if name == "simhash":
         assert by[2].fingerprint == "0" * 16 and by[2].component_id == by[3].component_id == by[5].component_id == 2 and by[6].component_id == 1
     if name == "keep_first":
-        assert sorted(out.columns) == sorted(odd.columns) and ids == [1, 2, 4, 7, 8, None, None]
+        assert sorted(out.columns) == sorted(odd.columns) and ids == [1, 2, 4, 7, 8, None]
     if name == "imatch":
         assert by[2].n_chars == 0 and by[1].fingerprint == by[6].fingerprint
     if name == "langid":
@@ -105,6 +105,20 @@ def test_url_rules_and_aliases(spark):
     assert {r.page_id for r in urlfilter.judge(df, extra).collect() if r.verdict == "block"} >= {7, 8}
 
 
+def test_two_texts_under_one_doc_id(spark):
+    """Neither dedup nor passage removal mixes up texts that share a doc_id."""
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = [(1, "text a with words of its own", "en", "s", 1), (1, "quite another thing is said here", "en", "s", 1), (2, "text a with words of its own", "en", "s", 1),
+            (3, f"{passage} end", "en", "s", 1), (4, f"begin {passage} stop", "en", "s", 1), (4, "short text here", "en", "s", 1), (4, "ab cd", "en", "s", 1), (3, "a third one", "en", "s", 1),
+            (None, "text a with words of its own", "en", "s", 1), (None, "nobody owns this text", "en", "s", 1), (None, "nobody owns this text", "en", "t", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.keep_first(docs).collect())
+    assert kept == sorted({(str(r[0]), r[1]) for r in rows} - {("2", rows[0][1]), ("None", rows[0][1])})
+    left = [(r.doc_id, r.text) for r in passages.remove(docs).collect()]
+    assert len(left) == len(rows) and sum("common5 " in t for _, t in left) == 1
+    assert {(4, "short text here"), (4, "ab cd"), (3, "a third one"), (1, rows[1][1])} <= set(left)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     import random
 

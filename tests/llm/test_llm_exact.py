@@ -385,6 +385,66 @@ def test_compact_windows_cover_each_run_once():
                 assert sum(left <= i and w == c and j <= right for left, w, right in made) == 1
 
 
+def test_compact_windows_of_many_stretches_at_once():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        cuts = np.sort(rng.integers(0, 120, 8))
+        left, right = cuts[::2], cuts[1::2]
+        h, t = rng.integers(0, 40, 120).astype(np.uint64), int(rng.integers(1, 9))
+        alone = [w + lo for lo, hi in zip(left, right, strict=True) for w in passages.compact_windows(h[lo:hi], t)]
+        assert sorted(map(tuple, alone)) == sorted(map(tuple, passages.compact_windows(h, t, left, right)))
+
+
+def repeated_runs(docs, size=50):
+    """{run of words: {text number: its places}} of the runs in more than one text."""
+    held = {}
+    for i, words in enumerate(docs):
+        for at in range(len(words) - size + 1):
+            held.setdefault(tuple(words[at : at + size]), {}).setdefault(i, []).append(at)
+    return {run: places for run, places in held.items() if len(places) > 1}
+
+
+def uncovered(found, docs, size=50):
+    """Texts of a run, beyond one, in which a place of the run isn't reported."""
+    spans = {}
+    for r in found:
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.stop_word))
+    done = {}
+    for i, own in spans.items():
+        mark = np.zeros(len(docs[i]) + 1, bool)
+        for lo, hi in own:
+            mark[lo:hi] = True
+        done[i] = np.concatenate([[0], np.cumsum(~mark)])
+    out = 0
+    for places in repeated_runs(docs, size).values():
+        free = [i for i, own in places.items() if any(i not in done or done[i][at + size] > done[i][at] for at in own)]
+        out += max(0, len(free) - 1)
+    return out
+
+
+def test_passages_cover_every_equal_run_of_the_corpus(spark, texts):
+    """An index of all runs of 50 words over whole texts: each is reported at every place, but for one text."""
+    kinds = sorted({t: i for i, t in sorted(texts.items(), reverse=True)}.items(), key=lambda x: x[1])
+    docs = {i: passages.WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t)) for t, i in kinds}
+    number = {i: n for n, i in enumerate(docs)}
+    found = [r for r in passages.find(spark.read.parquet(f"{MID}/documents.parquet")).collect() if r.doc_id in number]
+    renamed = [type("R", (), {"doc_id": number[r.doc_id], "start_word": r.start_word, "stop_word": r.stop_word}) for r in found]
+    assert len(repeated_runs(list(docs.values()))) > 300 and uncovered(renamed, list(docs.values())) == 0
+
+
+def test_passages_cover_lines_that_repeat_inside_a_text(spark):
+    """Equal runs on several diagonals of one pair of texts."""
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(0, 1 << 40))
+    docs = []
+    for _ in range(12):
+        line, other = [word() for _ in range(30)], [word() for _ in range(25)]
+        docs.append([word() for _ in range(10)] + line * 3 + other + [word() for _ in range(10)])
+        docs.append(line + other + [word() for _ in range(20)] + line * 2 + other + line)
+    found = passages.find(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    assert uncovered(found, docs) == 0
+
+
 def test_passages_find_planted_repeats_and_no_others(spark):
     rng = np.random.default_rng(4)
     word = lambda: "w" + str(rng.integers(0, 1 << 40))
