@@ -37,6 +37,7 @@ from .features import PCA_VARIANCE, PCAByVariance, PopulationStandardScaler
 
 # --- fixed values -----------------------------------------------------------
 BEST_C = 0.001                  # selected model: L2 logistic regression, C = 0.001
+PLATT_FOLDS = 5                 # inner folds of a probability fit
 MAX_DEPTH_NONE = 30             # "no depth limit" mapped to Spark's deepest tree
 SMALL_FIT_MAX_ROWS = 200_000    # rows per model for the many-small-fits path
 # ---------------------------------------------------------------------------
@@ -117,6 +118,58 @@ def platt(margins: DataFrame, score: str = "p", label: str = "y", max_iter: int
     return lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * c + F.lit(b))))
 
 
+def inner_margins(train: DataFrame, fit, score, k: int = PLATT_FOLDS, id_col: str = "record_id", label: str = "y", vec: str = "embedding", seed: int = 42) -> DataFrame:
+    """(record_id, y, p): each training row's margin from a model that did not see it.
+
+    The training rows are dealt into ``k`` inner folds by label (ids and labels only);
+    ``fit(rows)`` on the others gives the model, ``score(model, rows)`` the margins.
+    The fits run side by side (a bounded pool of jobs).  With fewer than ``k`` rows of a
+    class there are as many folds as the rarer class has rows; with less than two
+    nothing can be held back and the margins are those of the training rows.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..session import cut_lineage
+    from .split import stratified_kfold
+    sizes = [r["count"] for r in train.groupBy(label).count().collect()]      # one row a class
+    k = min(k, *sizes) if len(sizes) > 1 else 1
+    rows = train.select(id_col, vec, label)
+    if k < 2:
+        return score(fit(rows), rows)
+    folds = stratified_kfold(train.select(id_col, label), label, id_col, k=k, seeds=(seed,)).select(id_col, "fold")
+    dealt = cut_lineage(rows.join(folds, id_col))
+
+    def one(i: int) -> DataFrame:
+        part = dealt.filter(F.col("fold") != i).drop("fold")
+        return score(fit(part), dealt.filter(F.col("fold") == i).drop("fold")).select(id_col, label, "p")
+
+    with ThreadPoolExecutor(min(k, PLATT_FOLDS)) as pool:
+        parts = list(pool.map(one, range(k)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def fit_rff_svm(train: DataFrame, c: float = 1.0, vec: str = "embedding"):
+    """standardise -> PCA -> random Fourier features (gamma = 1 / (components x
+    variance)) -> linear SVM; gives a function from rows to rows with the margin ``p``."""
+    scaler = PopulationStandardScaler(inputCol="features", outputCol="z").fit(as_features(train, vec))
+    pca = PCAByVariance(inputCol="z", outputCol="pc").fit(scaler.transform(as_features(train, vec)))
+
+    def proj(df: DataFrame) -> DataFrame:
+        return pca.transform(scaler.transform(as_features(df, vec))).select("record_id", "y", vector_to_array("pc").alias("x"))
+
+    own = proj(train)
+    var = own.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]      # one scalar
+    gamma = 1.0 / (pca.n_components_ * var) if var else 1.0 / pca.n_components_
+    rows, n = sized_for_fit(random_fourier_features(own, pca.n_components_, gamma, vec="x", out="x"), "x")
+    svm = LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=1000).fit(
+        rows.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label")))
+
+    def margin(df: DataFrame) -> DataFrame:
+        x = random_fourier_features(proj(df), pca.n_components_, gamma, vec="x", out="x")
+        return svm.transform(x.select("record_id", "y", array_to_vector("x").alias("features"))).select("record_id", "y", vector_to_array("rawPrediction")[1].alias("p"))
+    return margin
+
+
 def random_fourier_features(df: DataFrame, d_in: int, gamma: float, n_features: int = 200, seed: int = 42,
                             vec: str = "embedding", out: str = "embedding") -> DataFrame:
     """RBF kernel approximation z = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi).

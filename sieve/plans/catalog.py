@@ -78,6 +78,15 @@ def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir, prune_from=0)
 
 
+@register("knn_lsh")
+def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest references of two large sides through a locality-sensitive join whose
+    width follows from the wanted recall (0.95 of the three nearest)."""
+    from ..operators.lsh import approx_topk
+    s = ad.scored(spark, sf_dir).select("record_id", "embedding", "split")
+    return approx_topk(s.filter(F.col("split") == "test"), s.filter(F.col("split") == "train"), k=3)
+
+
 # --------------------------------------------------------------------------- P1-P12, P17, P21
 from ..functions import serialize as ser  # noqa: E402
 from ..functions import text as tx  # noqa: E402
@@ -852,38 +861,20 @@ def fit_gbt(spark, sf_dir):
 
 @register("fit_svm_linear")
 def fit_svm_linear(spark, sf_dir):
-    """Linear SVM margins, Platt-scaled on the training margins."""
-    s, model, tr = _fit_family(spark, sf_dir, "SVM-Linear", {"C": 1})
-    cal = md.platt(md.positive_score(model, tr.select("record_id", "embedding", "y")))
+    """Linear SVM margins, Platt-scaled on margins of inner folds."""
+    s, _, tr = _fit_family(spark, sf_dir, "SVM-Linear", {"C": 1})
+    cal = md.platt(md.inner_margins(tr, lambda part: md.fit_pipeline(part, "SVM-Linear", {"C": 1}), md.positive_score))
     return s.withColumn("margin", F.col("p")).withColumn("p", cal(F.col("margin")))
 
 
 @register("fit_svm_rff")
 def fit_svm_rff(spark, sf_dir):
     """RBF SVM by random Fourier features on the PCA output (gamma='scale'), then
-    a linear SVM and Platt scaling."""
-    from pyspark.ml.classification import LinearSVC
+    a linear SVM and Platt scaling on margins of inner folds."""
     tr, te = _train_test(spark, sf_dir)
-    sc = fe.PopulationStandardScaler(inputCol="features", outputCol="z").fit(md.as_features(tr))
-    pca = fe.PCAByVariance(inputCol="z", outputCol="pc").fit(sc.transform(md.as_features(tr)))
-
-    def proj(df):
-        return pca.transform(sc.transform(md.as_features(df))).select(
-            "record_id", "y", vector_to_array("pc").alias("x"))
-    ptr, pte = proj(tr), proj(te)
-    var = ptr.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]      # one scalar
-    gamma = 1.0 / (pca.n_components_ * var) if var else 1.0 / pca.n_components_
-    ftr = md.random_fourier_features(ptr, pca.n_components_, gamma, vec="x", out="x")
-    fte = md.random_fourier_features(pte, pca.n_components_, gamma, vec="x", out="x")
-    ftr, n = md.sized_for_fit(ftr, "x")
-    svm = LinearSVC(regParam=1.0 / (1.0 * n), standardization=False, maxIter=1000)
-    m = svm.fit(ftr.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label")))
-
-    def margin(df):
-        return m.transform(df.select("record_id", "y", array_to_vector("x").alias("features"))) \
-                .select("record_id", "y", vector_to_array("rawPrediction")[1].alias("p"))
-    cal = md.platt(margin(ftr))
-    return margin(fte).withColumn("margin", F.col("p")).withColumn("p", cal(F.col("margin")))
+    margins = md.inner_margins(tr, md.fit_rff_svm, lambda model, rows: model(rows))
+    cal = md.platt(margins)
+    return md.fit_rff_svm(tr)(te).withColumn("margin", F.col("p")).withColumn("p", cal(F.col("margin")))
 
 
 @register("holdout_eval")
