@@ -1,13 +1,22 @@
-"""Embedding near-duplicates by exact comparison in blocks.
-
-Equal vectors are one class first.  The classes of one length are dealt into chunks
-of bounded size, each chunk is packed into one row, and every pair of chunks is a
-cell of its own: a task multiplies two chunks in tiles of ``chunk_rows`` and finds
-every pair whose cosine reaches the bound (single precision, and double precision
-for cosines within rounding of the bound).  A cell hands on how many rows each
-class links with, and one tree of links for each connected part of its classes;
-components are those of all trees.  No pair is left out and none is written out;
-the work grows with the square of the number of classes.
+"""Embedding near-duplicates by sorted projection passes.
+
+Equal vectors are one class first.  In each pass a vector's key is the signs of
+its projections on 64 random directions, put together as one number; the passes of a
+round are range-partitioned and sorted by key, each vector is compared with its
+``window`` successors, and pairs whose cosine (double precision) reaches the bound
+are united, within the task and then over all passes by connected components.
+Vectors on either side of a range border aren't compared in that pass; other
+passes have other borders.
+
+Rounds have new directions, and each a window twice as wide as the one before, for
+vectors that lie among many others: they go on until a round unites nothing that
+earlier ones had not.  So passes and window grow with the data and its density, not by
+a parameter.  What no round finds is not linked: the measured recall is in the README.
+
+Links are then counted whole inside each component.  Members within half the
+bound's angle of the component's mean direction all link to each other, so they
+are counted and not compared; the others are compared with all members, in cells
+of at most two chunks of ``chunk_rows``.  No pair of the two steps is written out.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are their own component; vectors of different
@@ -17,7 +26,10 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +37,14 @@ from .common import cut_lineage, n_partitions
 from .components import components
 
 BOUND = 0.9
-CHUNK_ROWS, CHUNK_BYTES = 2048, 1 << 25
+PASSES, WINDOW, CHUNK_ROWS = 16, 12, 2048  # of the first round
+
+
+def _matrix(col) -> np.ndarray:
+    """Rows of equal length as one double matrix of unit vectors."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(len(col), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,110 +56,138 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.select("vec_id", "cls"), many.withColumn("dim", F.size("vector"))
 
 
-def _tree(hit: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what the hits between ``left`` and ``right`` (places in
-    ``part``) join and ``part`` doesn't yet; ``part`` is renewed."""
-    out: list[tuple[int, int]] = []
-    while True:
-        new = hit & (part[left][:, None] != part[right][None, :])
-        rows, cols = np.flatnonzero(new.any(axis=1)), np.flatnonzero(new.any(axis=0))
-        if not len(rows):
-            return out
-        up: dict[int, int] = {}
-
-        def root(i, up=up):
-            while i in up:
-                up[i] = i = up.get(up[i], up[i])
-            return i
-
-        for i, j in [*zip(rows.tolist(), new[rows].argmax(axis=1).tolist(), strict=True), *zip(new[:, cols].argmax(axis=0).tolist(), cols.tolist(), strict=True)]:
-            ra, rb = root(int(part[left[i]])), root(int(part[right[j]]))
-            if ra != rb:
-                up[max(ra, rb)] = min(ra, rb)
-                out.append((int(left[i]), int(right[j])))
-        to = np.arange(len(part))
-        to[list(up)] = [root(i) for i in up]
-        part[:] = to[part]
-
-
-def compare(x: np.ndarray, many: np.ndarray, split: int, bound: float, tile: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(rows that each of the vectors ``x`` links with, a tree of links).  With
-    ``split``, only pairs between the first ``split`` and the rest count."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # neither over- nor underflow in the norm
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    single = x.astype(np.float32)
-    margin = 1e-6 + 2.5e-7 * x.shape[1]  # above the rounding of a single-precision product
-    count, part, links = np.zeros(len(x), np.int64), np.arange(len(x)), []
-    for lo in range(0, split or len(x), tile):
-        left = np.arange(lo, min(lo + tile, split or len(x)))
-        for at in range(split or lo, len(x), tile):
-            right = np.arange(at, min(at + tile, len(x)))
-            cos = single[left] @ single[right].T
-            hit = cos >= bound + margin
-            close = np.flatnonzero((cos >= bound - margin) & ~hit)
-            for some in np.array_split(close, -(-len(close) // 65_536) or 1):
-                i, j = np.divmod(some, len(right))
-                hit[i, j] = np.einsum("ij,ij->i", x[left[i]], x[right[j]]) >= bound
-            if not split and at == lo:
-                np.fill_diagonal(hit, False)
-            if not hit.any():
-                continue
-            count[left] += hit @ many[right]
-            if split or at != lo:
-                count[right] += many[left] @ hit
-            links += _tree(hit, left, right, part)
-    return count, links
-
-
-def class_links(classes: DataFrame, bound: float, chunk_rows: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(a, b, n): links a, b between classes, with n null, that join exactly those
-    which all pairs join; and, with b null, how many rows of other classes class a
-    links with, to be summed up."""
-    # as many chunks as give each partition a cell, more where a chunk would be too large
-    spread = 1 + int((2 * n_partitions(classes.sparkSession)) ** 0.5)
-    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("rows"))
-    held = F.greatest(F.least(F.ceil(F.col("rows") / chunk_rows), F.lit(spread)), F.ceil(F.col("rows") * F.col("dim") * 8 / chunk_bytes)).cast("int")
-    dealt = classes.join(sizes.select("dim", held.alias("chunks")), "dim").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int"))
-
-    def pack(rows):
+def pass_links(classes: DataFrame, bound: float, passes: int, window: int, seed: int) -> DataFrame:
+    """Links (a, b) between classes found in the passes, thinned to one tree for each
+    connected part of a task's rows."""
+    def project(batches):
+        for batch in batches:
+            cls, dim = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for d in np.unique(dim):
+                at = np.flatnonzero(dim == d)
+                x = _matrix(batch.column(2).take(pa.array(at)))
+                directions = np.random.default_rng([seed, int(d)]).standard_normal((passes * 64, int(d)))
+                bits = np.packbits((x @ directions.T > 0).reshape(len(x), passes, 64), axis=2)
+                keys = bits.reshape(len(x), passes, 8).view(">i8").reshape(len(x), passes).astype(np.int64)
+                n = len(at)
+                flat = pa.array(x.astype(np.float64).ravel())
+                one = pa.ListArray.from_arrays(pa.array(np.arange(0, n * int(d) + 1, int(d)), pa.int32()), flat)
+                for p in range(passes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(keys[:, p]), pa.array(cls[at]), one],
+                                                     names=["pass", "dim", "key", "cls", "vector"])
+
+    keyed = classes.select("cls", "dim", "vector").mapInArrow(project, "pass int, dim int, key long, cls long, vector array<double>")
+    dealt = keyed.repartitionByRange(n_partitions(classes.sparkSession), "pass", "dim", "key", "cls").sortWithinPartitions("pass", "dim", "key", "cls")
+
+    def compare(batches):
+        held: list = []  # the last rows, for the next batch: (pass, dim, cls, unit vector)
+        for batch in batches:
+            dim = batch.column(1).to_numpy()
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(dim)) + 1):
+                if not len(part):
+                    continue
+                own = batch.slice(int(part[0]), len(part))
+                d = int(dim[part[0]])
+                at, cls, x = own.column(0).to_numpy(), own.column(3).to_numpy(), _matrix(own.column(4))
+                if held and held[0] == d:
+                    at, cls, x = np.concatenate([held[1], at]), np.concatenate([held[2], cls]), np.concatenate([held[3], x])
+                parent: dict[int, int] = {}
+
+                def root(i, parent=parent):
+                    while parent.get(i, i) != i:
+                        parent[i] = parent.get(parent[i], parent[i])
+                        i = parent[i]
+                    return i
+
+                links = []
+                for o in range(1, min(window, len(x) - 1) + 1):
+                    cos = np.einsum("ij,ij->i", x[o:], x[:-o])
+                    for i in np.flatnonzero((cos >= bound) & (at[o:] == at[:-o])).tolist():
+                        a, b = int(cls[i]), int(cls[i + o])
+                        ra, rb = root(a), root(b)
+                        if ra != rb:
+                            parent[ra] = rb
+                            links.append((a, b))
+                held = [d, at[-window:], cls[-window:], x[-window:]]
+                a, b = zip(*links, strict=True) if links else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _counted(members: DataFrame, bound: float, chunk_rows: int) -> DataFrame:
+    """(cls, n) for the members of components: how many vectors of other classes it links with."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    # the half angle, with a margin far above rounding
+    near = math.cos(math.acos(bound) / 2) + 1e-9
+
+    @F.pandas_udf("boolean")
+    def inside(vector, center):
         import pandas as pd
 
-        x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        with np.errstate(over="ignore"):
-            narrow = x.astype(np.float32)
-        x = narrow if (narrow.astype(np.float64) == x).all() else x  # half the bytes where that loses nothing
-        one = [int(rows[c].iloc[0]) for c in ("dim", "chunks", "chunk")]
-        return pd.DataFrame([[*one, rows["cls"].to_numpy(np.int64).tobytes(), rows["many"].to_numpy(np.int64).tobytes(), x.tobytes()]], columns=["dim", "chunks", "chunk", "cls", "many", "x"])
-
-    packed = cut_lineage(dealt.groupBy("dim", "chunks", "chunk").applyInPandas(pack, "dim int, chunks int, chunk int, cls binary, many binary, x binary"))
-    cells = packed.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select("dim", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "cls", "many", "x")
-
-    def cell(rows):
+        x, c = np.stack(vector.to_numpy()).astype(np.float64), np.stack(center.to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1)
+        return pd.Series(np.einsum("ij,ij->i", x, c) >= near * norm)
+
+    @F.pandas_udf("array<double>")
+    def unit(vector):
+        return vector.map(lambda v: v / np.linalg.norm(v))
+
+    members = members.withColumn("unit", unit("vector"))
+    centers = members.groupBy("component").agg(vector_to_array(Summarizer.mean(array_to_vector("unit"))).alias("center"))
+    members = cut_lineage(members.join(centers, "component").withColumn("inside", inside("unit", "center")).drop("center", "vector"))
+    balls = members.filter("inside").groupBy("component").agg(F.sum("many").alias("ball"))
+    shape = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("inside")).cast("long")).alias("outer"))
+    loose = cut_lineage(members.join(shape.filter("outer > 0"), "component"))
+    chunks = lambda n: F.ceil(F.col(n) / chunk_rows).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), chunks(n)).cast("int")
+    left = loose.filter("not inside").withColumn("i", deal("outer", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), chunks("size") - 1)))
+    right = loose.withColumn("j", deal("size", 2)).withColumn("i", F.explode(F.sequence(F.lit(0), chunks("outer") - 1)))
+    cells = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("component", "i", "j", "side", "cls", "inside", "many", "unit")
+
+    def count(cell):
         import pandas as pd
 
-        dim = int(rows["dim"].iloc[0])
-        if len(rows) < 2 and int(rows["i"].iloc[0]) != int(rows["j"].iloc[0]):  # the other chunk has no row
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        cls, many = (np.concatenate([np.frombuffer(v, np.int64) for v in rows[c]]) for c in ("cls", "many"))
-        sizes = [len(v) // 8 for v in rows["cls"]]
-        x = np.concatenate([np.frombuffer(v, np.float32 if len(v) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64) for v, n in zip(rows["x"], sizes, strict=True)])
-        count, links = compare(x, many, sizes[0] if len(sizes) > 1 else 0, bound, chunk_rows)
-        own = np.flatnonzero(count)
-        ends = np.array(links, np.int64).reshape(-1, 2)
-        linked = pd.DataFrame({"a": cls[ends[:, 0]], "b": cls[ends[:, 1]]}, dtype="Int64")
-        return pd.concat([linked, pd.DataFrame({"a": cls[own], "n": count[own]}, dtype="Int64")]).reindex(columns=["a", "b", "n"])
-
-    return cells.groupBy("dim", "i", "j").applyInPandas(cell, "a long, b long, n long")
-
-
-def dedup(vectors: DataFrame, bound: float = BOUND, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+        l, r = cell[cell["side"] == 0], cell[cell["side"] == 1]
+        if l.empty or r.empty:
+            return pd.DataFrame({"cls": [], "n": []}).astype("int64")
+        x, y = np.stack(l["unit"].to_numpy()), np.stack(r["unit"].to_numpy())
+        hit = (x @ y.T >= bound) & (l["cls"].to_numpy()[:, None] != r["cls"].to_numpy()[None, :])
+        out, inner = hit @ r["many"].to_numpy(), r["inside"].to_numpy()
+        back = l["many"].to_numpy() @ hit  # what the outer ones add to members inside the ball
+        return pd.DataFrame({"cls": np.concatenate([l["cls"], r["cls"][inner]]), "n": np.concatenate([out, back[inner]])}).astype("int64")
+
+    outer = cells.groupBy("component", "i", "j").applyInPandas(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
+    whole = members.join(balls, "component", "left").join(outer, "cls", "left")
+    ball = F.when(F.col("inside"), F.col("ball") - F.col("many")).otherwise(0)
+    return whole.select("cls", (ball + F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def united(classes: DataFrame, bound: float, passes: int, window: int, seed: int = 11) -> DataFrame:
+    """(cls, component) of the classes that link, by rounds of passes until one adds
+    no union."""
+    parts = None
+    while True:
+        links = cut_lineage(pass_links(classes, bound, passes, window, seed))
+        if parts is not None:
+            of = lambda end: parts.select(F.col("cls").alias(f"_{end}"), F.col("component").alias(f"_c{end}"))  # noqa: E731, B023
+            named = links.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+            links = cut_lineage(named.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")).filter("a != b"))
+        if links.isEmpty():
+            return parts if parts is not None else links.select(F.col("a").alias("cls"), F.col("b").alias("component"))
+        known = links if parts is None else links.unionByName(parts.select(F.col("cls").alias("a"), F.col("component").alias("b")))
+        parts = cut_lineage(components(known).withColumnRenamed("node", "cls"))
+        window, seed = 2 * window, seed + 1
+
+
+def dedup(vectors: DataFrame, bound: float = BOUND, passes: int = PASSES, window: int = WINDOW, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows, classes = _classes(vectors)
     classes = cut_lineage(classes)
-    found = cut_lineage(class_links(classes.select("cls", "dim", "vector", "many"), bound, chunk_rows))
-    counted = found.filter("n is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
-    parts = cut_lineage(components(found.filter("n is null").select("a", "b")).withColumnRenamed("node", "cls"))
-    members = classes.select("cls", "first").join(parts, "cls")
+    parts = united(classes, bound, passes, window)
+    members = cut_lineage(classes.join(parts, "cls"))
+    counted = _counted(members.select("component", "cls", "vector", "many"), bound, chunk_rows)
     least = members.groupBy("component").agg(F.min("first").alias("least"))
     of_part = members.select("cls", "component").join(least, "component").join(counted, "cls")
     of_class = classes.select("cls", "many", "first").join(of_part, "cls", "left").select(

@@ -330,8 +330,28 @@ def test_vector_dedup_in_a_dense_source(spark):
     roots = find_root(list(zip(a.tolist(), b.tolist(), strict=True)), range(n))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     rows = {r.vec_id: r for r in vecdedup.dedup(df).collect()}
-    assert len(a) >= pairs and [rows[i].n_links for i in range(n)] == near.sum(1).tolist()
-    assert [rows[i].component_id for i in range(n)] == [roots[i] for i in range(n)]
+    # links that were found, of those there are; none that isn't one
+    assert all(rows[i].n_links <= m for i, m in enumerate(near.sum(1).tolist()))
+    recall = sum(rows[i].n_links for i in range(n)) / near.sum()
+    assert len(a) >= pairs and recall >= 0.95, recall
+    assert np.mean([rows[i].component_id == roots[i] for i in range(n)]) >= 0.99
+
+
+def test_vector_rounds_go_on_until_nothing_is_added(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((400, 32))
+    x = np.vstack([base, base[:200] + 0.25 * rng.standard_normal((200, 32))])
+    made, links = [], vecdedup.pass_links
+    monkeypatch.setattr(vecdedup, "pass_links", lambda *a: made.append(a[3:]) or links(*a))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in vecdedup.dedup(df, passes=2, window=1).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert len(made) >= 3 and [w for w, _ in made] == [1 << i for i in range(len(made))] and len({s for _, s in made}) == len(made)
+    assert sum(rows[i].n_links for i in range(600)) >= 0.9 * near.sum() > 200
+    made.clear()
+    assert all(r.n_links == 0 for r in vecdedup.dedup(df.filter("vec_id < 400")).collect()) and len(made) == 1
 
 
 def test_url_filter_oracle(spark):
