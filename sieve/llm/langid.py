@@ -183,13 +183,14 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, **options) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def judged(text):
-        import pandas as pd
-
-        got = [model.predict(t) for t in text]
-        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got],
-                             "rejected": [g[0] == UND or g[1] < model.reject_below for g in got]})
+        got = []
+        for _, some in column_slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text"):
+            got += [model.predict(t) for t in some]
+        lang, score = (pa.array([g[i] for g in got], kind) for i, kind in ((0, pa.string()), (1, pa.float64())))
+        out = pa.array([g[0] == UND or g[1] < model.reject_below for g in got], pa.bool_())
+        return pa.StructArray.from_arrays([lang, score, out], names=["lang_pred", "score", "rejected"])
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     return docs.withColumn("_judged", judged("text")).select(*names, "_judged.*")
