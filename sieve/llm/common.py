@@ -53,6 +53,8 @@ def column_slices(batch: pa.RecordBatch, text: str, max_chars: int = 1_000_000)
         size += n
     if lo < len(sizes):
         yield batch.slice(lo), col.slice(lo).to_pylist()
+    # a worker lives on through later stages: what this batch took goes back
+    pa.default_memory_pool().release_unused()
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
