@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, n_partitions
 
-__all__ = ["column_slices", "cut_lineage", "documents", "n_partitions", "table", "whole_text", "worker_state"]
+__all__ = ["column_slices", "cut_lineage", "documents", "freed", "n_partitions", "table", "whole_text", "worker_state"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def column_slices(batch: pa.RecordBatch, text: str, max_chars: int = 1_000_000)
         size += n
     if lo < len(sizes):
         yield batch.slice(lo), col.slice(lo).to_pylist()
-    # a worker lives on through later stages: what this batch took goes back
+    freed()
+
+
+def freed() -> None:
+    """Gives back what Arrow held of earlier batches: a worker lives on through later stages."""
     pa.default_memory_pool().release_unused()
 
 
