@@ -57,7 +57,8 @@ def _largest_remainder(counts: DataFrame, label: str, total_quota, keys: Sequenc
 def stratified_holdout(df: DataFrame, label: str = "y", id_col: str = "record_id",
                        test_size: float = TEST_SIZE, seed: int = SPLIT_SEED,
                        out: str = "split") -> DataFrame:
-    """Add ``split`` in {'train','test'}."""
+    """Add ``split`` in {'train','test'}.  Rows without a label are in neither and go."""
+    df = df.filter(F.col(label).isNotNull())
     counts = class_counts(df, label)
     n_total = F.sum("n_class").over(Window.partitionBy())
     counts = counts.withColumn("_n_test", F.ceil(F.lit(float(test_size)) * n_total))
@@ -66,7 +67,7 @@ def stratified_holdout(df: DataFrame, label: str = "y", id_col: str = "record_id
     # the tiny quota table carries _n_train through the window above
     q = q.select(label, F.col("quota").alias("_train_quota"))
     ranked = hash_rank(df, [label], hash_key(F.lit(seed), F.col(id_col)), id_col, out="_pos")
-    return (ranked.join(F.broadcast(q), [label], "left")      # one row per class
+    return (ranked.join(F.broadcast(q), [label])              # one row per class
                   .withColumn(out, F.when(F.col("_pos") <= F.col("_train_quota"), F.lit("train"))
                                     .otherwise(F.lit("test")))
                   .drop("_pos", "_train_quota"))
@@ -75,13 +76,14 @@ def stratified_holdout(df: DataFrame, label: str = "y", id_col: str = "record_id
 def stratified_kfold(df: DataFrame, label: str = "y", id_col: str = "record_id",
                      k: int = CV_FOLDS, seeds: Sequence[int] = CV_SEEDS,
                      seed_col: str = "seed", fold_col: str = "fold") -> DataFrame:
-    """One row per (seed, record): ``fold`` in [0, k) for each shuffle seed."""
-    rows = df.select("*", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias(seed_col))
+    """One row per (seed, record): ``fold`` in [0, k) for each shuffle seed.  Rows without
+    a label are in no fold and go."""
+    rows = df.filter(F.col(label).isNotNull()).select("*", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias(seed_col))
     counts = class_counts(rows, label, [seed_col])
     w = Window.partitionBy(seed_col).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(seed_col, label, F.coalesce(F.sum("n_class").over(w), F.lit(0)).alias("_off"))
     ranked = hash_rank(rows, [seed_col, label], hash_key(F.col(seed_col), F.col(id_col)), id_col, out="_pos")
-    return (ranked.join(F.broadcast(offs), [seed_col, label], "left")   # seeds x classes rows
+    return (ranked.join(F.broadcast(offs), [seed_col, label])           # seeds x classes rows
                   .withColumn(fold_col, ((F.col("_off") + F.col("_pos") - 1) % k).cast("int"))
                   .drop("_off", "_pos"))
 

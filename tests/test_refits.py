@@ -89,3 +89,13 @@ def test_calibration_fit_is_the_same_however_rows_lie(spark):
     df = spark.range(400).select((F.col("id") % 2).cast("int").alias("repeat"), ((F.col("id") * 37 % 97 + 1) / 99).alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y"))
     a, b = (sorted(tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in calibrate.calibration_fit(df.repartition(k)).collect()) for k in (1, 9))
     assert a == b
+
+
+def test_rows_without_a_label_are_in_no_split_and_no_fold(spark):
+    from sieve.operators.split import stratified_holdout, stratified_kfold
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "record_id long, y int")
+    labelled = df.filter("y is not null")
+    for split in (stratified_holdout, stratified_kfold):
+        assert sorted(split(df).collect()) == sorted(split(labelled).collect())
+        assert split(df).filter("y is null").isEmpty() and split(df.filter("y is null")).isEmpty()
