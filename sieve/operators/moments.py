@@ -52,13 +52,19 @@ def poisson_lists(rows: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_i
     return drawn.select(*rows.columns, F.col("_w.g").alias("groups"), F.col("_w.w").alias("ws"))
 
 
-def class_sums(rows: DataFrame, n_groups: int, vec: str = "embedding", label: str = "y") -> DataFrame:
+def dimension(rows: DataFrame, vec: str = "embedding") -> int:
+    """Length of the vectors; 0 without any."""
+    first = rows.filter(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
+    return first["d"] if first else 0
+
+
+def class_sums(rows: DataFrame, n_groups: int, vec: str = "embedding", label: str = "y", dim: int | None = None) -> DataFrame:
     """(group, y, n, s): weighted count and sum vector of each weighting and class.
 
     ``rows`` hold vec, label, groups and ws.  Rows without a label or vector take no part.
+    ``dim`` saves the look at a first row where the caller knows the vectors' length.
     """
-    first = rows.filter(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
-    dim = first["d"] if first else 0
+    dim = dimension(rows, vec) if dim is None else dim
 
     def run(batches):
         total = np.zeros((2, n_groups, dim + 1))
@@ -98,14 +104,14 @@ def add_up(sums: DataFrame, keys: list[str], dim: int) -> DataFrame:
     return each.select(*keys, "n", F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias("s"))
 
 
-def complements(sums: DataFrame, set_size: int) -> DataFrame:
+def complements(sums: DataFrame, set_size: int, dim: int | None = None) -> DataFrame:
     """Sums of all rows of a weighting's set but its own: sets are ``set_size``
     neighbouring groups (the folds of one repeat) that share out the rows."""
     setno = F.floor(F.col("group") / F.lit(set_size)).cast("int")
     own = sums.withColumn("_set", setno)
     whole = F.transform(F.arrays_zip("_t", "s"), lambda p: p["_t"] - p["s"])
-    first = sums.select(F.size("s").alias("d")).first()
-    totals = add_up(own.select(F.col("_set"), "y", "n", "s"), ["_set", "y"], first["d"] if first else 0).select(F.col("_set"), "y", F.col("n").alias("_n"), F.col("s").alias("_t"))
+    dim = dimension(sums, "s") if dim is None else dim
+    totals = add_up(own.select(F.col("_set"), "y", "n", "s"), ["_set", "y"], dim).select(F.col("_set"), "y", F.col("n").alias("_n"), F.col("s").alias("_t"))
     # a fold without rows of a class still leaves out nothing of it
     folds = totals.select("*", F.explode(F.sequence(F.col("_set") * set_size, F.col("_set") * set_size + set_size - 1)).alias("group"))
     met = folds.join(sums.select("group", "y", "n", "s"), ["group", "y"], "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import class_name, decide
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from ..operators import linear_grid as lg
 from ..operators import neighbors as nb
 from ..sources import adapters as ad
 from . import sql_views as sv
@@ -420,33 +421,33 @@ summ AS (SELECT encoder, family, avg(cv_f1) AS cv_f1_mean, stddev_samp(cv_f1) AS
 def _selection(spark, sf_dir):
     from ..session import reuse
     fb = reuse(spark, ("fold_best", sf_dir), lambda: sel.fold_thresholds(ad.sweep_scores(spark, sf_dir)))
-    best = sel.best_settings(sel.setting_means(fb), sel.grid_frame(spark))
+    best = sel.best_settings(sel.setting_means(fb), sel.grid_frame(spark, lg.LINEAR_GRIDS))
     return fb, best, sel.summary(best)
 
 
-_N_FITS = len(sp.CV_SEEDS) * sp.CV_FOLDS
+_ALL_GRIDS = {**sel.GRIDS, **lg.LINEAR_GRIDS}
 
 
 def _sql_fitted_grid() -> str:
-    return _with(sv.sweep_scores()) + f"""
+    return _with(sv.sweep_scores(), sv.grid(_ALL_GRIDS).replace("grid AS", "all_grid AS", 1)) + """
 , fits AS (SELECT family, grid_pos, count(*) AS n_fits
-           FROM (SELECT DISTINCT family, grid_pos, seed, fold FROM sweep) GROUP BY ALL),
-fitted_grid AS (SELECT g.family, g.grid_pos, g.params FROM grid g
-                WHERE EXISTS (SELECT 1 FROM fits f WHERE f.family = g.family AND f.grid_pos = g.grid_pos
-                                                     AND f.n_fits = {_N_FITS}))
+           FROM (SELECT DISTINCT encoder, family, grid_pos, seed, fold FROM sweep) GROUP BY ALL),
+fitted_grid AS (SELECT g.family, g.grid_pos, g.params, coalesce(f.n_fits, 0) AS n_fits
+                FROM all_grid g LEFT JOIN fits f ON f.family = g.family AND f.grid_pos = g.grid_pos)
 """
 
 
 def _fitted_grid(spark, sf_dir):
-    """M8: the expanded grid, keeping the settings that were fitted on every
-    (seed, fold) of the sweep (a setting failing on any fold is skipped)."""
-    fits = (ad.sweep_scores(spark, sf_dir).select("family", "grid_pos", "seed", "fold").distinct()
-              .groupBy("family", "grid_pos").agg(F.count(F.lit(1)).alias("_n_fits"))
-              .filter(F.col("_n_fits") == _N_FITS))
-    return sel.grid_frame(spark).join(fits.select("family", "grid_pos"), ["family", "grid_pos"], "left_semi")
+    """M8: all expanded grids, with the number of fits (encoders x seeds x folds) that
+    each setting has in the sweep; a setting that no fold could fit has none, and the
+    settings of the five iterative families are fitted by ``family_sweep`` instead."""
+    fits = (ad.sweep_scores(spark, sf_dir).select("encoder", "family", "grid_pos", "seed", "fold").distinct()
+              .groupBy("family", "grid_pos").agg(F.count(F.lit(1)).alias("n_fits")))
+    return (sel.grid_frame(spark, _ALL_GRIDS).join(fits, ["family", "grid_pos"], "left")
+               .withColumn("n_fits", F.coalesce("n_fits", F.lit(0).cast("long"))))
 
 
-@register("grid_expand", _sql_fitted_grid() + "SELECT family, grid_pos, params FROM fitted_grid")
+@register("grid_expand", _sql_fitted_grid() + "SELECT family, grid_pos, params, n_fits FROM fitted_grid")
 def grid_expand(spark, sf_dir):
     return _fitted_grid(spark, sf_dir)
 
@@ -455,14 +456,15 @@ def grid_expand(spark, sf_dir):
 SELECT family, grid_pos, CAST(json_extract_string(params, '$.C') AS DOUBLE) AS c,
        CAST(json_extract_string(params, '$.n_estimators') AS INTEGER) AS n_estimators,
        CAST(json_extract_string(params, '$.max_depth') AS INTEGER) AS max_depth,
-       json_extract_string(params, '$.gamma') AS gamma
+       json_extract_string(params, '$.gamma') AS gamma, CAST(json_extract_string(params, '$.scale') AS DOUBLE) AS scale, n_fits
 FROM fitted_grid""")
 def params_roundtrip(spark, sf_dir):
     g = _fitted_grid(spark, sf_dir)
     return g.select("family", "grid_pos", ser.setting_field("params", "C", "double").alias("c"),
                     ser.setting_field("params", "n_estimators", "int").alias("n_estimators"),
                     ser.setting_field("params", "max_depth", "int").alias("max_depth"),
-                    ser.setting_field("params", "gamma", "string").alias("gamma"))
+                    ser.setting_field("params", "gamma", "string").alias("gamma"),
+                    ser.setting_field("params", "scale", "double").alias("scale"), "n_fits")
 
 
 @register("best_threshold", _sql_selection() + f"SELECT {_FK}, threshold, f1 FROM fold_best")
@@ -513,6 +515,48 @@ def chart_series(spark, sf_dir):
     return sel.chart_series(summ)
 
 
+@register("holdout_winner", _sql_selection() + f"""
+, top AS (SELECT * FROM summ ORDER BY round(cv_f1_mean, {sel.COMPARE_DIGITS}) DESC, encoder, family LIMIT 1),
+modal AS (SELECT grid_pos, params FROM (
+  SELECT b.grid_pos, b.params, row_number() OVER (ORDER BY count(*) DESC, b.params) AS r
+  FROM best b JOIN top t ON b.encoder = t.encoder AND b.family = t.family GROUP BY b.grid_pos, b.params) WHERE r = 1),
+hw_src AS (SELECT record_id, y, embedding FROM vectors),
+{sv.unit_encodings('hw_src', 'hw_x')},
+hw_train AS (SELECT x.encoder, x.y, x.x FROM hw_x x JOIN vectors v ON v.record_id = x.record_id AND v.split = 'train'),
+{sv.linear_models('hw_train', 'encoder', 'hw_model')},
+hw AS (
+  SELECT v.y, {sv.linear_p('x.x', 'm')} AS p, round_even(t.opt_threshold_mean, 2) AS threshold
+  FROM vectors v JOIN hw_x x ON x.record_id = v.record_id JOIN top t ON t.encoder = x.encoder
+  JOIN modal d ON true JOIN hw_model m ON m.encoder = t.encoder AND m.family = t.family AND m.grid_pos = d.grid_pos
+  WHERE v.split = 'test'),
+hc AS (SELECT count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y = 0 AND p >= threshold) AS fp,
+              count(*) FILTER (y = 1 AND p < threshold) AS fn, count(*) FILTER (y = 0 AND p < threshold) AS tn FROM hw),
+hr AS (SELECT y, count(*) FILTER (y = 1) OVER (ORDER BY p DESC) AS tps, count(*) OVER (ORDER BY p DESC) AS called,
+              count(*) FILTER (y = 0) OVER (ORDER BY p GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below,
+              count(*) FILTER (y = 0) OVER (ORDER BY p GROUPS BETWEEN CURRENT ROW AND CURRENT ROW) AS same FROM hw),
+ha AS (SELECT CASE WHEN count(*) FILTER (y = 1) = 0 OR count(*) FILTER (y = 0) = 0 THEN NULL
+              ELSE sum(below + 0.5 * same) FILTER (y = 1) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) END AS auc,
+              avg(CAST(tps AS DOUBLE) / called) FILTER (y = 1) AS ap FROM hr)
+SELECT t.encoder, t.family, d.params, round_even(t.opt_threshold_mean, 2) AS threshold, tp, fp, fn, tn,
+       (tp + tn) / (tp + fp + fn + tn) AS accuracy, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS "precision",
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1, auc, ap
+FROM top t, modal d, hc, ha""")
+def holdout_winner(spark, sf_dir):
+    """M12: the winner's modal setting refitted on the whole train split, judged once on
+    the hold-out at the mean of its seeds' thresholds."""
+    from ..functions.vectors import with_one_row
+    _, best, summ = _selection(spark, sf_dir)
+    top = sel.winner(summ, best).withColumnRenamed("modal_params", "params")
+    top = top.join(sel.grid_frame(spark, lg.LINEAR_GRIDS), ["family", "params"]) \
+             .select("encoder", "family", "grid_pos", "params", F.bround("opt_threshold_mean", 2).alias("threshold"))
+    v = ad.vectors(spark, sf_dir)
+    s = lg.refit_chosen(v.filter(F.col("split") == "train"), v.filter(F.col("split") == "test"), top.drop("params"))
+    s = s.withColumn("p_above", (F.col("p") >= F.col("threshold")).cast("double"))
+    got = with_one_row(mt.confusion(s, [], 1.0, p="p_above"), mt.rank_metrics(s, []))
+    return with_one_row(got, top.drop("grid_pos"))
+
+
 # --------------------------------------------------------------------------- A21-A23 K1 U2
 from ..functions import numeric as nu  # noqa: E402
 from ..operators import calibrate as cb  # noqa: E402
@@ -919,6 +963,40 @@ def oof_fit(spark, sf_dir):
     return cb.oof_summary(oof.select("repeat", "record_id", "y", "p"))
 
 
+# one setting a family keeps a run to 18 fits; sel.grid_rows() is the whole grid
+FAMILY_SWEEP_SEEDS = (42,)
+
+
+def _family_grid():
+    """The first setting of each sub-grid of the five families."""
+    seen, out = set(), []
+    for family, pos, js in sel.grid_rows():
+        kind = (family, json.loads(js).get("penalty"))
+        if kind not in seen:
+            seen.add(kind)
+            out.append((family, pos, js))
+    return out
+
+
+@register("family_sweep")
+def family_sweep(spark, sf_dir):
+    """M8 / M11: the five families with Spark ML fits on a small grid (the first setting of
+    each sub-grid, one seed, three folds): best setting, its mean F1 and threshold, and
+    the number of fits made and refused, from the log that a restarted sweep goes on from."""
+    import os
+    import uuid
+
+    from ..operators import sweep as sw
+    from ..session import ensure_checkpoint_dir
+    tr, _ = _train_test(spark, sf_dir)
+    out = os.path.join(ensure_checkpoint_dir(spark), f"sweep-{uuid.uuid4().hex}")
+    scores = sw.model_sweep(tr, _family_grid(), seeds=FAMILY_SWEEP_SEEDS, out_dir=out)
+    best = sel.best_settings(sel.setting_means(sel.fold_thresholds(scores)), sel.grid_frame(spark))
+    log = sw.sweep_status(spark, out).groupBy("encoder", "family").agg(
+        F.sum(F.col("fitted").cast("int")).alias("n_fitted"), F.sum((~F.col("fitted")).cast("int")).alias("n_refused"))
+    return log.join(best, ["encoder", "family"], "left")
+
+
 @register("lr_sweep")
 def lr_sweep(spark, sf_dir):
     """Model selection over the L2 logistic-regression C grid with real fits:

@@ -134,13 +134,13 @@ def kfold(src: str, name: str, seeds, k: int, label: str = "y", id_col: str = "r
   FROM {name}_x x JOIN {name}_off o ON x.{seed_col} = o.{seed_col} AND x.{label} = o.{label})"""
 
 
-def grid() -> str:
+def grid(grids: dict | None = None) -> str:
     """(family, grid_pos, params) by crossing the value lists of each sub-grid."""
     import json
 
     from ..operators.selection import GRIDS
     parts_sql = []
-    for family, subgrids in GRIDS.items():
+    for family, subgrids in (grids or GRIDS).items():
         offset = 0
         for sub in subgrids:
             keys = list(sub)
@@ -159,24 +159,66 @@ def grid() -> str:
     return "grid AS (\n  " + "\n  UNION ALL ".join(parts_sql) + ")"
 
 
-def perturb(p: str, noise: float, *keys: str) -> str:
-    return (f"least(greatest({p} + {noise}::DOUBLE * ({md5_unit(*keys)} - 0.5::DOUBLE), 0.0::DOUBLE), "
-            f"1.0::DOUBLE)")
+def unit_encodings(src: str, name: str) -> str:
+    """The three encodings of the vectors of ``src``, scaled to length one."""
+    return f"""{name}_raw AS (
+  SELECT record_id, y, 'domain' AS encoder, embedding AS x FROM {src}
+  UNION ALL SELECT record_id, y, 'general', list_transform(embedding, lambda v: CAST(sign(v) AS DOUBLE)) FROM {src}
+  UNION ALL SELECT record_id, y, 'half', list_transform(embedding, lambda v, i: CASE WHEN i - 1 < len(embedding) / 2.0 THEN v ELSE 0.0::DOUBLE END) FROM {src}),
+{name} AS MATERIALIZED (
+  SELECT record_id, y, encoder, CASE WHEN l = 0 THEN x ELSE list_transform(x, lambda v: v / l) END AS x
+  FROM (SELECT *, sqrt(list_dot_product(x, x)) AS l FROM {name}_raw))"""
+
+
+def linear_models(training: str, keys: str, name: str) -> str:
+    """Every setting of the closed-form grid fitted on the rows of ``training``
+    (keys..., y, x), for each value of ``keys``."""
+    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    par = lambda k: f"coalesce(CAST(json_extract_string(params, '$.{k}') AS DOUBLE), 0.0) AS {k}"
+    return f"""{name}_el AS (SELECT {keys}, y, generate_subscripts(x, 1) AS dim, unnest(x) AS v FROM {training}),
+{name}_mom AS (SELECT {keys}, y, dim, count(*) AS n, avg(v) AS c, sum(v * v) AS q FROM {name}_el GROUP BY ALL),
+{name}_dim AS (
+  SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.dim, a.n AS n1, b.n AS n0, a.c AS c1, b.c AS c0, (a.n * a.c + b.n * b.c) / (a.n + b.n) AS m,
+         greatest((a.q + b.q - a.n * a.c * a.c - b.n * b.c * b.c) / (a.n + b.n), 0.0) AS v
+  FROM {name}_mom a JOIN {name}_mom b ON {on('a', 'b')} AND a.dim = b.dim AND a.y = 1 AND b.y = 0),
+{name}_sp AS (SELECT *, avg(v) OVER (PARTITION BY {keys}) AS vbar FROM {name}_dim),
+{name}_set AS (SELECT family, grid_pos, {par('scale')}, {par('shrink')}, {par('reg')}, {par('prior')} FROM grid),
+{name}_e AS (
+  SELECT *, (1.0 - shrink) * c1 + shrink * m AS e1, (1.0 - shrink) * c0 + shrink * m AS e0,
+         CASE WHEN family = 'Mean difference' THEN 1.0::DOUBLE WHEN v + reg * vbar > 0 THEN 1.0::DOUBLE / (v + reg * vbar) ELSE 0.0::DOUBLE END AS w
+  FROM {name}_sp, {name}_set),
+{name}_l AS (
+  SELECT *, sqrt(sum(e1 * e1) OVER g) AS l1, sqrt(sum(e0 * e0) OVER g) AS l0, sum((c1 * c1 - c0 * c0) * w) OVER g AS middle
+  FROM {name}_e WINDOW g AS (PARTITION BY {keys}, family, grid_pos)),
+{name} AS MATERIALIZED (
+  SELECT {keys}, family, grid_pos,
+         list(CASE WHEN family = 'Centroid cosine'
+                   THEN scale * (CASE WHEN l1 = 0 THEN 0.0 ELSE e1 / l1 END - CASE WHEN l0 = 0 THEN 0.0 ELSE e0 / l0 END)
+                   ELSE scale * (c1 - c0) * w END ORDER BY dim) AS u,
+         any_value(CASE WHEN family = 'Centroid cosine' THEN 0.0 ELSE prior * ln(n1 / n0) - scale * 0.5 * middle END) AS b
+  FROM {name}_l GROUP BY {keys}, family, grid_pos)"""
+
+
+def linear_p(x: str, model: str) -> str:
+    return f"round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(list_dot_product({x}, {model}.u) + {model}.b))), {REFIT_DIGITS})"
 
 
 def sweep_scores() -> str:
-    from ..operators.selection import ENCODERS
+    from ..operators.linear_grid import LINEAR_GRIDS
     from ..operators.split import CV_FOLDS, CV_SEEDS
-    from ..sources.adapters import SWEEP_NOISE
-    enc = ", ".join(lit(e) for e in ENCODERS)
-    return f"""{scored()},
-sw_src AS (SELECT record_id, y, p FROM scored WHERE split = 'train'),
-{kfold('sw_src', 'sw_folds', CV_SEEDS, CV_FOLDS)},
-{grid()},
-sweep AS (
-  SELECT e.encoder, g.family, f.seed, g.grid_pos, f.fold, f.record_id, f.y,
-         {perturb('f.p', SWEEP_NOISE, 'e.encoder', 'g.family', 'g.grid_pos', 'f.seed', 'f.record_id')} AS p
-  FROM sw_folds f, grid g, (SELECT unnest([{enc}]) AS encoder) e)"""
+    return f"""{vectors()},
+sw_src AS (SELECT record_id, y, embedding FROM vectors WHERE split = 'train'),
+sw_id AS (SELECT record_id, y FROM sw_src),
+{kfold('sw_id', 'sw_folds', CV_SEEDS, CV_FOLDS)},
+{grid(LINEAR_GRIDS)},
+{unit_encodings('sw_src', 'sw_x')},
+sw_train AS (
+  SELECT x.encoder, f.seed, k.fold, x.y, x.x FROM sw_folds f JOIN range({CV_FOLDS}) k(fold) ON f.fold <> k.fold JOIN sw_x x ON x.record_id = f.record_id),
+{linear_models('sw_train', 'encoder, seed, fold', 'sw_model')},
+sweep AS MATERIALIZED (
+  SELECT x.encoder, m.family, f.seed, m.grid_pos, f.fold, f.record_id, f.y, {linear_p('x.x', 'm')} AS p
+  FROM sw_folds f JOIN sw_x x ON x.record_id = f.record_id
+  JOIN sw_model m ON m.encoder = x.encoder AND m.seed = f.seed AND m.fold = f.fold)"""
 
 
 def screen_set() -> str:

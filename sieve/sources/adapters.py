@@ -66,19 +66,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- long score tables -------------------------------------------------------
-# Bootstrap and out-of-fold scores come from refits (operators/moments.py).  The sweep's
-# are stand-ins for what the five families' fits produce, derived from ``scored`` by a
-# hash perturbation so that every downstream aggregation has an exact SQL oracle.
-SWEEP_NOISE = 0.3
+# Sweep, bootstrap and out-of-fold scores all come from refits (operators/linear_grid.py,
+# operators/moments.py).
 N_BOOT_SCORES = 1000
 GROUP_SHARE = 0.25            # share of hold-out records tagged 'validation'
 
 
-def perturb(p, noise: float, *keys):
-    from ..functions.numeric import clip, hash_unit
-    return clip(F.col(p) + F.lit(noise) * (hash_unit(*keys) - F.lit(0.5)), 0.0, 1.0)
-
-
 def screen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold-out records as the set to screen, with a group tag and a name."""
     from ..functions.numeric import hash_unit
@@ -91,20 +84,10 @@ def screen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(encoder, family, seed, grid_pos, fold, record_id, p, y): validation scores
-    of every setting, seed and fold over the train split."""
-    from ..operators.selection import ENCODERS, grid_rows
-    from ..operators.split import stratified_kfold
-    s = scored(spark, sf_dir).filter(F.col("split") == "train").select("record_id", "y", "p")
-    folds = stratified_kfold(s, "y", "record_id")
-    rows = [(i, e, f, g) for i, (e, (f, g, _)) in enumerate((e, r) for e in ENCODERS for r in grid_rows())]
-    settings = spark.createDataFrame(rows, "setting int, encoder string, family string, grid_pos int")
-    x = folds.select("seed", "fold", "record_id", "y", "p",
-                     F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("setting"))
-    # the settings table is the fixed parameter grid (|encoders| x 264 rows): broadcast
-    x = x.join(F.broadcast(settings), "setting").select("encoder", "family", "seed", "grid_pos", "fold",
-                                                         "record_id", "y", "p")
-    return x.withColumn("p", perturb("p", SWEEP_NOISE, F.col("encoder"), F.col("family"), F.col("grid_pos"),
-                                     F.col("seed"), F.col("record_id")))
+    of every setting of the closed-form grid, refitted for each encoding, seed and fold of
+    the train split."""
+    from ..operators import linear_grid as lg
+    return lg.sweep_scores(vectors(spark, sf_dir).filter(F.col("split") == "train"))
 
 
 def _boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES) -> DataFrame:
