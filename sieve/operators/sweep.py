@@ -13,8 +13,13 @@
   fold, record_id, p, y)`` that :mod:`selection` reduces to the winner.  A setting
   that its estimator rejects (bad parameters) gets no scores, so the chain (which
   requires every fold) drops it, as the reference does; every fit has a row in
-  the status table (:func:`sweep_status`).  Any other error, such as lost
-  executors or a full disk, ends the sweep instead of passing for a bad setting.
+  the log (:func:`sweep_status`).  Any other error, such as lost executors or a full
+  disk, ends the sweep instead of passing for a bad setting.
+* **Goes on after a restart.**  A fit's log row is written after its scores, in a
+  folder named by the fit.  A sweep given the folder of an earlier one (``out_dir``)
+  makes only the fits that have no log row, whatever ended the earlier one.  The folder
+  belongs to one training set, which its first sweep notes as row count and sum of row
+  hashes; with other rows, encoder or folds the sweep refuses to go on.
 
 Families: logistic regression (L1 / L2), random forest, boosted trees, linear SVM
 and RBF SVM (random Fourier features + linear SVM); SVM margins are turned into
@@ -30,7 +35,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.errors import IllegalArgumentException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -110,42 +115,68 @@ def model_sweep(train: DataFrame, grid: Sequence[tuple[str, int, str]], encoder:
     out_dir = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"sweep-{uuid.uuid4().hex}")
     a = stratified_kfold(train.select(id_col, vec, label), label, id_col, k, seeds) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    _claim(train.select(id_col, vec, label), f"{encoder}, {k} folds", out_dir)
+    # one row a fit: bounded by the grid, the seeds and the folds
+    done = {(r.family, r.seed, r.grid_pos, r.fold) for r in sweep_status(spark, out_dir).collect()}
 
     def run(job):
-        i, fam, pos, js, seed, fold, ptr, pva, n, kk = job
-        status = (encoder, fam, seed, pos, fold)
+        fam, pos, js, seed, fold, ptr, pva, n, kk = job
+        name = f"{fam.replace(' ', '_')}-{pos}-{seed}-{fold}"
         try:
             s = _fit_scores(fam, json.loads(js), ptr, pva, n, kk, seed)
         except (IllegalArgumentException, ValueError) as e:  # the estimator rejects the setting
-            return (*status, False, str(e))
-        (s.select(F.lit(encoder).alias("encoder"), F.lit(fam).alias("family"), F.lit(seed).alias("seed"),
-                  F.lit(pos).alias("grid_pos"), F.lit(fold).alias("fold"), "record_id", "p", "y")
-          .write.mode("overwrite").parquet(os.path.join(out_dir, "scores", f"fit={i}")))
-        return (*status, True, None)
+            s, message = None, str(e)
+        if s is not None:
+            (s.select(F.lit(encoder).alias("encoder"), F.lit(fam).alias("family"), F.lit(seed).alias("seed"),
+                      F.lit(pos).alias("grid_pos"), F.lit(fold).alias("fold"), "record_id", "p", "y")
+              .write.mode("overwrite").parquet(os.path.join(out_dir, "scores", f"fit={name}")))
+        row = (encoder, fam, seed, pos, fold, s is not None, None if s is not None else message)
+        spark.createDataFrame([row], STATUS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(os.path.join(out_dir, "status", f"fit={name}"))
 
-    i, statuses = 0, []  # one row per fit: bounded by the grid, the seeds and the folds
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         for seed in seeds:
             # the k folds of one seed are in flight together (k persisted copies
             # of the training rows at most), then released
-            feats = [(fold, *_fold_features(a, seed, fold, id_col, vec, label)) for fold in range(k)]
-            jobs = []
-            for fold, ptr, pva, n, kk in feats:
-                for fam, pos, js in grid:
-                    jobs.append((i, fam, pos, js, seed, fold, ptr, pva, n, kk))
-                    i += 1
-            statuses += pool.map(run, jobs)
+            open_jobs = {fold: [g for g in grid if (g[0], seed, g[1], fold) not in done] for fold in range(k)}
+            feats = [(fold, *_fold_features(a, seed, fold, id_col, vec, label)) for fold in range(k) if open_jobs[fold]]
+            jobs = [(fam, pos, js, seed, fold, ptr, pva, n, kk) for fold, ptr, pva, n, kk in feats for fam, pos, js in open_jobs[fold]]
+            list(pool.map(run, jobs))
             for _, ptr, pva, _, _ in feats:
                 ptr.unpersist()
                 pva.unpersist()
     a.unpersist()
-    spark.createDataFrame(statuses, STATUS_SCHEMA).write.mode("overwrite").parquet(os.path.join(out_dir, "status"))
-    if not any(ok for *_, ok, _ in statuses):
-        return spark.createDataFrame([], SCORE_SCHEMA)
-    return spark.read.parquet(os.path.join(out_dir, "scores")).drop("fit")
+    scores = _read(spark, os.path.join(out_dir, "scores"), SCORE_SCHEMA)
+    # scores whose log row is missing belong to a fit that was cut off and made again, or
+    # to settings outside this grid
+    asked = spark.createDataFrame([(f, p) for f, p, _ in grid], "family string, grid_pos int").distinct()
+    kept = sweep_status(spark, out_dir).filter("fitted").filter(F.col("seed").isin(*map(int, seeds))) \
+        .join(F.broadcast(asked), ["family", "grid_pos"]).select("encoder", "family", "seed", "grid_pos", "fold")
+    return scores.join(F.broadcast(kept), ["encoder", "family", "seed", "grid_pos", "fold"], "left_semi")
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, empty where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _claim(rows: DataFrame, terms: str, out_dir: str) -> None:
+    """Notes the training rows of a new folder, or compares them with those noted."""
+    spark, path = rows.sparkSession, os.path.join(out_dir, "rows")
+    own = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("hashes")) \
+              .withColumn("terms", F.lit(terms))
+    before = _read(spark, path, "n long, hashes string, terms string").first()
+    if before is None:
+        own.write.mode("overwrite").parquet(path)
+    elif own.first() != before:
+        raise ValueError(f"{out_dir} holds the sweep of other rows, another encoder or other folds")
 
 
 def sweep_status(spark: SparkSession, out_dir: str) -> DataFrame:
     """One row per fit of the sweep written to ``out_dir``: whether its setting was
     fitted, else the estimator's message."""
-    return spark.read.schema(STATUS_SCHEMA).parquet(os.path.join(out_dir, "status"))
+    return _read(spark, os.path.join(out_dir, "status"), STATUS_SCHEMA)

@@ -71,6 +71,32 @@ def test_sweep_status_and_errors(spark, tmp_path, monkeypatch):
         model_sweep(df, [GRID[0]], seeds=(42,), k=2, out_dir=str(tmp_path / "c"))
 
 
+def test_restarted_sweep_goes_on(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), float(-i % 7)], int(i > 9)) for i in range(20)],
+                               "record_id long, embedding array<double>, y int")
+    grid, out, made = [GRID[0], GRID[1]], str(tmp_path / "s"), []
+    fit = sweep._fit_scores
+
+    def counted(family, params, *rest):
+        made.append(params["C"])
+        if len(made) == 3 and params["C"] == 1:
+            raise RuntimeError("driver lost")
+        return fit(family, params, *rest)
+    monkeypatch.setattr(sweep, "_fit_scores", counted)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        model_sweep(df, [GRID[1], GRID[1], GRID[1]], seeds=(42,), k=2, out_dir=out, parallelism=1)
+    before = len(made)
+    scores = model_sweep(df, grid, seeds=(42,), k=2, out_dir=out, parallelism=1)
+    assert len(made) > before and scores.count() == 2 * 20
+    again = len(made)
+    same = model_sweep(df, grid, seeds=(42,), k=2, out_dir=out)
+    assert len(made) == again                               # a second run fits nothing
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, scores.collect()))
+    assert model_sweep(df, [GRID[0]], seeds=(42,), k=2, out_dir=out).count() == 20 and len(made) == again
+    with pytest.raises(ValueError, match="other rows"):
+        model_sweep(df.filter("record_id > 0"), grid, seeds=(42,), k=2, out_dir=out)
+
+
 def test_forest_split_size_folds_into_the_leaves(spark):
     def leaf(split, leaf):
         est = md.classifier("Random Forest", {"n_estimators": 5, "max_depth": None, "min_samples_split": split,
