@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Sequence
 
@@ -40,30 +41,32 @@ def read_sheet(spark: SparkSession, path: str, descriptor_cols: Sequence[str],
                null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Read a folder of exported record sheets (CSV) with a banner line above the header.
 
-    Columns are found by their trimmed header names, in any order; a missing label or
-    extra column is an error, a missing descriptor is an all-null column.  Every
+    Each file's header is its first row with two of the wanted names (or the only one
+    wanted); rows before it are the banner, rows after it are records, however few of
+    their cells are filled.  Columns are found by their trimmed header names, file by file, so
+    files may differ in order.  A file without a header, or without the label or an
+    extra column, is an error; a missing descriptor is an all-null column.  Every
     column is read as string (``50`` stays ``50``); cells may hold embedded newlines.
     ``record_id`` is a hash of the row's cells and, for rows that repeat, their count,
     so it doesn't change with the file layout.
     """
-    # the second line of each file; a driver-side read of one small line per file
     raw = spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').csv(path)
     wanted = list(descriptor_cols) + ([label_col] if label_col else []) + list(extra_cols)
-    trimmed = [F.trim(F.col(c)) for c in raw.columns]
-    is_header = F.size(F.array_intersect(F.array(*trimmed), F.array(*[F.lit(w) for w in wanted]))) >= min(2, len(wanted))
-    heads = raw.filter(is_header).distinct().limit(2).collect()
-    if len(heads) != 1:
-        raise ValueError(f"{path}: expected one header row, found {len(heads)}")
-    at = {str(v).strip(): c for c, v in zip(raw.columns, heads[0], strict=True) if v is not None}
-    missing = [c for c in wanted if c not in at and c not in descriptor_cols]
-    if missing:
-        raise ValueError(f"{path}: no column {missing}")
-    same_head = F.lit(True)
-    for c, v in zip(raw.columns, heads[0], strict=True):
-        same_head = same_head & F.col(c).eqNullSafe(F.lit(v))
-    banner = F.coalesce(*[F.col(c) for c in raw.columns[1:]]).isNull() if len(raw.columns) > 1 else F.lit(False)
-    cells = [(F.col(at[c]) if c in at else F.lit(None).cast("string")).alias(c) for c in wanted]
-    df = raw.filter(~same_head & ~banner).select(*cells)
+    cells = F.array(*[F.col(c) for c in raw.columns])
+    # a file with embedded newlines is read by one task from top to bottom, so ids grow with its lines
+    lines = raw.select(cells.alias("_cells"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    names = F.transform("_cells", lambda v: F.trim(v))
+    is_header = F.size(F.array_intersect(names, F.array(*[F.lit(w) for w in wanted]))) >= min(2, len(wanted))
+    heads = lines.filter(is_header).groupBy("_file").agg(F.min("_at").alias("_head"), F.min_by(names, "_at").alias("_names"))
+    needed = F.array(*[F.lit(c) for c in wanted if c not in descriptor_cols]).cast("array<string>")
+    # one row a file, checked where it lies; a file at fault comes to the driver, not the list of files
+    files = lines.select("_file").distinct().join(heads, "_file", "left")
+    bad = files.filter(F.col("_names").isNull() | (F.size(F.array_except(needed, "_names")) > 0)).first()
+    if bad is not None:
+        raise ValueError(f"{bad['_file']}: no header row" if bad["_names"] is None else f"{bad['_file']}: not all of the columns {[c for c in wanted if c not in descriptor_cols]}")
+    rows = lines.join(heads, "_file").filter(F.col("_at") > F.col("_head"))
+    pick = lambda c: F.get("_cells", (F.array_position("_names", F.lit(c)) - 1).cast("int"))
+    df = rows.select(*[F.when(F.array_contains("_names", F.lit(c)), pick(c)).alias(c) for c in wanted])
     for c in wanted:
         df = df.withColumn(c, F.when(F.trim(F.col(f"`{c}`")).isin(*null_tokens), F.lit(None)).otherwise(F.col(f"`{c}`")))
     df = df.na.drop(how="all")
@@ -82,12 +85,26 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         w.format(fmt).save(path)
 
 
-def materialize_once(spark: SparkSession, path: str, build) -> DataFrame:
+def input_version(df: DataFrame) -> str:
+    """Digest of the files that ``df`` reads (path, size, time of change), taken on the
+    executors: a rewritten, added or removed file changes it.  Files without rows count
+    nothing; ``df`` must be read straight from files."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    parts = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{parts['n']}:{parts['h']}"
+
+
+def materialize_once(spark: SparkSession, path: str, build, version: str | None = None) -> DataFrame:
     """Read ``path`` if it was written before, else build, write and read it back.
 
     The cache of vectors / labels / replicates lives in a shared folder, so a lost
-    executor or a later job rereads it instead of recomputing the encoder.
+    executor or a later job rereads it instead of recomputing the encoder.  With
+    ``version`` (such as :func:`input_version` of the inputs) the table of each
+    version has its own folder below ``path``: changed inputs are built anew, and a
+    reader of the earlier table keeps its files.
     """
+    if version is not None:
+        path = f"{path}/version={hashlib.sha256(version.encode()).hexdigest()[:16]}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     written = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if not written:      # a failed read of a table that was written is an error, not an absent table
