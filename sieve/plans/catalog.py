@@ -688,28 +688,42 @@ def metric_unpivot(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- A20 A24 J9 J10 P15-P18 P23 W4 A27
-@register("deviation_check", _with(sv.screen_set()) + """
-, pub AS (SELECT record_id, round_even(p, 3) AS published FROM screen WHERE grp = 'screen')
+@register("deviation_check", _with(sv.boot_scores(), _sql_boot_summary()) + """
+, pub AS (SELECT s.record_id, round_even(b.p_boot_mean, 3) AS published FROM screen s JOIN bsum b ON s.record_id = b.record_id WHERE s.grp = 'screen')
 SELECT max(abs(s.p - pub.published)) AS max_dev, count(pub.published) AS n_published
 FROM screen s LEFT JOIN pub ON s.record_id = pub.record_id""")
 def deviation_check(spark, sf_dir):
+    """Largest distance of a score from the value reported for its record: the mean over
+    its bootstrap refits, to 3 decimals, of the records in the ranked report."""
     s = ad.screen_set(spark, sf_dir)
-    pub = s.filter(F.col("grp") == "screen").select("record_id", F.bround("p", 3).alias("published"))
+    means = rs.boot_summary(ad.boot_scores(spark, sf_dir), OPT_THRESHOLD).select("record_id", F.bround("p_boot_mean", 3).alias("published"))
+    pub = means.join(s.filter(F.col("grp") == "screen").select("record_id"), "record_id", "left_semi")
     return (s.select("record_id", "p").join(pub, "record_id", "left")
              .agg(F.max(F.abs(F.col("p") - F.col("published"))).alias("max_dev"),
                   F.count("published").alias("n_published")))
 
 
+def _described(df, spark, sf_dir):
+    """Report rows with the descriptors of their record, null where it has none."""
+    d = ad.texts(spark, sf_dir).select("record_id", "lang", "source", "n_chars")
+    return df.join(d, "record_id", "left")
+
+
+_DESCRIBED = "d.lang, d.source, CAST(d.n_chars AS VARCHAR) AS n_chars"
+
+
 @register("agreement_report", _with(sv.boot_scores(), _sql_boot_summary()) + f"""
-SELECT s.record_id, s.name, s.y AS ref_label, s.p AS p_class1, CAST(s.p >= {_T} AS INTEGER) AS prediction,
+SELECT s.record_id, s.name, {_DESCRIBED}, CASE WHEN s.y = 1 THEN 'induction' ELSE 'inhibition' END AS reported_effect,
+       s.y AS ref_label, s.p AS p_class1, CAST(s.p >= {_T} AS INTEGER) AS prediction,
        CASE WHEN CAST(s.p >= {_T} AS INTEGER) = s.y THEN 'yes' ELSE 'NO' END AS agreement, b.freq_call AS freq_boot
-FROM screen s JOIN bsum b ON s.record_id = b.record_id WHERE s.grp = 'validation'""")
+FROM screen s JOIN bsum b ON s.record_id = b.record_id LEFT JOIN documents d ON d.doc_id = s.record_id WHERE s.grp = 'validation'""")
 def agreement_report(spark, sf_dir):
     s = ad.screen_set(spark, sf_dir).filter(F.col("grp") == "validation")
     b = rs.boot_summary(ad.boot_scores(spark, sf_dir), OPT_THRESHOLD).select("record_id", "freq_call")
     call = decide("p", OPT_THRESHOLD)
-    return s.join(b, "record_id").select(
-        "record_id", "name", F.col("y").alias("ref_label"), F.col("p").alias("p_class1"), call.alias("prediction"),
+    return _described(s.join(b, "record_id"), spark, sf_dir).select(
+        "record_id", "name", "lang", "source", "n_chars", class_name("y").alias("reported_effect"),
+        F.col("y").alias("ref_label"), F.col("p").alias("p_class1"), call.alias("prediction"),
         F.when(call == F.col("y"), F.lit("yes")).otherwise(F.lit("NO")).alias("agreement"),
         F.col("freq_call").alias("freq_boot"))
 
@@ -726,18 +740,19 @@ def agreement_rate(spark, sf_dir):
 
 
 @register("ranked_report", _with(sv.boot_scores(), _sql_boot_summary()) + f"""
-SELECT s.record_id, s.name, s.p AS p_class1, CAST(s.p >= {_T} AS INTEGER) AS prediction,
+SELECT s.record_id, s.name, {_DESCRIBED}, s.p AS p_class1, CAST(s.p >= {_T} AS INTEGER) AS prediction,
        printf('%.3f-%.3f', round_even(b.p_boot_lo, 3), round_even(b.p_boot_hi, 3)) AS p_boot_95ci,
        b.freq_call AS freq_boot
-FROM screen s JOIN bsum b ON s.record_id = b.record_id WHERE s.grp = 'screen'""")
+FROM screen s JOIN bsum b ON s.record_id = b.record_id LEFT JOIN documents d ON d.doc_id = s.record_id WHERE s.grp = 'screen'""")
 def ranked_report(spark, sf_dir):
     s = ad.screen_set(spark, sf_dir).filter(F.col("grp") == "screen")
     b = rs.boot_summary(ad.boot_scores(spark, sf_dir), OPT_THRESHOLD)
-    return (s.join(b, "record_id")
-             .select("record_id", "name", F.col("p").alias("p_class1"), decide("p", OPT_THRESHOLD).alias("prediction"),
+    return (_described(s.join(b, "record_id"), spark, sf_dir)
+             .select("record_id", "name", "lang", "source", "n_chars", F.col("p").alias("p_class1"),
+                     decide("p", OPT_THRESHOLD).alias("prediction"),
                      nu.interval_text("p_boot_lo", "p_boot_hi").alias("p_boot_95ci"),
                      F.col("freq_call").alias("freq_boot"))
-             .orderBy(F.desc("p_class1")))
+             .orderBy(F.desc("p_class1"), "record_id"))
 
 
 @register("error_bars", _with(sv.boot_scores(), _sql_boot_summary()) + """
