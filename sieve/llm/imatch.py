@@ -1,10 +1,12 @@
 """I-Match document fingerprints, with DataFrame operations only.
 
 Terms are the lower-cased runs between white space and ASCII punctuation, known by
-one of ``CLASSES`` hash classes.  Document frequencies are counted over all
-documents; the lexicon is the classes whose share of the documents lies in a band
-(its inverse document frequency is neither low nor high), kept as a bit map of
-fixed size.  A text's terms inside the lexicon (all its terms, if none is inside)
+their 64-bit hashes.  Document frequencies are counted over all documents; the lexicon
+is the terms whose share of the documents lies in a band (their inverse document
+frequency is neither low nor high).  A term inside stands in ``LEAST_SHARE`` of the
+documents or more, so the lexicon has at most 1 / LEAST_SHARE times the mean number of
+a document's distinct terms, however large the corpus; it is one literal, a list of
+hashes for each of ``BUCKETS`` values of their low bits.  A text's terms inside the lexicon (all its terms, if none is inside)
 are made distinct and sorted; several randomised subsets of the lexicon then give
 one hash each.  The subsets come in ``LEVELS`` of ``SUBSETS``: on each level they
 are disjoint random samples of the lexicon, sixteenths of it on the first, of an
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import n_partitions, whole_text
 
-CLASSES = 1 << 20
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 5e-4, 0.1, 2
 SUBSETS = 16
 LEVELS = ((0, 15), (4, 127), (11, 1023))  # bits of a term's hash that name its subset: shift, mask
@@ -43,21 +46,23 @@ COARSE = 256
 
 
 def terms(text: Column) -> Column:
-    """Distinct classes of the terms."""
+    """Distinct hashes of the terms."""
     words = F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(CLASSES)).cast("int")))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> list[int]:
-    """The bit map of the classes inside the band, CLASSES / 64 numbers."""
+def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> str:
+    """The hashes of the terms inside the band as JSON: at place b the list of those
+    whose low bits are b, without these bits."""
     n = docs.count()
-    counts = docs.select(F.explode(terms(whole_text())).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("df"))
+    counts = docs.select(F.explode(terms(whole_text())).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     inside = counts.filter(F.col("df").between(max(LEAST_DOCS, least_share * n), most_share * n))
-    words = inside.groupBy(F.shiftright("c", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, c & 63)")).alias("w"))
-    bits = [0] * (CLASSES >> 6)
-    for r in words.collect():  # at most CLASSES / 64 rows, however large the corpus
-        bits[r["id"]] = r["w"]
-    return bits
+    high = F.sort_array(F.collect_list(F.shiftright("h", BUCKET_BITS)))
+    lists = inside.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.to_json(high).alias("hs"))
+    places = ["[]"] * BUCKETS
+    for r in lists.collect():  # at most BUCKETS rows of a bounded number of hashes, see above
+        places[r["b"]] = r["hs"]
+    return f"[{','.join(places)}]"
 
 
 def _let(value: Column, then) -> Column:
@@ -79,14 +84,15 @@ def signatures(own: Column) -> Column:
     return F.concat(*[level(*x) for x in LEVELS])
 
 
-def with_fingerprint(docs: DataFrame, bits: list[int], text: str, out: str) -> DataFrame:
-    """Adds the hashes of column ``text`` as array ``out``."""
-    # one literal of fixed size, folded when the query is planned
-    known = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+def with_fingerprint(docs: DataFrame, known_terms: str, text: str, out: str) -> DataFrame:
+    """Adds the hashes of column ``text`` as array ``out``; ``known_terms`` is a :func:`lexicon`."""
+    # one literal, folded when the query is planned
+    known = F.from_json(F.lit(known_terms), "array<array<bigint>>")
     held = docs.withColumn("_terms", terms(F.col(text)))
-    held = held.withColumn("_in", F.filter("_terms", lambda c: F.bit_get(F.get(known, F.shiftright(c, 6)), c.bitwiseAND(F.lit(63))) == 1))
+    own = lambda h: F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    held = held.withColumn("_in", F.filter("_terms", lambda h: F.array_contains(own(h), F.shiftright(h, BUCKET_BITS))))
     used = F.when(F.size("_in") == 0, F.col("_terms")).otherwise(F.col("_in"))
-    held = held.withColumn("_own", F.sort_array(F.transform(used, lambda c: F.xxhash64(c))))
+    held = held.withColumn("_own", F.sort_array(used))
     return held.withColumn(out, signatures(F.col("_own"))).drop("_terms", "_in", "_own")
 
 
@@ -145,15 +151,15 @@ def count_le_long(cuts: list[int], v: Column) -> Column:
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness: the
     edited text has its last third replaced by the beginning of the next document."""
-    bits = lexicon(docs)
+    known = lexicon(docs)
     both, order = next_documents(docs)
     rows = both.withColumn("_next", F.lead("text").over(order))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring("_next", F.lit(1), cut)))
-    rows = with_fingerprint(rows.drop("_next"), bits, "text", "signatures")
+    rows = with_fingerprint(rows.drop("_next"), known, "text", "signatures")
     rows = rows.withColumn("_next", F.lead("signatures").over(order)).filter(~F.col("_copy"))
-    rows = with_fingerprint(rows, bits, "edited", "edited_signatures")
+    rows = with_fingerprint(rows, known, "edited", "edited_signatures")
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "signatures", "edited_signatures",
                        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
                        likeness(F.col("signatures"), F.col("_next")).alias("near_next"))

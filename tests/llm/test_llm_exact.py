@@ -2,6 +2,7 @@
 import hashlib
 import json
 import re
+import string
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
-from sieve.llm import binpack, bpe, imatch, packing, passages, pii, simhash, tokens, vecdedup
+from sieve.llm import binpack, bpe, imatch, langid, packing, passages, pii, simhash, tokens, vecdedup
 from sieve.plans.oracle import check, duck
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -217,30 +218,58 @@ def test_imatch(spark, texts):
 
 
 def test_imatch_signatures_are_those_of_the_lexicon_subsets(spark, texts):
-    """Subsets recomputed from the exploded terms and the document frequencies."""
-    docs = spark.createDataFrame(list(texts.items())[:200], "doc_id long, text string")
+    """Subsets recomputed from the words themselves and their exact document frequencies."""
+    some = dict(list(texts.items())[:200])
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    split = docs.select("doc_id", imatch.terms(F.col("text")).alias("t")).collect()
+    words = {d: {w for w in re.split(rf"[\s{re.escape(string.punctuation)}]+", t.lower(), flags=re.ASCII) if w} for d, t in some.items()}
     df = {}
-    for r in split:
-        for c in r.t:
-            df[c] = df.get(c, 0) + 1
-    inside = {c for c, n in df.items() if max(2, 5e-4 * 200) <= n <= 0.1 * 200}
-    bits = imatch.lexicon(docs)
-    assert {64 * i + b for i, w in enumerate(bits) for b in range(64) if w >> b & 1} == inside
-    hashed = {r.c: r.h for r in spark.createDataFrame([(c,) for c in df], "c int").select("c", F.xxhash64("c").alias("h")).collect()}
-    got = {r.doc_id: r.s for r in imatch.with_fingerprint(docs, bits, "text", "s").select("doc_id", "s").collect()}
+    for own in words.values():
+        for w in own:
+            df[w] = df.get(w, 0) + 1
+    signed = {w: (h := xxhash.xxh64(w.encode(), seed=42).intdigest()) - (h >> 63 << 64) for w in df}
+    inside = {w for w, n in df.items() if max(2, 5e-4 * 200) <= n <= 0.1 * 200}
+    known = imatch.lexicon(docs)
+    assert {(h << imatch.BUCKET_BITS) + b for b, hs in enumerate(json.loads(known)) for h in hs} == {signed[w] for w in inside}
+    got = {r.doc_id: r.s for r in imatch.with_fingerprint(docs, known, "text", "s").select("doc_id", "s").collect()}
     groups = []
-    for r in split:
-        own = sorted(hashed[c] for c in ([c for c in r.t if c in inside] or r.t))
+    for d, terms in words.items():
+        own = sorted(signed[w] for w in (terms & inside or terms))
         for level, (shift, mask) in enumerate(imatch.LEVELS):
             for s in range(imatch.SUBSETS):
-                groups.append((r.doc_id, level * imatch.SUBSETS + s, [h for h in own if (h % (1 << 64)) >> shift & mask == s % 4 * 4 + s // 4]))
+                groups.append((d, level * imatch.SUBSETS + s, [h for h in own if (h % (1 << 64)) >> shift & mask == s % 4 * 4 + s // 4]))
     want = spark.createDataFrame(groups, "doc_id long, at int, own array<long>").select("doc_id", "at", F.xxhash64("own").alias("h")).collect()
     assert all(got[r.doc_id][r.at] == r.h for r in want) and len(want) == 48 * len(got)
 
 
+def test_language_stretches_change_no_ngram(monkeypatch, texts):
+    whole = " ".join(list(texts.values())[:20])
+    once = np.bincount(langid.grams(whole), minlength=langid.BUCKETS)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    parts = list(langid.stretches(whole))
+    assert len(parts) > 100 and "".join(parts) == whole
+    assert (sum(np.bincount(langid.grams(p), minlength=langid.BUCKETS) for p in parts) == once).all()
+
+
+@pytest.mark.parametrize("rows", [1, 5, 40, 10_000])
+def test_language_sample_is_the_first_of_each_label(spark, rows):
+    """Against a plain ranking of the distinct texts of each label by their hash."""
+    labelled = [(i, f"text {i % 900}", "a" if i % 10 else "b") for i in range(1000)] + [(5000 + i, f"text {i}", None) for i in range(5)] + [(6000, None, "a")]
+    docs = spark.createDataFrame(labelled, "doc_id long, text string, lang string")
+    first = {}
+    for i, t, lang in labelled:
+        if t is not None and lang is not None:
+            first[lang, t] = min(i, first.get((lang, t), i))
+    ranked = []
+    for lang in "ab":
+        h = lambda t: (x := xxhash.xxh64(t.encode(), seed=42).intdigest()) - (x >> 63 << 64)
+        own = sorted((h(t), i) for (y, t), i in first.items() if y == lang)
+        ranked += [(turn, lang, i) for turn, (_, i) in enumerate(own)]
+    want = {(lang, i) for _, lang, i in sorted(ranked)[:rows]}
+    assert {(r.lang, r.doc_id) for r in langid.sample(docs, rows).collect()} == want
+
+
 def test_language_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang").collect()}
     rows = rows_of(spark, "op5_language_id")
