@@ -9,7 +9,8 @@ by a hash of the text.  A part of the sample is kept out of the training: on it
 the temperature of the softmax is fitted, and the score below which a prediction
 is rejected is set so that all but ``reject_rate`` of its right predictions stay.
 
-Texts are read whole; sums over n-grams are taken in stretches of bounded size.
+Texts are read whole; sums over n-grams are taken in stretches of about ``STRETCH``
+characters, which end behind a character that is no letter, so that no n-gram changes.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0 and
 rejected; without any labelled row every text is ``und``; rows whose label is null
@@ -19,6 +20,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +37,7 @@ EPOCHS, RATE = 12, 0.5
 REJECT_RATE = 0.001
 UND = "und"
 STRETCH = 1_000_000
+PART_BITS = 12
 
 
 def _letters() -> np.ndarray:
@@ -79,6 +82,17 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def stretches(text: str) -> Iterator[str]:
+    """The text in parts that end behind a character other than a letter (a longer word stays whole)."""
+    at = 0
+    while at < len(text):
+        end = at + STRETCH
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -90,9 +104,8 @@ class Model:
     def logits(self, text: str) -> np.ndarray | None:
         """None without a letter."""
         total, n = np.zeros(len(self.langs)), 0
-        # stretches overlap by nothing: a word cut in two only changes a few n-grams of a text above a million characters
-        for at in range(0, len(text), STRETCH):
-            own = grams(text[at : at + STRETCH])
+        for part in stretches(text):
+            own = grams(part)
             if len(own):
                 total += np.bincount(own, minlength=len(self.table)) @ self.table
                 n += len(own)
@@ -113,7 +126,7 @@ def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, dim: int
     langs = sorted(set(labels))
     bags = []
     for t, y in zip(texts, labels, strict=True):
-        own = np.concatenate([grams(t[at : at + STRETCH]) for at in range(0, max(1, len(t)), STRETCH)])
+        own = np.concatenate([np.empty(0, np.int64), *map(grams, stretches(t))])
         if len(own):
             idx, n = np.unique(own, return_counts=True)
             bags.append((idx, (n / n.sum()).astype(np.float32), langs.index(y)))
@@ -159,10 +172,16 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` distinct labelled texts, as many of each label as of any
     other where they have so many, in the order of a hash of the text."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # copies of a text count once; the aggregate moves hashes, not texts
+    # copies of a text count once; the aggregate moves hashes, not texts, and is read twice below
     keys = known.groupBy("lang", F.xxhash64("text").alias("_h")).agg(F.min("doc_id").alias("doc_id"))
-    turn = Window.partitionBy("lang").orderBy("_h")
-    few = keys.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= rows).orderBy("_turn", "lang").limit(rows)
+    keys = cut_lineage(keys.withColumn("_part", F.shiftright("_h", 64 - PART_BITS)))
+    # the part of the hash range that holds a label's first rows, so that none is sorted whole in one task
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = keys.groupBy("lang", "_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    ends = counts.filter(F.col("_before") < rows).groupBy("lang").agg(F.max("_part").alias("_end"))
+    near = keys.join(ends, "lang").filter(F.col("_part") <= F.col("_end"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    few = near.withColumn("_turn", turn).filter(F.col("_turn") <= rows).orderBy("_turn", "lang").limit(rows)
     few = cut_lineage(few.select("doc_id", "lang"))
     return known.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
 
