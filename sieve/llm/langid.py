@@ -178,8 +178,7 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     # the part of the hash range that holds a label's first rows, so that none is sorted whole in one task
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     counts = keys.groupBy("lang", "_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.coalesce(before, F.lit(0)))
-    ends = counts.filter(F.col("_before") < rows).groupBy("lang").agg(F.max("_part").alias("_end"))
-    near = keys.join(ends, "lang").filter(F.col("_part") <= F.col("_end"))
+    near = keys.join(counts.filter(F.col("_before") < rows).select("lang", "_part"), ["lang", "_part"], "left_semi")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
     few = near.withColumn("_turn", turn).filter(F.col("_turn") <= rows).orderBy("_turn", "lang").limit(rows)
     few = cut_lineage(few.select("doc_id", "lang"))
