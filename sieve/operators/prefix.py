@@ -5,7 +5,8 @@ a single task; a group holding a third of the table would then hold a third of
 the table in one task.  Here the order key is first cut into buckets (edges from
 a mergeable quantile sketch per group, or from the leading hex digits of a hash
 key), bucket totals are summed over the small (group, bucket) table, and the
-row-level window runs per (group, bucket) only.
+row-level window runs per (group, bucket) only.  A value that many rows share fills a
+bucket of its own, which is cut once more by the column that breaks ties.
 """
 
 from __future__ import annotations
@@ -24,8 +25,13 @@ def _default_buckets(df: DataFrame) -> int:
 
 
 def _with_bucket_by_sketch(df: DataFrame, group_cols: Sequence[str], key: str,
-                           n_buckets: int) -> DataFrame:
-    """Add ``_bucket`` in [0, n_buckets): monotone in ``key`` within each group."""
+                           n_buckets: int, shared: bool = False) -> DataFrame:
+    """Add ``_bucket`` in [0, n_buckets): monotone in ``key`` within each group.  With
+    ``shared`` also ``_edges_here``: how many bucket edges the row's key is equal to."""
+    def dealt(rows: DataFrame, edges) -> DataFrame:
+        out = rows.withColumn("_bucket", count_le(edges, F.col(key), strict=True))
+        return out.withColumn("_edges_here", count_le(edges, F.col(key)) - F.col("_bucket")) if shared else out
+
     probs = [i / n_buckets for i in range(1, n_buckets)]
     g = list(group_cols)
     if g:
@@ -33,11 +39,37 @@ def _with_bucket_by_sketch(df: DataFrame, group_cols: Sequence[str], key: str,
         if g == [_ONE]:
             edges = F.broadcast(edges)      # one row: a proven size bound
         out = _join_groups(df, edges, g)
-        return out.withColumn("_bucket", count_le(F.col("_edges"), F.col(key), strict=True)).drop("_edges")
+        return dealt(out, F.col("_edges")).drop("_edges")
     # no groups: n_buckets - 1 edge values come back to the driver as a literal
     row = df.agg(F.percentile_approx(key, probs, 10000).alias("_edges")).first()
     vals = [float(v) for v in (row[0] or [])]
-    return df.withColumn("_bucket", count_le(sorted(vals), F.col(key), strict=True))
+    return dealt(df, sorted(vals))
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def tie_buckets(df: DataFrame, group_cols: Sequence[str], tie_col: str | None, n_buckets: int) -> DataFrame:
+    """Add ``_bucket`` and ``_tie``, monotone in (``_key``, ``tie_col``) within each group.
+
+    A key that equals m > 1 edges of its group is shared by about m buckets' worth of
+    rows and is the highest of its bucket; its rows are cut into m + 1 parts by the edges of
+    a second sketch, of ``tie_col``.  So no (bucket, tie) part is much above the mean,
+    and a group has fewer than 4 x ``n_buckets`` of them, those of null keys (bucket -1)
+    included.  A tie column that isn't a number is not cut.
+    """
+    g = list(group_cols)
+    d = _with_bucket_by_sketch(df, g, "_key", n_buckets, shared=True)
+    d = d.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))     # null keys come first, as in a plain window
+    if tie_col is None or dict(df.dtypes).get(tie_col) not in _NUMBERS:
+        return d.withColumn("_tie", F.lit(0)).drop("_edges_here")
+    d = d.withColumn("_edges_here", F.coalesce("_edges_here", F.lit(n_buckets - 1)))
+    heavy = F.col("_edges_here") > 1
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    at = d.filter(heavy).groupBy(*g, "_bucket").agg(F.percentile_approx(tie_col, probs, 10000).alias("_tie_edges"))
+    d = _join_groups(d, at, g + ["_bucket"])
+    part = F.floor(F.coalesce(count_le(F.col("_tie_edges"), F.col(tie_col), strict=True), F.lit(0)) * (F.col("_edges_here") + 1) / n_buckets)
+    return d.withColumn("_tie", F.when(heavy, 1 + part).otherwise(0).cast("int")).drop("_edges_here", "_tie_edges")
 
 
 def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,21 +141,20 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], key: Column | str,
             for c in sum_cols:
                 d = d.withColumn(f"_total_{c}", F.sum(c).over(Window.partitionBy(*g)))
         return _spread(d, n_groups, *([F.col(c) for c in tie_cols] or [k]))
-    d = df.withColumn("_key", k)
-    d = _with_bucket_by_sketch(d, g, "_key", n_buckets or _default_buckets(df))
-    d = d.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))     # null keys come first, as in a plain window
-    tot = d.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*g, "_bucket", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
-                                      for c in sum_cols],
+    first_tie = tie_cols[0] if tie_cols and isinstance(tie_cols[0], str) else None
+    d = tie_buckets(df.withColumn("_key", k), g, first_tie, n_buckets or _default_buckets(df))
+    tot = d.groupBy(*g, "_bucket", "_tie").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
+    wb = Window.partitionBy(*g).orderBy("_bucket", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*g, "_bucket", "_tie", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
+                                              for c in sum_cols],
                       *([F.sum(f"_bt_{c}").over(Window.partitionBy(*g)).alias(f"_total_{c}") for c in sum_cols]
                         if totals else []))
-    d = _join_groups(d, offs, g + ["_bucket"])
-    wr = (Window.partitionBy(*g, "_bucket").orderBy("_key", *tie_cols)
+    d = _join_groups(d, offs, g + ["_bucket", "_tie"])
+    wr = (Window.partitionBy(*g, "_bucket", "_tie").orderBy("_key", *tie_cols)
           .rowsBetween(Window.unboundedPreceding, end))
     for c in sum_cols:
         d = d.withColumn(f"{out_prefix}{c}", F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(wr), F.lit(0)))
-    return d.drop("_key", "_bucket", *[f"_off_{c}" for c in sum_cols])
+    return d.drop("_key", "_bucket", "_tie", *[f"_off_{c}" for c in sum_cols])
 
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], hex_key: Column | str,

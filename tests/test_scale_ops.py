@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sieve.operators import models as md
 from sieve.operators import neighbors as nb
 from sieve.operators import resample as rs
-from sieve.operators.prefix import exact_quantiles, hash_rank, prefix_sums
+from sieve.operators.prefix import exact_quantiles, hash_rank, prefix_sums, tie_buckets
 
 
 def test_prefix_sums_match_window(spark):
@@ -22,6 +22,32 @@ def test_prefix_sums_match_window(spark):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, limit
 
 
+def _half_tied(spark, groups):
+    """Half the rows share one score; some have none, some no id."""
+    rng = np.random.default_rng(3)
+    rows = [(i % groups, 0.5 if i % 2 else None if i % 100 == 0 else float(v), None if i % 501 == 1 else i) for i, v in enumerate(rng.random(4000))]
+    return spark.createDataFrame(rows, "g int, v double, id long").withColumn("one", F.lit(1).cast("long"))
+
+
+def test_tied_rows_are_split(spark):
+    df = _half_tied(spark, 2)
+    for g, mean in (([], 4000 / 20), (["g"], 2000 / 20)):
+        for sign in (1, -1):
+            parts = tie_buckets(df.withColumn("_key", sign * F.col("v")), g, "id", 20).groupBy(*g, "_bucket", "_tie").count().collect()
+            assert max(r["count"] for r in parts) <= 2 * mean and len(parts) < 80 * (2 if g else 1), (g, sign)
+
+
+def test_prefix_sums_of_tied_rows_match_window(spark):
+    df = _half_tied(spark, 3)
+    for g in ([], ["g"]):
+        for key in (F.col("v"), -F.col("v")):
+            w = Window.partitionBy(*g).orderBy(key, "id").rowsBetween(Window.unboundedPreceding, 0)
+            want = df.filter("id is not null").withColumn("cum_one", F.sum("one").over(w))
+            got = prefix_sums(df.filter("id is not null"), g, key, ["one"], tie_cols=["id"], inclusive=True, n_buckets=16, small_group_rows=0)
+            got = got.select(want.columns)
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, g
+
+
 def test_hash_rank_is_dense(spark):
     df = spark.range(1000).withColumn("g", (F.col("id") % 3).cast("int"))
     ranks = []
