@@ -1115,3 +1115,65 @@ def neighbour_text(spark, sf_dir):
     ]
     header = F.concat(F.lit("record "), F.col("query_id").cast("string"))
     return text_blocks(nbr, "query_id", header, lines, out="report")
+
+
+# --------------------------------------------------------------------------- J8 S7: screened records and their neighbours
+_SQL_SHEET = _with(sv.screen_set()) + f"""
+, knn AS ({_SQL_KNN}),
+sheet AS (
+  SELECT s.grp AS set_name, s.record_id, s.name, round_even(k.query_p, 3) AS p,
+         CASE WHEN k.query_call = 1 THEN 'induction' ELSE 'inhibition' END AS call_name, k.rank,
+         'rec' || CAST(k.ref_id AS VARCHAR) AS neighbour, k.neighbour_label, {_disp('d.lang')} AS lang,
+         {_disp('d.source', tx.MICROORGANISM_WIDTH)} AS source_45, {_disp('d.text', tx.METABOLITE_WIDTH)} AS text_60,
+         round_even(k.cosine, 3) AS cosine
+  FROM knn k JOIN screen s ON s.record_id = k.query_id LEFT JOIN documents d ON d.doc_id = k.ref_id)
+"""
+
+
+def _neighbour_sheet(spark, sf_dir):
+    """A row for each screened record and rank: its set, name, score and call, and the
+    neighbour with label, cosine and display cells (``ND`` where it has no descriptors)."""
+    s = ad.screen_set(spark, sf_dir).select(F.col("record_id").alias("query_id"), F.col("grp").alias("set_name"), "name")
+    d = ad.texts(spark, sf_dir).select(F.col("record_id").alias("ref_id"), "lang", "source", "text")
+    near = _knn(spark, sf_dir).join(s, "query_id").join(d, "ref_id", "left")
+    return near.select("set_name", F.col("query_id").alias("record_id"), "name", F.bround("query_p", 3).alias("p"),
+                       class_name("query_call").alias("call_name"), "rank",
+                       F.concat(F.lit("rec"), F.col("ref_id").cast("string")).alias("neighbour"), "neighbour_label",
+                       tx.display_text("lang").alias("lang"), tx.display_text("source", tx.MICROORGANISM_WIDTH).alias("source_45"),
+                       tx.display_text("text", tx.METABOLITE_WIDTH).alias("text_60"), F.bround("cosine", 3).alias("cosine"))
+
+
+@register("neighbour_sheet", _SQL_SHEET + "SELECT * FROM sheet")
+def neighbour_sheet(spark, sf_dir):
+    return _neighbour_sheet(spark, sf_dir)
+
+
+@register("neighbour_sheet_text", _SQL_SHEET + f"""
+, lines AS (
+  SELECT record_id, rank, 0 AS ln, '  ' || rank || '. ' || neighbour || ' [' || neighbour_label || '] cosine=' || printf('%.3f', cosine) AS line FROM sheet
+  UNION ALL SELECT record_id, rank, 1, '     source: ' || source_45 || '  |  lang: ' || lang FROM sheet
+  UNION ALL SELECT record_id, rank, 2, '     text: ' || text_60 FROM sheet
+  UNION ALL SELECT DISTINCT record_id, 0, 0, name || ' (' || set_name || ')  |  P=' || printf('%.3f', p) || '  |  ' || call_name || ' at t={OPT_THRESHOLD}' FROM sheet)
+SELECT record_id, string_agg(line, chr(10) ORDER BY rank, ln) AS report FROM lines GROUP BY record_id""")
+def neighbour_sheet_text(spark, sf_dir):
+    from ..sources.sinks import text_blocks
+    three = lambda c: F.format_string("%.3f", F.col(c))
+    lines = [
+        (F.col("rank"), F.lit(0), F.concat(F.lit("  "), F.col("rank").cast("string"), F.lit(". "), "neighbour", F.lit(" ["), "neighbour_label",
+                                           F.lit("] cosine="), three("cosine"))),
+        (F.col("rank"), F.lit(1), F.concat(F.lit("     source: "), "source_45", F.lit("  |  lang: "), "lang")),
+        (F.col("rank"), F.lit(2), F.concat(F.lit("     text: "), "text_60")),
+    ]
+    header = F.concat("name", F.lit(" ("), "set_name", F.lit(")  |  P="), three("p"), F.lit("  |  "), "call_name", F.lit(f" at t={OPT_THRESHOLD}"))
+    return text_blocks(_neighbour_sheet(spark, sf_dir), "record_id", header, lines, head_cols=["name", "set_name", "p", "call_name"])
+
+
+# --------------------------------------------------------------------------- V10: both classes on one map
+@register("class_points", _with(sv.scored()) + f"""
+SELECT record_id, CASE WHEN y = 1 THEN 'induction' ELSE 'inhibition' END AS class_name,
+       {MAP_SCALE}::DOUBLE * cos1 AS x, {MAP_SCALE}::DOUBLE * cos0 AS y FROM scored WHERE split = 'train'""")
+def class_points(spark, sf_dir):
+    """Every labelled training record on the map, with the name of its class."""
+    s = ad.scored(spark, sf_dir).filter(F.col("split") == "train")
+    return s.select("record_id", class_name("y").alias("class_name"), (F.lit(MAP_SCALE) * F.col("cos1")).alias("x"),
+                    (F.lit(MAP_SCALE) * F.col("cos0")).alias("y"))
