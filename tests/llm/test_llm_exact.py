@@ -588,3 +588,18 @@ def test_passages_name_every_source_with_its_own_similarity(spark):
         assert r.similarity == pytest.approx(len(a & b) / len(a | b))
     links = {frozenset((r.doc_id, r.source_doc_id)) for r in found}
     assert all(len([x for x in links if x <= {3 * k, 3 * k + 1, 3 * k + 2}]) >= 2 for k in range(12))
+
+
+@pytest.mark.parametrize("copies", [12, 90])
+def test_passages_between_the_ends_of_a_key_meet(spark, copies):
+    """Every two of many near copies of a passage, edited in a word of their own, are linked."""
+    base = [f"w{x}" for x in np.random.default_rng(7).integers(0, 10**6, 99)]
+
+    def text(i):
+        words = list(base)
+        words[48 + i % 4] = f"x{i}"
+        return " ".join([f"a{i}q{j}" for j in range(30)] + words + [f"b{i}q{j}" for j in range(30)])
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(copies)], "doc_id long, text string")
+    got = {tuple(sorted((r["doc_id"], r["source_doc_id"]))) for r in passages.find(docs).collect()}
+    assert got == {(i, j) for j in range(copies) for i in range(j)}
