@@ -25,12 +25,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import dot
 from .features import PCA_VARIANCE, PCAByVariance, PopulationStandardScaler
@@ -366,6 +369,58 @@ def score_linear(models: DataFrame, rows: DataFrame, on: list[str], vec: str = "
     return j.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("u", "b")
 
 
+LISTED_ROWS = 256     # rows whose scores under all models a task holds at a time
+
+
+def score_listed(models: DataFrame, rows: DataFrame, max_models: int, slots: str = "slots", vec: str = "embedding") -> DataFrame:
+    """``rows`` once for each entry of their ``slots`` (array<int>) that has a model, as
+    ``slot``, with p = sigmoid(u . x + b); ``models`` are (slot, u, b), ``max_models`` at most.
+
+    A row travels once with its list, not once per model: a task multiplies a slice of
+    rows by the whole model table, whose size is fixed by parameters.  p is null where u
+    is, or where the vector is null or holds one."""
+    got = models.select("slot", "u", "b").limit(max_models + 1).collect()
+    if len(got) > max_models:
+        raise ValueError(f"more than {max_models} models")
+    own = [r for r in got if r["u"] is not None]
+    dim = len(own[0]["u"]) if own else 0
+    place = {r["slot"]: i for i, r in enumerate(own)}
+    at = np.full(max([r["slot"] for r in got], default=-1) + 2, -2)     # the last stands for all slots beyond
+    for r in got:
+        at[r["slot"]] = place.get(r["slot"], -1)
+    u = np.array([r["u"] for r in own], np.float64).reshape(len(own), dim)
+    b = np.array([r["b"] for r in own], np.float64)
+    names = rows.columns
+    kept = [c for c in names if c not in (slots, vec)]
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), LISTED_ROWS):
+                part = batch.slice(lo, LISTED_ROWS)
+                x = np.full((len(part), dim), np.nan)
+                null = np.ones(len(part), bool)
+                for i, v in enumerate(part.column(names.index(vec))):
+                    if v.is_valid and v.values.null_count == 0 and len(v.values) == dim:
+                        x[i], null[i] = v.values.to_numpy(zero_copy_only=False), False
+                asked = part.column(names.index(slots))
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(asked), 0))
+                slot = np.asarray(pc.list_flatten(asked)).astype(np.int64)
+                row = np.repeat(np.arange(len(part)), sizes)
+                model = at[np.where((slot >= 0) & (slot < len(at) - 1), slot, -1)]
+                held = model > -2
+                slot, row, model = slot[held], row[held], model[held]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    every = 1.0 / (1.0 + np.exp(-(x @ u.T + b)))
+                p = every[row, model] if len(own) else np.full(len(row), np.nan)
+                off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32)
+                lists = (pa.array(slot, pa.int32()), pa.array(p, pa.float64(), mask=(model < 0) | null[row]))
+                yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in kept], *[pa.ListArray.from_arrays(off, x) for x in lists]], names=[*kept, "_slot", "_p"])
+
+    fields = [rows.schema[c] for c in kept] + [T.StructField("_slot", T.ArrayType(T.IntegerType())), T.StructField("_p", T.ArrayType(T.DoubleType()))]
+    scored = rows.mapInArrow(run, T.StructType(fields))
+    return scored.select(*kept, F.explode(F.arrays_zip("_slot", "_p")).alias("_s")).select(*kept, F.col("_s._slot").alias("slot"), F.col("_s._p").alias("p"))
+
+
 def params_of(js: str) -> dict:
     return json.loads(js)
 
@@ -379,4 +434,4 @@ def rank_desc(df: DataFrame, score: str = "p", id_col: str = "record_id") -> Dat
 
 
 __all__ = ["classifier", "fit_pipeline", "positive_score", "platt", "random_fourier_features",
-           "fit_linear_many", "score_linear", "linear_pipeline_fit", "rank_desc", "Window"]
+           "fit_linear_many", "score_linear", "score_listed", "linear_pipeline_fit", "rank_desc", "Window"]

@@ -138,11 +138,14 @@ def unit_rows(rows: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 def refit_scores(scorers: DataFrame, rows: DataFrame, n_groups: int, digits: int = REFIT_DIGITS) -> DataFrame:
-    """``rows`` (group, embedding, ...) with p of their group's scorer."""
-    from .models import score_linear
-
-    scored = score_linear(scorers, unit_rows(rows), ["group"], max_models=n_groups)
-    return scored.drop("embedding").withColumn("p", F.round("p", digits))
+    """``rows`` (slots, embedding, ...) once for each group in ``slots``, with p of the group's
+    scorer; rows with a ``group`` of their own have that one."""
+    from .models import score_listed
+
+    if "slots" not in rows.columns:
+        rows = rows.withColumn("slots", F.array_compact(F.array(F.col("group").cast("int")))).drop("group")
+    scored = score_listed(scorers.withColumnRenamed("group", "slot"), unit_rows(rows), n_groups)
+    return scored.withColumnRenamed("slot", "group").withColumn("p", F.round("p", digits))
 
 
 def bootstrap_scorers(train: DataFrame, n_boot: int = N_BOOT, mode: str = "exact", counts: DataFrame | None = None) -> DataFrame:

@@ -14,11 +14,14 @@ as a redraw would.
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_le, hash_index, hash_key, hash_unit
+from ..functions.numeric import count_le, hash_key, hash_unit
 from .prefix import hash_rank
 
 # --- fixed values -----------------------------------------------------------
@@ -45,6 +48,25 @@ def dense_index(df: DataFrame, id_col: str = "record_id", seed: int = BOOT_SEED,
         .withColumn(out, F.col(out) - 1)
 
 
+def drawn_rows(n: int, seed: int, first: int):
+    """Batches (replicate, row_idx) of numbered draws: ``hash_index(seed, replicate, draw) % n``,
+    many digests at a time."""
+    def run(batches):
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            replicate, draw = number // n + first, number % n
+            index = np.empty(len(number), np.int64)
+            begins = np.flatnonzero(np.concatenate([[True], replicate[1:] != replicate[:-1]]))[: len(number)]
+            for lo, hi in zip(begins, [*begins[1:], len(number)], strict=True):
+                head = f"{seed}:{replicate[lo]}:".encode()
+                digests = b"".join([md5(head + b"%d" % d).digest() for d in draw[lo:hi].tolist()])
+                # the first 15 hex digits
+                index[lo:hi] = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(replicate), pa.array(index % n)], names=["replicate", "row_idx"])
+
+    return run
+
+
 def bootstrap_exact(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_id",
                     seed: int = BOOT_SEED, first: int = 0) -> DataFrame:
     """(replicate, record_id, draws) for candidate replicates first..first+n_boot-1."""
@@ -56,8 +78,7 @@ def bootstrap_exact(df: DataFrame, n_boot: int = N_BOOT, id_col: str = "record_i
     # task generates a whole replicate's draws
     slices = max(spark.sparkContext.defaultParallelism, math.ceil(total / DRAWS_PER_SLICE))
     draws = (spark.range(0, total, numPartitions=slices)
-             .select((F.floor(F.col("id") / F.lit(n)).cast("long") + first).alias("replicate"), (F.col("id") % F.lit(n)).alias("draw"))
-             .withColumn("row_idx", hash_index(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(n))
+             .mapInArrow(drawn_rows(n, seed, first), "replicate long, row_idx long")
              .groupBy("replicate", "row_idx").agg(F.count(F.lit(1)).alias("draws")))
     return draws.join(idx, "row_idx").select("replicate", id_col, "draws")
 

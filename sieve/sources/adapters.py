@@ -97,7 +97,7 @@ def _boot_scores(spark: SparkSession, sf_dir: str, n_boot: int = N_BOOT_SCORES)
     train = vectors(spark, sf_dir).filter(F.col("split") == "train")
     scorers = mo.bootstrap_scorers(train, n_boot, counts=boot_counts(spark, sf_dir))
     s = screen_set(spark, sf_dir).select("record_id", "grp", "name", "embedding")
-    x = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("group"))
+    x = s.withColumn("slots", F.sequence(F.lit(0), F.lit(n_boot - 1)))
     return mo.refit_scores(scorers, x, n_boot).withColumnRenamed("group", "replicate")
 
 
@@ -110,10 +110,10 @@ def _oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = sp.repeated_kfold(v.select("record_id", "y"))
     scorers = mo.fold_scorers(v, folds, sp.OOF_REPEATS, sp.OOF_FOLDS, "repeat")
     # a record's vector travels once, with the list of its folds
-    own = folds.groupBy("record_id").agg(F.collect_list(F.struct("repeat", "fold")).alias("_f"))
-    x = v.join(own, "record_id").select("record_id", "embedding", "y", F.explode("_f").alias("_f")).select("record_id", "embedding", "y", "_f.repeat", "_f.fold")
-    x = x.withColumn("group", F.col("repeat") * sp.OOF_FOLDS + F.col("fold"))
-    return mo.refit_scores(scorers, x, sp.OOF_REPEATS * sp.OOF_FOLDS).select("repeat", "fold", "record_id", "y", "p")
+    own = folds.groupBy("record_id").agg(F.collect_list((F.col("repeat") * sp.OOF_FOLDS + F.col("fold")).cast("int")).alias("slots"))
+    x = v.join(own, "record_id").select("record_id", "embedding", "y", "slots")
+    scored = mo.refit_scores(scorers, x, sp.OOF_REPEATS * sp.OOF_FOLDS)
+    return scored.select(F.floor(F.col("group") / sp.OOF_FOLDS).cast("int").alias("repeat"), (F.col("group") % sp.OOF_FOLDS).alias("fold"), "record_id", "y", "p")
 
 
 # --- shared derived tables ----------------------------------------------------

@@ -99,3 +99,33 @@ def test_rows_without_a_label_are_in_no_split_and_no_fold(spark):
     for split in (stratified_holdout, stratified_kfold):
         assert sorted(split(df).collect()) == sorted(split(labelled).collect())
         assert split(df).filter("y is null").isEmpty() and split(df.filter("y is null")).isEmpty()
+
+
+def test_listed_scores_equal_the_join_and_copy_no_vector(spark):
+    """score_listed: the pairs and scores of the join; vectors aren't copied for each model."""
+    from sieve.operators.models import score_linear, score_listed
+
+    models = spark.createDataFrame([(0, [1.0, 2.0], 0.5), (2, [0.0, -1.0], 0.0), (3, None, 0.0)], "slot int, u array<double>, b double")
+    rows = spark.createDataFrame([(1, [1.0, 0.0], [0, 1, 2, 3]), (2, [0.5, None], [2]), (3, None, [0, 9]), (4, [3.0, 1.0], [2, 2]), (4, [3.0, 1.0], [0]), (5, [0.0, 0.0], []), (6, [1.0, 1.0], None)],
+                                 "record_id long, embedding array<double>, slots array<int>")
+    joined = score_linear(models, rows.selectExpr("record_id", "embedding", "explode(slots) slot"), ["slot"], max_models=4)
+    listed = score_listed(models, rows, 4)
+    key_ = lambda xs: sorted(xs, key=str)
+    got = [(r["record_id"], r["slot"], None if r["p"] is None else round(r["p"], 12)) for r in listed.collect()]
+    want = [(r["record_id"], r["slot"], None if r["p"] is None else round(r["p"], 12)) for r in joined.collect()]
+    assert key_(got) == key_(want) and len(want) == 8
+    assert "Join" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawn_rows_are_the_hash_of_seed_replicate_and_draw(spark):
+    from pyspark.sql import functions as F
+
+    from sieve.functions.numeric import hash_index
+    from sieve.operators.resample import drawn_rows
+
+    numbers = spark.range(0, 70, numPartitions=3)
+    plan = numbers.mapInArrow(drawn_rows(7, 42, 5), "replicate long, row_idx long")
+    want = numbers.select((F.floor(F.col("id") / 7) + 5).alias("replicate"), (F.col("id") % 7).alias("draw"))
+    want = want.select("replicate", (hash_index(F.lit(42), F.col("replicate"), F.col("draw")) % 7).alias("row_idx"))
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.range(0).mapInArrow(drawn_rows(7, 42, 5), "replicate long, row_idx long").count() == 0
