@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, norm
 from ..session import cut_lineage
 from . import moments as mo
-from .models import score_linear
+from .models import score_listed
 from .selection import grid_rows
 from .split import CV_FOLDS, CV_SEEDS, stratified_kfold
 
@@ -124,12 +124,19 @@ def sweep_scores(train: DataFrame, seeds: Sequence[int] = CV_SEEDS, k: int = CV_
     lists = mo.weight_lists(folds.select((turn * k + F.col("fold")).alias("group"), "record_id", F.lit(1.0).alias("weight")))
     rows = train.select("record_id", "embedding", "y").join(lists, "record_id")
     per = len(seeds) * k
-    models = _named(grid_models(_sums(rows, per, k, mo.dimension(train)), grids), per).withColumn("group", (F.col("group") % per).cast("int"))
-    asked = encodings(rows.drop("ws")).select("record_id", "y", "encoder", "embedding", F.explode("groups").alias("group"))
-    settings = len(grid_rows(grids))
-    scored = score_linear(models, asked, ["encoder", "group"], carry=["family", "grid_pos"], max_models=len(ENCODINGS) * per * settings)
-    seed = F.element_at(F.array(*[F.lit(int(s)) for s in seeds]), (F.floor(F.col("group") / k) + 1).cast("int"))
-    return scored.select("encoder", "family", seed.alias("seed"), "grid_pos", (F.col("group") % k).cast("int").alias("fold"), "record_id",
+    settings = [(family, pos) for family, pos, _ in grid_rows(grids)]
+    number = F.create_map(*[F.lit(x) for i, (family, pos) in enumerate(settings) for x in (f"{family}:{pos}", i)])
+    of = lambda group, i: (group * len(settings) + i).cast("int")
+    models = grid_models(_sums(rows, per, k, mo.dimension(train)), grids)
+    models = models.select(of(F.col("group"), number[F.concat_ws(":", "family", "grid_pos")]).alias("slot"), "u", "b")
+    at = F.array_position(F.array(*[F.lit(e) for e in ENCODINGS]), F.col("encoder")).cast("int") - 1
+    every = F.flatten(F.transform("groups", lambda g: F.transform(F.sequence(F.lit(0), F.lit(len(settings) - 1)), lambda i: of(at * per + g, i))))
+    asked = encodings(rows.drop("ws")).select("record_id", "y", "encoder", "embedding", every.alias("slots"))
+    scored = score_listed(models, asked, len(ENCODINGS) * per * len(settings))
+    named = F.element_at(F.array(*[F.struct(F.lit(family).alias("family"), F.lit(pos).alias("grid_pos")) for family, pos in settings]), F.col("slot") % len(settings) + 1)
+    group = F.floor(F.col("slot") / len(settings)).cast("int") % per
+    seed = F.element_at(F.array(*[F.lit(int(s)) for s in seeds]), (F.floor(group / k) + 1).cast("int"))
+    return scored.select("encoder", named["family"].alias("family"), seed.alias("seed"), named["grid_pos"].alias("grid_pos"), (group % k).cast("int").alias("fold"), "record_id",
                          F.round("p", mo.REFIT_DIGITS).alias("p"), "y")
 
 
