@@ -955,12 +955,10 @@ def bootstrap_fit(spark, sf_dir):
     rows = counts.join(tr.select("record_id", "embedding", "y"), "record_id")
     models = md.fit_linear_many(rows, ["replicate"], weight="draws")
     reps = models.select("replicate", "u", "b")
-    # every hold-out record is scored by every replicate: the record rows carry the
-    # replicate index, and the model table (N_BOOT x dim numbers) joins on it
-    te_rep = te.select("record_id", "embedding",
-                       F.explode(F.sequence(F.lit(0), F.lit(rs.N_BOOT - 1))).alias("replicate"))
-    scored = md.score_linear(reps, te_rep, ["replicate"], max_models=rs.N_BOOT)
-    return rs.boot_summary(scored.select("replicate", "record_id", "p"), OPT_THRESHOLD)
+    # every hold-out record is scored by every replicate (N_BOOT x dim numbers)
+    te_rep = te.select("record_id", "embedding", F.sequence(F.lit(0), F.lit(rs.N_BOOT - 1)).alias("slots"))
+    scored = md.score_listed(reps.withColumnRenamed("replicate", "slot"), te_rep, rs.N_BOOT)
+    return rs.boot_summary(scored.select(F.col("slot").alias("replicate"), "record_id", "p"), OPT_THRESHOLD)
 
 
 @register("oof_fit")
