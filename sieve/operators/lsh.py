@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_long
-from ..session import cut_lineage
+from ..session import cut_lineage, n_partitions
 from .moments import unit_rows
 from .neighbors import TOP_K
 from .pruned import search
@@ -109,7 +109,9 @@ def approx_topk(queries: DataFrame, refs: DataFrame, k: int = TOP_K, recall: flo
         pairs = None
     else:
         lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=own.width, numHashTables=own.tables, seed=SEED).fit(r)
-        met = lsh.approxSimilarityJoin(q, r, own.reach, "d")
+        # tables of few bytes arrive in a handful of partitions, but their pairs are many
+        many = n_partitions(queries.sparkSession)
+        met = lsh.approxSimilarityJoin(q.repartition(many), r.repartition(many), own.reach, "d")
         pairs = met.select(F.col("datasetA.id").alias("id"), F.explode("datasetB.ids").alias("ref_id"), (F.lit(1.0) - F.col("d") * F.col("d") / 2).alias("cosine"))
     best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cosine"), "ref_id"))
     found = empty.select("query_id", "ref_id", "cosine")
