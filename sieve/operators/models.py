@@ -212,6 +212,17 @@ def _logreg_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, iters:
     return beta[:k], float(beta[k])
 
 
+def _components(cov: np.ndarray, variance: float) -> tuple[np.ndarray, int]:
+    """The leading eigenvectors that hold the wanted share of the variance, and their number."""
+    ev, vecs = np.linalg.eigh(cov)
+    order = np.argsort(ev)[::-1]
+    ev, vecs = np.clip(ev[order], 0.0, None), vecs[:, order]
+    ratio = ev / ev.sum() if ev.sum() > 0 else np.ones_like(ev) / len(ev)
+    k = int(np.searchsorted(np.cumsum(ratio), variance, side="right") + 1)
+    k = min(k, len(ev))
+    return vecs[:, :k], k
+
+
 def _standardise_pca(x: np.ndarray, w: np.ndarray, variance: float = PCA_VARIANCE):
     """Weighted standardise (population sd) -> PCA(variance): (features, mu, sd, v, k)."""
     sw = w.sum()
@@ -220,14 +231,7 @@ def _standardise_pca(x: np.ndarray, w: np.ndarray, variance: float = PCA_VARIANC
     sd = np.sqrt((w[:, None] * xc * xc).sum(0) / sw)
     sd[sd == 0] = 1.0
     z = xc / sd
-    cov = (w[:, None] * z).T @ z / (sw - 1.0)
-    ev, vecs = np.linalg.eigh(cov)
-    order = np.argsort(ev)[::-1]
-    ev, vecs = np.clip(ev[order], 0.0, None), vecs[:, order]
-    ratio = ev / ev.sum() if ev.sum() > 0 else np.ones_like(ev) / len(ev)
-    k = int(np.searchsorted(np.cumsum(ratio), variance, side="right") + 1)
-    k = min(k, len(ev))
-    v = vecs[:, :k]
+    v, k = _components((w[:, None] * z).T @ z / (sw - 1.0), variance)
     return z @ v, mu, sd, v, k
 
 

@@ -18,10 +18,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_key
+from ..session import cut_lineage
 from .prefix import hash_rank
 
 # --- fixed values -----------------------------------------------------------
@@ -96,6 +97,22 @@ def repeated_kfold(df: DataFrame, label: str = "y", id_col: str = "record_id",
     return out.withColumn("repeat", (F.col("_seed") - F.lit(base_seed * 1000)).cast("int")).drop("_seed")
 
 
+def fold_lists(df: DataFrame, assign, key: str, label: str = "y", id_col: str = "record_id", vec: str = "embedding") -> DataFrame:
+    """``df`` with ``folds``: one entry (``key``, fold) for each assignment that ``assign``
+    (:func:`stratified_kfold` or :func:`repeated_kfold`) gives the row.  Only ids and labels
+    are dealt, the vectors travel once.  Rows are told apart by a number of their own, so
+    ids may repeat or be null."""
+    rows = cut_lineage(df.select(id_col, vec, label)).withColumn("_row", F.monotonically_increasing_id())
+    dealt = assign(rows.select("_row", id_col, label)).groupBy("_row").agg(F.collect_list(F.struct(key, "fold")).alias("folds"))
+    return cut_lineage(rows.join(dealt, "_row").drop("_row"))
+
+
+def other_folds(k: int, model) -> Column:
+    """From ``folds``: ``model(entry, fold)`` for each entry and each of the ``k`` folds but its own."""
+    each = lambda f: F.transform(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda g: g != f["fold"]), lambda g: model(f, g))
+    return F.flatten(F.transform("folds", each))
+
+
 def fold_sides(assigned: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
     """(train, validation) rows for one fold: complement and member."""
     return assigned.filter(F.col(fold_col) != fold), assigned.filter(F.col(fold_col) == fold)

@@ -560,6 +560,7 @@ def holdout_winner(spark, sf_dir):
 # --------------------------------------------------------------------------- A21-A23 K1 U2
 from ..functions import numeric as nu  # noqa: E402
 from ..operators import calibrate as cb  # noqa: E402
+from ..operators import passfits as pf  # noqa: E402
 
 _SENS = "[" + ", ".join(repr(t) for t in th.SENSITIVITY) + "]::DOUBLE[]"
 _SEEDT = sorted(set(th.CV_SEED_THRESHOLDS.values()))
@@ -951,13 +952,13 @@ def bootstrap_fit(spark, sf_dir):
     """Bootstrap of the whole fit: one small pipeline per replicate (draw counts as
     weights), hold-out records scored by a join, summarised per record."""
     tr, te = _train_test(spark, sf_dir)
-    counts = ad.boot_counts(spark, sf_dir)
-    rows = counts.join(tr.select("record_id", "embedding", "y"), "record_id")
-    models = md.fit_linear_many(rows, ["replicate"], weight="draws")
-    reps = models.select("replicate", "u", "b")
+    # a record's vector travels once, with the list of its draws
+    counts = ad.boot_counts(spark, sf_dir).groupBy("record_id").agg(F.collect_list(F.struct("replicate", "draws")).alias("_c"))
+    rows = tr.select("record_id", "embedding", "y").join(counts, "record_id").select("embedding", "y", F.col("_c.replicate").alias("slots"), F.col("_c.draws").alias("ws"))
+    reps = pf.fit_listed(rows, rs.N_BOOT, weights="ws").select("slot", "u", "b")
     # every hold-out record is scored by every replicate (N_BOOT x dim numbers)
     te_rep = te.select("record_id", "embedding", F.sequence(F.lit(0), F.lit(rs.N_BOOT - 1)).alias("slots"))
-    scored = md.score_listed(reps.withColumnRenamed("replicate", "slot"), te_rep, rs.N_BOOT)
+    scored = md.score_listed(reps, te_rep, rs.N_BOOT)
     return rs.boot_summary(scored.select(F.col("slot").alias("replicate"), "record_id", "p"), OPT_THRESHOLD)
 
 
@@ -965,14 +966,12 @@ def bootstrap_fit(spark, sf_dir):
 def oof_fit(spark, sf_dir):
     """Repeated stratified 5-fold (10 repeats): one small pipeline per (repeat,
     fold) fitted on the other folds, out-of-fold scores summarised per record."""
-    v = ad.vectors(spark, sf_dir).select("record_id", "embedding", "y")
-    a = sp.repeated_kfold(v)
-    # each row trains the models of the other k - 1 folds of its repeat
-    train = (a.select("repeat", F.col("fold").alias("_own"), "record_id", "embedding", "y",
-                      F.explode(F.sequence(F.lit(0), F.lit(sp.OOF_FOLDS - 1))).alias("fold"))
-              .filter(F.col("_own") != F.col("fold")).drop("_own"))
-    models = md.fit_linear_many(train, ["repeat", "fold"])
-    oof = md.score_linear(models, a, ["repeat", "fold"], max_models=sp.OOF_REPEATS * sp.OOF_FOLDS)
+    rows = sp.fold_lists(ad.vectors(spark, sf_dir).select("record_id", "embedding", "y"), sp.repeated_kfold, "repeat")
+    n_models = sp.OOF_REPEATS * sp.OOF_FOLDS
+    model = lambda f, fold: f["repeat"] * sp.OOF_FOLDS + fold
+    models = pf.fit_listed(rows.withColumn("slots", sp.other_folds(sp.OOF_FOLDS, model)), n_models)
+    own = rows.withColumn("slots", F.transform("folds", lambda f: model(f, f["fold"]))).drop("folds")
+    oof = md.score_listed(models, own, n_models).withColumn("repeat", F.floor(F.col("slot") / sp.OOF_FOLDS).cast("int"))
     return cb.oof_summary(oof.select("repeat", "record_id", "y", "p"))
 
 
@@ -1016,15 +1015,16 @@ def lr_sweep(spark, sf_dir):
     5 seeds x 3 folds x 11 C values as one grouped fit, then the threshold search
     and selection chain over the validation scores."""
     tr, _ = _train_test(spark, sf_dir)
-    a = sp.stratified_kfold(tr.select("record_id", "embedding", "y"))
+    rows = sp.fold_lists(tr, sp.stratified_kfold, "seed")
     # the L2 sub-grid is a fixed parameter list
     settings = [(pos, float(json.loads(js)["C"])) for fam, pos, js in sel.grid_rows()
                 if fam == "Logistic Regression" and json.loads(js).get("penalty") == "l2"]
-    train = (a.select("seed", F.col("fold").alias("_own"), "record_id", "embedding", "y",
-                      F.explode(F.sequence(F.lit(0), F.lit(sp.CV_FOLDS - 1))).alias("fold"))
-              .filter(F.col("_own") != F.col("fold")).drop("_own"))
-    # one group per (seed, fold) fits the whole C grid on its rows
-    models = md.fit_linear_many(train, ["seed", "fold"], c_grid=settings)
+    seeds = F.array(*[F.lit(x) for x in sp.CV_SEEDS])
+    model = lambda f, fold: ((F.array_position(seeds, f["seed"]) - 1) * sp.CV_FOLDS + fold).cast("int")
+    # the rows of a (seed, fold) serve the whole C grid
+    fits = pf.fit_listed(rows.withColumn("slots", sp.other_folds(sp.CV_FOLDS, model)), len(sp.CV_SEEDS) * sp.CV_FOLDS, c_grid=settings)
+    models = fits.withColumn("seed", F.element_at(seeds, F.floor(F.col("slot") / sp.CV_FOLDS).cast("int") + 1)).withColumn("fold", F.col("slot") % sp.CV_FOLDS).drop("slot")
+    a = rows.select("record_id", "embedding", "y", F.explode("folds").alias("_f")).select("record_id", "embedding", "y", "_f.*")
     val = md.score_linear(models, a, ["seed", "fold"], carry=["grid_pos"],
                           max_models=len(sp.CV_SEEDS) * sp.CV_FOLDS * len(settings))
     val = val.withColumn("encoder", F.lit("given")).withColumn("family", F.lit("Logistic Regression"))
