@@ -603,3 +603,61 @@ def test_passages_between_the_ends_of_a_key_meet(spark, copies):
     docs = spark.createDataFrame([(i, text(i)) for i in range(copies)], "doc_id long, text string")
     got = {tuple(sorted((r["doc_id"], r["source_doc_id"]))) for r in passages.find(docs).collect()}
     assert got == {(i, j) for j in range(copies) for i in range(j)}
+
+
+def test_passages_go_on_past_a_crowded_run(spark):
+    """Pairs of many texts with an equal run have eight more words in common past a word of their own."""
+    rng = np.random.default_rng(41)
+    word = lambda: "w" + str(rng.integers(0, 1 << 40))
+    run = [word() for _ in range(62)]
+    docs = [[word() for _ in range(30)] + run + [word() for _ in range(60)] for _ in range(160)]
+    for k in range(80):
+        docs[2 * k][93:101] = docs[2 * k + 1][93:101] = [word() for _ in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    found = passages.find(docs).collect()
+    longer = {frozenset((r.doc_id, r.source_doc_id)) for r in found if (r.start_word, r.stop_word) == (30, 101)}
+    assert longer == {frozenset((2 * k, 2 * k + 1)) for k in range(80)}
+    # all others are linked by the run alone
+    assert {r.doc_id for r in found} | {r.source_doc_id for r in found} == set(range(160))
+
+
+def test_passages_meet_every_place_of_the_ends_of_a_key(spark):
+    """Two texts hold a line in six passages each, and a text of its own has each of these with a word changed."""
+    rng = np.random.default_rng(43)
+    word = lambda: "w" + str(rng.integers(0, 1 << 40))
+    line = [word() for _ in range(46)]
+    ends = [[word() for _ in range(8)] for _ in range(12)]
+    docs = [[w for k in own for w in [word() for _ in range(30)] + line + [word()] + ends[k]] for own in (range(6), range(6, 12))]
+    docs += [[word() for _ in range(30)] + line + [word()] + ends[k] + [word() for _ in range(30)] for k in range(12)]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {frozenset((r.doc_id, r.source_doc_id)) for r in passages.find(frame).collect()}
+    assert got == {frozenset((k // 6, 2 + k)) for k in range(12)}
+
+
+def test_jumps_by_brute_force():
+    rng = np.random.default_rng(5)
+    span, gap, reach = 12, 3, 12 - 1 + 5 + 3
+    base = rng.integers(1, 1 << 31, 2 * reach + 1)
+    near = np.zeros((60, 2 * reach), np.uint32)
+    for i in range(60):  # right then left, each equal to the base but for a stretch, then shifted back or not
+        for side in (0, reach):
+            own = base[:reach].copy() if side == 0 else base[reach : 2 * reach].copy()
+            cut, lost, shift = rng.integers(0, reach + 1), rng.integers(1, 6), rng.integers(-2, 3)
+            tail = np.roll(own, shift)
+            own[cut:] = tail[cut:]
+            own[cut : cut + 4 + lost] = rng.integers(1, 1 << 31, len(own[cut : cut + 4 + lost]))
+            own[reach - int(rng.integers(0, 6)) :] = 0
+            near[i, side : side + reach] = own
+    right, left = passages.prefixes(near[:, :reach]), passages.prefixes(near[:, reach:])
+    got = {(min(x, y), max(x, y)) for a, b in passages.jumps(near[:, :reach], right, left, span, gap) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    same = lambda a, b: int(np.append(a != b, True).argmax())
+    want = set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            a, b = near[i, :reach], near[j, :reach]
+            r, back = same(a, b), same(near[i, reach:], near[j, reach:])
+            if r < span and r + back + 1 >= span:
+                x, y = a[r + 4 : r + 5 + gap], b[r + 4 : r + 5 + gap]
+                if set(x[x > 0]) & set(y[y > 0]):
+                    want.add((i, j))
+    assert got == want and len(want) > 20
