@@ -90,3 +90,28 @@ def test_inner_margins_with_few_rows_of_a_class(spark):
     assert models.inner_margins(df, mean_direction, scored).count() == 7
     two = spark.createDataFrame([(i, [float(i)] * 20, int(i < 2)) for i in range(7)], "record_id long, embedding array<double>, y int")
     assert models.inner_margins(two, mean_direction, scored).count() == 7
+
+
+def test_a_bucket_in_cells_gives_the_best_of_all_its_pairs(spark, monkeypatch):
+    """One bucket holds everything; its cells are small, and only the best of each go on."""
+    rng = np.random.default_rng(8)
+    q, refs = rng.normal(size=(60, 6)), rng.normal(size=(300, 6))
+    q, refs = (x / np.linalg.norm(x, axis=1)[:, None] for x in (q, refs))
+    rows = lambda x: [(i, [float(a) for a in v], [i + 1000 * j for j in range(1 + i % 2)]) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows(q), "id long, v array<double>, ids array<long>").withColumn("key", F.col("id") + 7)
+
+    class OneBucket:
+        def transform(self, d):
+            from pyspark.ml.functions import array_to_vector
+            return d.withColumn("h", F.array(*[array_to_vector(F.array(F.lit(3.0))) for _ in range(2)]))
+
+    monkeypatch.setattr(lsh, "SIDE", 50)
+    r = spark.createDataFrame(rows(refs), "id long, v array<double>, ids array<long>").withColumn("key", F.col("id") + 7)
+    got = lsh.bucket_join(frame.select("id", "v", F.lit(0).alias("f")), r.withColumn("f", F.lit(0)), OneBucket(), 3, 1.0).collect()
+    assert len(got) <= 2 * 6 * 60 * 3  # two tables, six cells along the references
+    want = {(i, int(j)) for i, row in enumerate(q @ refs.T) for j in np.argsort(-row)[:3] if row[j] > 0.5}
+    best = {}
+    for x in got:
+        assert x["ids"][0] == x["key"] - 7 and x["cosine"] == pytest.approx(float(q[x["head"]] @ refs[x["key"] - 7]), abs=1e-12)
+        best.setdefault(x["head"], {})[x["key"] - 7] = x["cosine"]
+    assert {(i, j) for i, own in best.items() for j in sorted(own, key=own.get)[-3:]} == want
